@@ -78,9 +78,10 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def parse(page: str) -> Element:
-    """The page as a tree; children are elements and strings."""
+def parse(page: str) -> list[Element]:
+    """The page's elements in page order, the root first; children are elements and strings."""
     root = Element("#root", None, False, False)
+    nodes = [root]
     now, at, end = root, 0, len(page)
     while at < end:
         found = TAG.search(page, at)
@@ -122,27 +123,19 @@ def parse(page: str) -> Element:
         article = now.article or tag in ("article", "main")
         node = Element(tag, now, now.out or unwanted(tag, attributes, now.article), article)
         now.children.append(node)
+        nodes.append(node)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             node.children.append(page[at : close.start() if close else end])
             at = close.end() if close else end
         elif tag not in VOID and not attributes.endswith("/"):
             now = node
-    return root
+    return nodes
 
 
-def walk(root: Element):
-    """All elements, children before parents."""
-    order, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        todo.extend(c for c in node.children if c.__class__ is Element)
-    return reversed(order)
-
-
-def hash_subtrees(root: Element) -> None:
-    for node in walk(root):
+def hash_subtrees(nodes: list[Element]) -> None:
+    """Elements in page order: from the back, children come before their parents."""
+    for node in reversed(nodes):
         parts = [node.tag]
         for c in node.children:
             if c.__class__ is Element:
@@ -159,9 +152,9 @@ def removable(node: Element) -> bool:
     return not (node.article and node.tag in PROSE)
 
 
-def holds_article(root: Element) -> set[int]:
+def holds_article(nodes: list[Element]) -> set[int]:
     out = set()
-    for node in walk(root):
+    for node in nodes:
         if node.tag in ("article", "main") and not node.out:
             while node is not None and id(node) not in out:
                 out.add(id(node))
@@ -171,19 +164,19 @@ def holds_article(root: Element) -> set[int]:
 
 def signatures(page: str) -> tuple[int, set[int]]:
     """The hash of what the page is about (its articles, else its body), and of every subtree that may be template."""
-    root = parse(page)
-    hash_subtrees(root)
-    holders = holds_article(root)
-    about = [n.hash for n in walk(root) if n.tag in ("article", "main")] or [root.hash]
-    return xxh64_intdigest(repr(sorted(about))) - (1 << 63), {n.hash for n in walk(root) if removable(n) and id(n) not in holders}
+    nodes = parse(page)
+    hash_subtrees(nodes)
+    holders = holds_article(nodes)
+    about = sorted(n.hash for n in nodes if n.tag in ("article", "main")) or [nodes[0].hash]
+    return xxh64_intdigest(repr(about)) - (1 << 63), {n.hash for n in nodes if removable(n) and id(n) not in holders}
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The blocks of the main text, joined by line breaks."""
-    root = parse(page)
+    nodes = parse(page)
     if template:
-        hash_subtrees(root)
-    holders = holds_article(root)
+        hash_subtrees(nodes)
+    holders = holds_article(nodes)
     blocks, words = [], []
 
     def close():
@@ -192,7 +185,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
         if line:
             blocks.append(line)
 
-    todo: list = [root]
+    todo: list = nodes[:1]
     while todo:
         node = todo.pop()
         if node is None:

@@ -1,6 +1,7 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Terms are neighbouring byte pairs of the whole text, and one more term that counts words equal to the word before.
+Terms are neighbouring byte pairs of the whole text, pairs of the bytes' shapes (lower, upper, digit, or the mark itself;
+they mean the same in every language), and steps of the share of words that equal the word before.
 Counts are log-scaled, weighted by inverse document frequency and projected to a latent space (truncated singular
 value decomposition of a bounded sample of labelled rows). The labelled vectors are broadcast; every document gets its
 exact cosines to all of them in blocks, and its nearest neighbours vote with their similarity.
@@ -24,6 +25,11 @@ from runlens.llm.common import text_blocks, word_codes
 #: Labelled rows sampled per class, terms kept, latent dimensions, neighbours, power of the similarity, documents a block.
 PER_CLASS, TERMS, LATENT, NEIGHBOURS, POWER, ROWS = 2000, 4096, 32, 15, 8, 256
 PAIRS = 1 << 16
+#: Term numbers: byte pairs, then shape pairs, then steps of repetition.
+REPEATED = (0.02, 0.1, 0.3, 0.6)
+STEPS = PAIRS + (1 << 14)
+VOCABULARY = STEPS + len(REPEATED)
+SHAPE = np.array([ord("a") if b >= 128 or chr(b).islower() else ord("A") if chr(b).isupper() else ord("0") if chr(b).isdigit() else b for b in range(256)], np.int32)
 #: Score from which a document is predicted to be good.
 LEAST = 0.3
 
@@ -33,29 +39,33 @@ def term_counts(texts: pa.Array):
     codes, edges, _ = word_codes(texts)
     again = np.concatenate([[False], codes[1:] == codes[:-1]]) if len(codes) else np.zeros(0, bool)
     again[edges[:-1][edges[:-1] < len(again)]] = False
-    repeats = np.diff(np.concatenate([[0], np.cumsum(again)])[edges])
+    words = np.diff(edges)
+    share = np.diff(np.concatenate([[0], np.cumsum(again)])[edges]) / np.maximum(words, 1)
     raw = [(t or "").encode() for t in texts.to_pylist()]
     for first in range(0, len(raw), ROWS):
         part = raw[first : first + ROWS]
         size = np.array([len(t) for t in part])
         data = np.frombuffer(b"".join(part), np.uint8).astype(np.int32)
         owner = np.repeat(np.arange(len(part)), size)
-        pair = data[:-1] * 256 + data[1:]
-        inside = owner[:-1] == owner[1:] if len(owner) else np.zeros(0, bool)
-        own = repeats[first : first + ROWS]
-        yield first, np.concatenate([owner[:-1][inside], np.repeat(np.arange(len(part)), own)]), np.concatenate([pair[inside], np.full(int(own.sum()), PAIRS)])
+        inside = owner[:-1] == owner[1:]
+        pair, owner, shape = (data[:-1] * 256 + data[1:])[inside], owner[:-1][inside], SHAPE[data]
+        shapes = (PAIRS + shape[:-1] * 128 + shape[1:])[inside]
+        step = [np.where(share[first : first + ROWS] > s, words[first : first + ROWS], 0) for s in REPEATED]
+        repeated = np.repeat(np.tile(np.arange(len(part)), len(step)), np.concatenate(step))
+        steps = np.repeat(np.repeat(np.arange(STEPS, VOCABULARY), len(part)), np.concatenate(step))
+        yield first, np.concatenate([owner, owner, repeated]), np.concatenate([pair, shapes, steps])
 
 
 class Space:
     """The latent space and the labelled vectors in it."""
 
     def __init__(self, rows: list[tuple[list[int], list[int], int]], terms: int = TERMS, latent: int = LATENT):
-        frequency = np.zeros(PAIRS + 1)
+        frequency = np.zeros(VOCABULARY)
         for index, _, _ in rows:
             frequency[index] += 1
         kept = np.argsort(-frequency, kind="stable")[:terms]
         kept = kept[frequency[kept] > 0]
-        self.slot = np.full(PAIRS + 1, -1, np.int32)
+        self.slot = np.full(VOCABULARY, -1, np.int32)
         self.slot[kept] = np.arange(len(kept))
         self.idf = (np.log((1 + len(rows)) / (1 + frequency[kept])) + 1).astype(np.float32)
         self.labels = np.array([y for _, _, y in rows], np.float32)

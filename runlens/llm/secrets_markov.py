@@ -90,8 +90,8 @@ def scan(docs: DataFrame, model: list[float], total: float = TOTAL, mean: float
     """Per document: doc_id and ``found``, its spans (start, rank, kind, end) in order; base kinds and ``markov``."""
     text = F.coalesce("text", F.lit(""))
     parts = F.concat(cut(text, "assign", ASSIGN), cut(text, "access", ACCESS), cut(text, "hex", HEX), cut(text, "markov", TOKEN))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.posexplode_outer(parts).alias("at", "m"))
-    rows = rows.select("row", "doc_id", "at", "m.*").repartition("row")
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())  # numbered before the spans fan out
+    rows = rows.select("doc_id", "row", F.posexplode_outer(parts).alias("at", "m")).select("row", "doc_id", "at", "m.*").repartition("row")
     before = Window.partitionBy("row", "kind").orderBy("at")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before)).withColumn("start", F.col("end") - F.col("size"))
     score = ratio(F.col("value"), F.lit(model))
