@@ -40,7 +40,8 @@ def float_text_udf(values: Column | str) -> Column:
     def run(v: pd.Series) -> pd.Series:
         return pd.Series([float_text(x) if x is not None and x is not pd.NA else None for x in v], dtype=object)
 
-    return run(values)
+    column = F.col(values) if isinstance(values, str) else values
+    return F.when(column.isNotNull(), run(column))  # pandas cannot tell null from NaN
 
 
 def significant_udf(values: Column, digits: int) -> Column:
