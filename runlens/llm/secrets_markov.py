@@ -26,6 +26,7 @@ ASSIGN_LEAST = 6
 #: Tokens the chains judge, and the alphabet of the chains; every other character is one further state.
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
+LONG = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1
 #: Training: documents sampled for ordinary words and labelled secrets, further random strings, pseudo-count.
@@ -62,13 +63,15 @@ def random_strings(spark: SparkSession, n: int = RANDOM) -> DataFrame:
 def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     """Log-likelihood ratio of every transition, from a bounded sample of documents (smallest hashes of doc_id).
 
-    Random: values of base spans in the sample and random_strings(). Ordinary: the sample's words outside base spans.
+    Random: values of base spans in the sample and random_strings(). Ordinary: the sample's words outside base spans that
+    are too short to be judged themselves.
     """
     ids = F.broadcast(docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` ids
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text")
     secrets = texts.select(F.explode(F.concat(F.transform(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: v), F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))).alias("token")).where(F.length("token") >= 12)
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     words = texts.select(F.explode(F.regexp_extract_all(bare, F.lit(WORD), F.lit(0))).alias("token"))
+    words = words.where(F.length("token") < LONG)
     labelled = secrets.union(random_strings(docs.sparkSession)).select(F.lit(1).alias("random"), "token").union(words.groupBy("token").count().select(F.lit(0), "token"))
     seen = labelled.select("random", F.explode(steps(F.col("token"))).alias("s")).groupBy("random", "s").count().collect()
     counts = [[PSEUDO] * (STATES * STATES) for _ in range(2)]
