@@ -363,7 +363,7 @@ def ridgeline_sample(spark, d):
     return hist.sample(histograms(spark, d), 12).select("run", "seq")
 
 
-@query(B + ', z AS (SELECT *, count / greatest("right" - "left", 2.2250738585072014e-308) AS dd, dense_rank() OVER (PARTITION BY run ORDER BY seq) - 1 AS pos FROM b), y AS (SELECT *, max(dd) OVER (PARTITION BY run, seq) AS pk, max(pos) OVER (PARTITION BY run) AS top FROM z) SELECT run, seq, "left", round(CASE WHEN pk > 0 THEN dd / pk * 1.6 ELSE 0 END, 6) AS height, round((top - pos) * 0.55, 6) AS lift FROM y')
+@query(B + ', z AS (SELECT *, count / greatest("right" - "left", 2.2250738585072014e-308) AS dd, dense_rank() OVER (PARTITION BY run ORDER BY seq) - 1 AS pos FROM b), y AS (SELECT *, max(dd) OVER (PARTITION BY run, seq) AS pk, max(pos) OVER (PARTITION BY run) AS top FROM z) SELECT run, seq, "left", round(CASE WHEN pk > 0 THEN dd / pk * CAST(1.6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END, 6) AS height, round(CAST(top - pos AS DOUBLE) * CAST(0.55 AS DOUBLE), 6) AS lift FROM y')
 def ridgeline(spark, d):
     return hist.ridgeline(histograms(spark, d)).select("run", "seq", "left", F.round("height", 6).alias("height"), F.round("lift", 6).alias("lift"))
 
