@@ -29,8 +29,8 @@ WORD = r"[A-Za-z0-9+/_=-]{4,}"
 LONG = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1
-#: Training: documents sampled for ordinary words and labelled secrets, further random strings, pseudo-count.
-SAMPLE, RANDOM, PSEUDO = 2000, 400, 0.5
+#: Training: documents sampled for ordinary words and labelled secrets, further random strings, pseudo-count of a character, weight of the characters' own frequencies.
+SAMPLE, RANDOM, PSEUDO, LEAN = 2000, 400, 0.5, 10.0
 #: A token is a secret if its ratio is above this many nats in all and above this a step.
 TOTAL, MEAN = 12.0, 0.6
 
@@ -74,13 +74,16 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     words = words.where(F.length("token") < LONG)
     labelled = secrets.union(random_strings(docs.sparkSession)).select(F.lit(1).alias("random"), "token").union(words.groupBy("token").count().select(F.lit(0), "token"))
     seen = labelled.select("random", F.explode(steps(F.col("token"))).alias("s")).groupBy("random", "s").count().collect()
-    counts = [[PSEUDO] * (STATES * STATES) for _ in range(2)]
+    counts = [[0.0] * (STATES * STATES) for _ in range(2)]
     for r in seen:
         counts[r["random"]][r["s"] - 1] += r["count"]
     
     def chain(c: list[float]) -> list[float]:
+        """Log-probabilities; rarely seen states lean towards how common the next character is anywhere."""
+        common = [PSEUDO + sum(c[b::STATES]) for b in range(STATES)]
+        total = sum(common)
         rows = [sum(c[a * STATES : (a + 1) * STATES]) for a in range(STATES)]
-        return [math.log(v / rows[k // STATES]) for k, v in enumerate(c)]
+        return [math.log((v + LEAN * common[k % STATES] / total) / (rows[k // STATES] + LEAN)) for k, v in enumerate(c)]
 
     return [a - b for a, b in zip(chain(counts[1]), chain(counts[0]), strict=True)]
 

@@ -256,8 +256,8 @@ def test_site_templates(spark):
 
 def test_url_rules_and_reputation(spark):
     urls = [None, "no scheme", "https://A.com/x?y", "http://example.com/en/1", "http://www.example.com/en/1", "http://x.example.com/en/", "http://example.com?/en/", "ftp://b.net/es/#f", "http://bnet/es/", "http://bad.org/1", "http://deep.co.uk", "://h/p\nq?r"]
-    pages = spark.createDataFrame([*enumerate(urls), *[(100 + k, "http://bad.org/1") for k in range(60)]], "page_id long, url string").withColumn("rule", F.lit(1))
-    labels = spark.createDataFrame([(100 + k, 0, 0) for k in range(60)] + [(100, None, 0), (None, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([*enumerate(urls), *[(100 + k, "http://bad.org/1") for k in range(60)], *[(1000 + k, f"http://good{k % 9}.net/") for k in range(300)]], "page_id long, url string").withColumn("rule", F.lit(1))
+    labels = spark.createDataFrame([(100 + k, 0, 0) for k in range(60)] + [(100, None, 0), (None, 0, 0), (2, 1, 0)] + [(1000 + k, 1, 0) for k in range(300)], "doc_id long, quality int, toxic int")
     rows = {r.page_id: r for r in url_reputation.judge(pages, labels).collect()}
     assert [(rows[k].host, rows[k].path, rows[k].rule) for k in range(12)] == [("", "", None), ("", "", None), ("a.com", "/x", "com/"), ("example.com", "/en/1", "example.com/en/"), ("www.example.com", "/en/1", "www.example.com/en/"), ("x.example.com", "/en/", "example.com/en/"), ("example.com", "", None), ("b.net", "/es/", "net/es/"), ("bnet", "/es/", None), ("bad.org", "/1", None), ("deep.co.uk", "", None), ("h", "/p\nq", None)]
     assert rows[9].verdict == "block" and rows[4].verdict == "allow" and rows[3].verdict == "block" and rows[10].verdict == "allow"
