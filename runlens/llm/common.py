@@ -11,6 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that hold over 1 / HOT of all rows, fewer than HOT by counting, are joined by broadcast.
+HOT = 1000
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -49,6 +53,18 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed`` (one row a key; ``copies`` says how many of the ``total`` rows hold it).
+
+    Hot keys, fewer than HOT, are joined by broadcast and never shuffled, so one huge group does not land in one task.
+    ``rows`` is read twice and should be settled; ``copies`` is dropped. No key may be null.
+    """
+    hot = F.col(copies) * HOT > total
+    few, rest = F.broadcast(keyed.where(hot).drop(copies)), keyed.where(~hot).drop(copies)
+    cold = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(cold.join(rest, key))
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of text each (one longer text stands alone), so memory is bounded."""
     for batch in batches:

@@ -17,7 +17,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import settle
+from runlens.llm.common import join_counted, settle
 
 BITS, RADIUS, BLOCKS = 64, 3, 5
 #: Documents in a bucket of the ordered pass, and the most buckets (their bounds go to the driver).
@@ -139,6 +139,7 @@ def fingerprinted(docs: DataFrame, every: int = 50, radius: int = RADIUS) -> Dat
     classes = settle(classes, "classes")
     near = within(classes.where("asks = 1").select("fp"), classes.select("fp"), radius)
     found = near.join(classes.select("fp", "copies"), "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("copies") - 1).alias("n_within"))
-    known = classes.select("fp", "class_id").join(found, "fp", "left")
+    known = classes.select("fp", "class_id", "copies").join(found, "fp", "left")
     asked = F.when(F.col("doc_id") % every == 0, F.col("n_within")).alias("n_within")
-    return own.join(known, "fp").select(*(c for c in own.columns if c != "fp"), "class_id", asked)
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    return join_counted(own, settle(known, "known"), "fp", "copies", total).select(*(c for c in own.columns if c != "fp"), "class_id", asked)

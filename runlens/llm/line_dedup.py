@@ -10,8 +10,9 @@ consist of qualifying runs of ``words`` lines, so doubling stops there: the orde
 Lines of later copies are deleted, the rest is kept as it was, joined by line breaks.
 
 Defined results: null texts stay null, empty ones empty. Repeated rows are copies of the first. A null doc_id comes
-first. An empty table gives no rows. All columns are kept. ``docs`` must read the same rows in the same order each time,
-as files do.
+first. An empty table gives no rows. All columns are kept, but for columns named n_lines or gone, which the results
+replace. Rows are numbered once, in a settled copy, so their numbers hold when executors are lost or scans are cut
+otherwise.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ SPACE = " \t\r\x0b\x0c"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+    """A settled copy: the row's number, and the row itself as struct ``doc``, so that no name can clash."""
+    return settle(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(docs[c] for c in docs.columns)).alias("doc")), "numbered")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, at, line, h1, h2, words): the non-blank lines, numbered from 0 (``at``); ``line`` counts blank ones too."""
-    split = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(SPACE)).alias("x")))
+    """Rows (row, doc_id, at, line, h1, h2, words) of numbered documents: the non-blank lines, numbered from 0 (``at``); ``line`` counts blank ones too."""
+    split = F.transform(F.split("doc.text", "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(SPACE)).alias("x")))
     full = F.filter(split, lambda s: s["x"] != "")
-    rows = numbered(docs.select("doc_id", "text")).select(F.col("_row").alias("row"), "doc_id", F.posexplode(full).alias("at", "s"))
+    rows = docs.select("row", "doc.doc_id", F.posexplode(full).alias("at", "s"))
     return rows.select("row", "doc_id", "at", "s.line", F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit(1), "s.x").alias("h2"), F.size(F.split("s.x", r"\s+")).alias("words"))
 
 
@@ -53,7 +55,7 @@ def shifted(column: str, by: int) -> Column:
 
 
 def later_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows (row, gone): the lines of each document that are later copies, in order."""
+    """Rows (row, gone) of numbered documents: the lines of each that are later copies, in order."""
     table = settle(lines(docs), "lines")
     level0 = ranked(table, "h1", "h2", "r0")
     active = table.join(level0, ["h1", "h2"]).select("row", "doc_id", "at", "line", "words", "r0", "firstr0")
@@ -81,10 +83,11 @@ def later_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents with their later copies of repeated line runs deleted, plus ``n_lines`` and ``gone`` (line numbers from 0)."""
-    gone = later_copies(docs, words).select(F.col("row").alias("_row"), F.col("gone").alias("_gone"))
-    joined = numbered(docs).join(gone, "_row", "left")
-    split = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_gone")
+    rows = numbered(docs)
+    joined = rows.join(later_copies(rows, words), "row", "left")
+    split, own = F.split("doc.text", "\n"), F.col("doc")
+    left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
     kept = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*(text.alias(c) if c == "text" else joined[c] for c in docs.columns), F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce("_gone", F.array().cast("array<int>")).alias("gone"))
+    text = F.when(F.col("gone").isNull(), own["text"]).otherwise(kept)
+    columns = [text.alias(c) if c == "text" else own[c].alias(c) for c in docs.columns if c not in ("n_lines", "gone")]
+    return joined.select(*columns, F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))

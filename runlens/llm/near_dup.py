@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from runlens.llm.common import discard, settle, text_blocks
+from runlens.llm.common import discard, join_counted, settle, text_blocks
 
 RADIUS = 2
 #: Distinct fingerprints sampled for the tree, wanted in a shard, compared all with all.
@@ -208,10 +208,11 @@ def contract(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (smallest doc_id reachable)."""
     own = settle(fingerprints(docs, words), "fingerprints")
-    distinct = settle(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = settle(contract(links(distinct, distinct.count(), radius)), "components")
+    distinct = settle(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "distinct")
+    size = distinct.agg(F.count("*").alias("n"), F.sum("copies").alias("total")).first()
+    found = settle(contract(links(distinct, size.n, radius)), "components")
     linked = found.select("fp", "root").union(found.select(F.col("root").alias("fp"), "root").distinct())
     linked = linked.join(distinct, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    named = distinct.join(linked.join(least, "root").select("fp", "component"), "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = distinct.join(linked.join(least, "root").select("fp", "component"), "fp", "left").select("fp", "copies", F.coalesce("component", "first").alias("component_id"))
+    return join_counted(own, settle(named, "named"), "fp", "copies", size.total or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -124,13 +124,13 @@ def pack(items: DataFrame, sequence: int = SEQUENCE, shard: int = SHARD, islands
     spread = items.withColumns({"_shard": key, "_row": F.monotonically_increasing_id()})
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema)
 
-    def island(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def island(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_row"], ignore_index=True)
         bins = evolve(rows["length"].to_numpy(), sequence, seed=1000 * key[0] + key[1])
         rows["_bin"] = np.repeat(np.arange(len(bins)), [len(b) for b in bins])[np.argsort(np.concatenate([np.array(b) for b in bins]), kind="stable")]
         return rows
 
-    def meet(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         parts = [part.sort_values("_row", ignore_index=True) for _, part in rows.groupby("_island")]
         one, size = parts[0], parts[0]["length"].to_numpy()
         elites = [grouped(p["_bin"].to_numpy()) for p in parts]

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from runlens.llm import bpe, decontaminate, fingerprints, html_text, language_id, line_dedup, near_dup, packing, quality_knn, queries, secrets_markov, url_reputation
+from runlens.llm import bpe, common, decontaminate, fingerprints, html_text, language_id, line_dedup, near_dup, packing, quality_knn, queries, secrets_markov, url_reputation
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, row long, at int, component_id string"
@@ -316,3 +316,17 @@ def test_pipeline(spark):
     part = groups(texts, lambda a, b: bin(a[1] ^ b[1]).count("1") <= 2)
     assert {r.doc_id for r in kept.collect()} == {min(texts[k][0] for k in range(len(texts)) if part[k] == g) for g in set(part)}
     assert p.run(spark, DATA).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_hot_keys_join_like_others(spark):
+    keys = [0] * 3000 + [1] * 5 + list(range(2, 1500))
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "fp long, doc_id long")
+    keyed = spark.createDataFrame([(k, keys.count(k), -k) for k in sorted(set(keys)) if k != 7], "fp long, copies long, component_id long")
+    got = common.join_counted(rows, keyed, "fp", "copies", len(keys))
+    assert got.columns == ["fp", "doc_id", "component_id"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, -k) for i, k in enumerate(keys) if k != 7)
+
+
+def test_line_dedup_keeps_a_clashing_row_number(docs):
+    kept = line_dedup.dedup_lines(docs.withColumn("_row", F.lit("own")).withColumn("_gone", F.lit("too")))
+    assert {(r["_row"], r["_gone"]) for r in kept.collect()} == {("own", "too")}
