@@ -27,15 +27,16 @@ SPACE = " \t\r\x0b\x0c"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """A settled copy: the row's number, and the row itself as struct ``doc``, so that no name can clash."""
-    return settle(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(docs[c] for c in docs.columns)).alias("doc")), "numbered")
+    """A settled copy: ``row`` numbers the rows, the columns are named c0, c1, ... so that no name can clash."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return settle(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """Rows (row, doc_id, at, line, h1, h2, words) of numbered documents: the non-blank lines, numbered from 0 (``at``); ``line`` counts blank ones too."""
-    split = F.transform(F.split("doc.text", "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(SPACE)).alias("x")))
+    """Rows (row, doc_id, at, line, h1, h2, words) from rows (row, doc_id, text): the non-blank lines, numbered from 0 (``at``); ``line`` counts blank ones too."""
+    split = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(SPACE)).alias("x")))
     full = F.filter(split, lambda s: s["x"] != "")
-    rows = docs.select("row", "doc.doc_id", F.posexplode(full).alias("at", "s"))
+    rows = docs.select("row", "doc_id", F.posexplode(full).alias("at", "s"))
     return rows.select("row", "doc_id", "at", "s.line", F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit(1), "s.x").alias("h2"), F.size(F.split("s.x", r"\s+")).alias("words"))
 
 
@@ -55,7 +56,7 @@ def shifted(column: str, by: int) -> Column:
 
 
 def later_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows (row, gone) of numbered documents: the lines of each that are later copies, in order."""
+    """Rows (row, gone) from rows (row, doc_id, text): the lines of each that are later copies, in order."""
     table = settle(lines(docs), "lines")
     level0 = ranked(table, "h1", "h2", "r0")
     active = table.join(level0, ["h1", "h2"]).select("row", "doc_id", "at", "line", "words", "r0", "firstr0")
@@ -84,10 +85,11 @@ def later_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The documents with their later copies of repeated line runs deleted, plus ``n_lines`` and ``gone`` (line numbers from 0)."""
     rows = numbered(docs)
-    joined = rows.join(later_copies(rows, words), "row", "left")
-    split, own = F.split("doc.text", "\n"), F.col("doc")
+    place = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    found = later_copies(rows.select("row", F.col(place["doc_id"]).alias("doc_id"), F.col(place["text"]).alias("text")), words)
+    split = F.split(place["text"], "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
     kept = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
-    text = F.when(F.col("gone").isNull(), own["text"]).otherwise(kept)
-    columns = [text.alias(c) if c == "text" else own[c].alias(c) for c in docs.columns if c not in ("n_lines", "gone")]
-    return joined.select(*columns, F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    text = F.when(F.col("gone").isNull(), F.col(place["text"])).otherwise(kept)
+    columns = [(text if c == "text" else F.col(own)).alias(c) for c, own in place.items() if c not in ("n_lines", "gone")]
+    return rows.join(found, "row", "left").select(*columns, F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))

@@ -330,3 +330,8 @@ def test_hot_keys_join_like_others(spark):
 def test_line_dedup_keeps_a_clashing_row_number(docs):
     kept = line_dedup.dedup_lines(docs.withColumn("_row", F.lit("own")).withColumn("_gone", F.lit("too")))
     assert {(r["_row"], r["_gone"]) for r in kept.collect()} == {("own", "too")}
+
+
+def test_line_dedup_of_rows_from_no_file(spark):
+    made = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four five"), (2, "one two three four five\nx")], "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.dedup_lines(made).collect()) == ["", "one two three four five", "x"]
