@@ -1,4 +1,4 @@
-"""Command line: ls, summary, export and show over a folder of training logs."""
+"""Command line: ls, summary, export, show and tail over a folder of training logs."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from runlens.session import Logs
 from runlens.sources.sinks import csv_text, json_lines, render
+from runlens.streaming.tail import watch
 
 
 def csv_field(value: str | None) -> str:
@@ -27,17 +28,29 @@ def written(df, form: str) -> str:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser("runlens")
-    parser.add_argument("view", choices=("ls", "summary", "export", "show"))
+    parser.add_argument("view", choices=("ls", "summary", "export", "show", "tail"))
     parser.add_argument("root")
-    parser.add_argument("name", nargs="?", default="", help="ls: predicate; summary: run; show: part of a tag")
+    parser.add_argument("name", nargs="?", default="", help="ls: predicate; summary: run; show, tail: part of a tag")
     parser.add_argument("--format", choices=("text", "csv", "json"), default="text")
     parser.add_argument("--x", choices=("step", "wall", "relative", "tokens"), default="step")
     parser.add_argument("--smooth", type=float)
     parser.add_argument("--tokens", help="tag of the token counter")
+    parser.add_argument("--store", help="folder outside ROOT that keeps decoded rows between calls")
+    parser.add_argument("--verify", action="store_true", help="check the payload of every event record")
+    parser.add_argument("--interval", type=float, default=5.0, help="tail: seconds between polls")
+    parser.add_argument("--polls", type=int, help="tail: stop after so many polls")
     given = parser.parse_args(argv)
+    if given.store and given.verify:
+        parser.error("--verify reads everything anew; --store does not")
+    spark = spark or SparkSession.builder.appName("runlens").getOrCreate()
+    if given.view == "tail":
+        drawn = lambda logs: written(logs.show(given.name, given.x, given.smooth, given.tokens), given.format)
+        for text in watch(spark, given.root, drawn, given.interval, given.polls, given.store):
+            print(text, flush=True)
+        return 0
     if not os.path.isdir(given.root):
         parser.error(f"no folder {given.root}")
-    logs = Logs(spark or SparkSession.builder.appName("runlens").getOrCreate(), given.root)
+    logs = Logs(spark, given.root, store=given.store, verify=given.verify)
     try:
         view = {"ls": lambda: logs.ls(given.name), "summary": lambda: logs.summary(given.name), "export": logs.export, "show": lambda: logs.show(given.name, given.x, given.smooth, given.tokens)}[given.view]()
         print(written(view, given.format))

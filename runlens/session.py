@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from runlens.functions.fmt import duration
 from runlens.operators import axes, catalog, restarts
 from runlens.plans import predicate, tables
+from runlens.sources import store as stores
 from runlens.sources import trainlog
 
 CLASSES = ("scalar", "histogram", "image", "text")
@@ -18,12 +18,12 @@ SHOWN, LISTED = 16, 20
 
 
 class Logs:
-    """One root. Rows are read anew by every table; ``rows.cache()`` helps where several are wanted."""
+    """One root. Rows are read anew by every table; with a ``store`` only bytes that are new since its last use are decoded."""
 
-    def __init__(self, spark: SparkSession, root: str, now: float | None = None, window: float = 60.0):
+    def __init__(self, spark: SparkSession, root: str, now: float | None = None, window: float = 60.0, store: str | None = None, verify: bool = False):
         self.spark, self.root, self.window = spark, root, window
         self.now = time.time() if now is None else now
-        self.rows = trainlog.load(spark, root)
+        self.rows = stores.refresh(spark, root, store) if store else trainlog.load(spark, root, verify)
         self.points, self.hparams = trainlog.points(self.rows), trainlog.hparams(self.rows)
 
     def series(self) -> DataFrame:
@@ -34,7 +34,7 @@ class Logs:
 
     def files(self) -> DataFrame:
         """Rows (path, run, size, mtime) of the log files, as listed now."""
-        held = [(f.path, f.run, (s := os.stat(f.path)).st_size, s.st_mtime) for f in trainlog.discover(os.path.abspath(self.root)) if os.path.exists(f.path)]
+        held = [(f.path, f.run, size, mtime) for f, size, mtime in stores.listing(self.root)]
         return self.spark.createDataFrame(held, "path string, run string, size long, mtime double")
 
     def losses(self) -> DataFrame:

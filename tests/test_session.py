@@ -1,10 +1,13 @@
 import json
+from pathlib import Path
 
 import pytest
 
 import writers as w
 from runlens.__main__ import main
 from runlens.session import Logs
+from runlens.sources import store, trainlog
+from runlens.streaming.tail import watch
 from test_sources import root  # noqa: F401
 
 
@@ -47,3 +50,60 @@ def test_tokens_axis_drops_points_outside_the_counter(spark, tmp_path):
     tokens = [w.event(k, 1.0 + k, w.scalar("tokens", 1024 * k)) for k in (0, 2, 4, 6)]
     (tmp_path / "r/events.tfevents.1").write_bytes(w.events_file(*(w.event(k, 1.0 + k, w.scalar("loss", k)) for k in range(10)), *tokens))
     assert [r.x for r in Logs(spark, str(tmp_path)).show("loss", "tokens").collect()] == [1024.0 * k for k in range(7)]
+
+
+def content(df):
+    """Rows in the order of ``seq``, whose own values leave gaps after appended parts, with each row's file number."""
+    rows = sorted(df.where("kind <> 'run'").collect(), key=lambda r: r.seq)
+    return [(r.run, r.backend, r.kind, r.tag, r.seq >> trainlog.ROW_BITS, r.step, r.wall, r.value, r.text, r.buckets) for r in rows]
+
+
+def test_store_gives_what_a_cold_read_gives(spark, root, tmp_path_factory):  # noqa: F811
+    folder = str(tmp_path_factory.mktemp("store"))
+    opened = []
+
+    def check():
+        before = {n.name for n in Path(folder).iterdir()}
+        assert content(store.refresh(spark, str(root), folder)) == content(trainlog.load(spark, str(root)))
+        opened.append(sorted(n.name for n in Path(folder).iterdir() if n.name not in before))
+
+    check()
+    check()
+    assert opened[1] == []  # nothing changed: nothing is decoded
+    with open(root / "a/events.out.tfevents.2", "ab") as f:
+        f.write(w.record(w.event(6, 1.7e9 + 20, w.scalar("loss", 106))) + b"torn")
+    with open(root / "b/dvclive/plots/metrics/train/loss.tsv", "a") as f:
+        f.write("3.5\n")
+    check()
+    assert spark.read.parquet(f"{folder}/rows-2").where("kind = 'scalar'").count() == 2  # only what was appended
+    (root / "0").mkdir()
+    (root / "0/events.tfevents.1").write_bytes(w.events_file(w.event(0, 1.0, w.scalar("x", 1))))  # moves the places of all others
+    check()
+    (root / "a/events.out.tfevents.1").write_bytes(w.events_file(w.event(0, 1.0, w.scalar("loss", 9))))
+    (root / "offline/run-1.wandb").unlink()
+    check()
+    (root / "mlruns/0/x/params/lr").write_text("0.75")
+    check()
+    (Path(folder) / "files-5").rename(f"{folder}/gone")  # as if the last refresh had been cut off
+    check()
+    assert Logs(spark, str(root), store=folder).ls().count() == Logs(spark, str(root)).ls().count()
+
+
+def test_payload_checksums_on_request(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    bad = bytearray(w.record(w.event(1, 1.0, w.scalar("a", 2))))
+    bad[-1] ^= 1
+    (tmp_path / "r/events.tfevents.1").write_bytes(w.record(w.event(0, 1.0, w.scalar("a", 1))) + bytes(bad))
+    found = {verify: Logs(spark, str(tmp_path), verify=verify) for verify in (False, True)}
+    assert [found[v].points.count() for v in (False, True)] == [2, 1]
+    assert [found[v].losses().first().dropped_records for v in (False, True)] == [0, 1]
+
+
+def test_watch_waits_draws_on_change_and_goes_stale(spark, tmp_path):
+    polls = watch(spark, str(tmp_path / "later"), lambda logs: ",".join(str(r.value) for r in logs.show("loss").collect()), interval=0.01, polls=6)
+    assert next(polls) == "waiting for data"
+    (tmp_path / "later").mkdir()
+    (tmp_path / "later/events.tfevents.1").write_bytes(w.events_file(w.event(0, 1.0, w.scalar("loss", 4))))
+    assert next(polls) == "4.0" and next(polls) in ("live", "stale")
+    assert set(polls) <= {"live", "stale"}
+    assert main(["tail", str(tmp_path / "later"), "loss", "--polls", "1"], spark) == 0
