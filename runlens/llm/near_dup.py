@@ -25,8 +25,10 @@ from xxhash import xxh64_intdigest
 from runlens.llm.common import discard, join_counted, settle, text_blocks
 
 RADIUS = 2
-#: Distinct fingerprints sampled for the tree, wanted in a shard, compared all with all.
-SAMPLE, SHARD, BLOCK = 4096, 8192, 768
+#: Distinct fingerprints sampled for the tree at least and at most (the driver holds them), of the sample in a leaf at
+#: least, wanted in a shard, compared all with all. The sample grows with the number of shards, so shards keep their size
+#: up to MOST / LEAF of them.
+SAMPLE, MOST, LEAF, SHARD, BLOCK = 4096, 1 << 18, 32, 8192, 768
 ONE = np.uint64(1)
 FLIPS = np.concatenate([[np.uint64(0)], ONE << np.arange(64, dtype=np.uint64)])
 
@@ -83,7 +85,7 @@ def vantage(points: np.ndarray, rng: np.random.Generator) -> tuple[np.uint64, in
 
 def grow(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple | None:
     """A tree (point, threshold, near, far) of at most 2 ** depth shards; None is a shard."""
-    if depth == 0 or len(sample) < 32:
+    if depth == 0 or len(sample) < LEAF:
         return None
     point, mu = vantage(sample, rng)
     d = distance(sample, point)
@@ -166,8 +168,9 @@ def forest(fps: np.ndarray, radius: int = RADIUS, seed: int = 7) -> tuple[np.nda
 
 def links(distinct: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Rows (a, b) that span every component of the distinct fingerprints (column fp, ``n`` rows)."""
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    points = np.array([r.fp for r in sample], np.int64).view(np.uint64)
+    size = min(MOST, max(SAMPLE, 2 * LEAF * n // shard))
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).toArrow()
+    points = sample.column("fp").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     tree = grow(points, max(0, math.ceil(math.log2(max(1, n / shard)))), np.random.default_rng(11))
     half = radius // 2 + radius % 2
 
