@@ -18,8 +18,8 @@ import regex
 from runlens.llm.common import ranges, word_codes
 
 NEVER = np.int32(2**31 - 1)
-#: Outside these characters, or with a special token's opening, a text is left to the library.
-RARE = r"[^\t\n\r\x20-\x7e\x{a0}-\x{24f}]|<\|"
+#: Outside these characters, or with a special token's opening, a text is left to the library (as is U+0130, whose lower case is two characters).
+RARE = r"[^\t\n\r\x20-\x7e\x{a0}-\x{12f}\x{131}-\x{24f}]|<\|"
 #: Longest word, in bytes, that is merged in the matrix.
 LONGEST = 48
 WIDTHS = (*range(17), 20, 24, 32, LONGEST)

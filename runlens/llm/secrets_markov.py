@@ -77,7 +77,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     counts = [[0.0] * (STATES * STATES) for _ in range(2)]
     for r in seen:
         counts[r["random"]][r["s"] - 1] += r["count"]
-    
+
     def chain(c: list[float]) -> list[float]:
         """Log-probabilities; rarely seen states lean towards how common the next character is anywhere."""
         common = [PSEUDO + sum(c[b::STATES]) for b in range(STATES)]
