@@ -103,3 +103,33 @@ def test_stream_equals_batch_and_continues(spark, root, tmp_path_factory):
 def test_unreadable_names_do_not_matter(root):
     os.symlink(root / "a", root / "link")
     assert not any(f.run == "link" for f in trainlog.discover(str(root)))
+
+
+def test_plain_scalars_decode_as_any_event(tmp_path):
+    import random
+
+    gen = random.Random(3)
+    for _ in range(3000):
+        tag = "".join(gen.choice("ab/é_\x15\n*") for _ in range(gen.choice((0, 1, 5, 40, 119, 130))))
+        data = bytearray(w.event(gen.choice((0, 1, 127, 128, 1 << 40, -1)), gen.random(), w.scalar(tag, gen.random())))
+        for _ in range(gen.choice((0, 0, 1, 3))):
+            data[gen.randrange(len(data))] = gen.randrange(256)
+        plain = wire.plain_scalar(bytes(data))
+        if plain:
+            e = wire.event(bytes(data))
+            assert repr([(v["tag"], e["step"], e["wall"], wire.scalar(v)) for v in e["values"]]) == repr([plain]) and wire.kind_of(e["values"][0]) == "scalar"
+    assert wire.plain_scalar(w.event(5, 1.0, w.scalar("loss", 2))) == ("loss", 5, 1.0, 2.0)
+
+
+def test_small_files_share_partitions(tmp_path):
+    for k in range(100):
+        put(tmp_path / f"r{k}/events.tfevents.1", w.events_file(w.event(0, 1.0, w.scalar("x", k))))
+    parts = trainlog.BatchReader(str(tmp_path)).partitions()
+    assert len(parts) == trainlog.PARTITIONS and sorted(f.run for p in parts for f in p.files) == sorted(f"r{k}" for k in range(100))
+
+
+def test_odd_values_of_a_block_log(spark, tmp_path):
+    put(tmp_path / "o/run-1.wandb", w.block_log(w.config(name="\ud800x"), w.history(0, loss=1.0), w.history(1 << 70, loss=2.0)))
+    rows = trainlog.load(spark, str(tmp_path))
+    assert [r.text for r in rows.where("kind = 'hparam'").collect()] == ["?x"] and trainlog.points(rows).count() == 1
+    assert rows.where("kind = 'run'").first().step == 1
