@@ -51,14 +51,14 @@ def merged_moments(parts: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, "n_finite", "mean", (F.coalesce("within", F.lit(0.0)) + between).alias("m2"))
 
 
-def series(points: DataFrame) -> DataFrame:
-    """One row per series, exact over all points as written, restarts included."""
+def series(points: DataFrame, *more: Column) -> DataFrame:
+    """One row per series, exact over all points as written, restarts included; ``more`` aggregates are added."""
     v = finite(F.col("value"))
     point = F.struct("step", "wall", "value")
     return segmented(points).groupBy(*SERIES).agg(
         F.count("*").alias("count"), (F.count("*") - F.count(v)).alias("non_finite"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"),
         F.min_by(point, "seq").alias("first"), F.max_by(point, "seq").alias("last"), (F.max("segment") + 1).alias("segments"), (F.max("segment") > 0).alias("preempted"),
-        F.min(F.when(F.col("wall") != 0, F.col("wall"))).alias("first_wall"), F.max(F.when(F.col("wall") != 0, F.col("wall"))).alias("last_wall"),
+        F.min(F.when(F.col("wall") != 0, F.col("wall"))).alias("first_wall"), F.max(F.when(F.col("wall") != 0, F.col("wall"))).alias("last_wall"), *more,
     )
 
 

@@ -29,8 +29,9 @@ class Logs:
     def series(self) -> DataFrame:
         """Series of every class; ``class`` is the first known class of the tag's rows."""
         data = self.rows.where(F.col("kind").isNotNull() & ~F.col("kind").isin("run", "hparam"))
-        kinds = data.groupBy("run", "tag").agg(F.coalesce(F.min_by(F.when(F.col("kind").isin(*CLASSES), F.col("kind")), F.when(F.col("kind").isin(*CLASSES), F.col("seq"))), F.lit("?")).alias("class"))
-        return catalog.series(data.select("run", "tag", "seq", "step", "wall", "value")).join(kinds, ["run", "tag"])
+        known = F.col("kind").isin(*CLASSES)
+        first = F.coalesce(F.min_by(F.when(known, F.col("kind")), F.when(known, F.col("seq"))), F.lit("?"))
+        return catalog.series(data.select("run", "tag", "seq", "step", "wall", "value", "kind"), first.alias("class"))
 
     def files(self) -> DataFrame:
         """Rows (path, run, size, mtime) of the log files, as listed now."""
