@@ -7,8 +7,9 @@ it, and its prose (paragraphs, headings, list items, quotations) are never templ
 that are navigation, adverts, notices, forms, comments and the like by their own tag, role, class or id, and written out
 block by block.
 
-The template of a host is bounded: each of its subtrees stands on at least ``SHARE`` of the host's pages. Templates are
-broadcast while they are under ``BROADCAST`` rows in all, and joined by host beyond that.
+A subtree is template from ``PAGES`` such pages on, however many pages the host has. Templates are broadcast while they
+are at most ``BROADCAST`` rows in all; beyond that each page is joined with those it holds itself, so a host with many
+costs no more a page.
 
 Defined results: a null or empty html gives an empty text. A null url belongs to the host "". Repeated rows stay
 repeated. An empty table gives no rows. Extra columns are ignored. Broken markup never fails: what cannot be parsed as
@@ -29,8 +30,8 @@ from xxhash import xxh64_intdigest
 from runlens.llm.common import settle, text_blocks
 from runlens.llm.url_reputation import host_of
 
-#: Different pages of a host on which a subtree must recur, at least, and their share of the host's pages.
-PAGES, SHARE = 5, 0.01
+#: Different pages of a host on which a subtree must recur, at least.
+PAGES = 5
 #: Rows of templates sent to every worker at most.
 BROADCAST = 500_000
 
@@ -209,30 +210,26 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def templates(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """Rows (host, hash): the subtrees that recur on at least ``least`` pages and ``share`` of the pages of a host."""
+def templates(pages: DataFrame, least: int = PAGES) -> DataFrame:
+    """Rows (host, hash): the subtrees that recur on at least ``least`` pages of a host."""
 
     def run(batches):
         for block in text_blocks(batches, "html"):
             hosts, hashes, about = [], [], []
             for host, page in zip(block.column("host").to_pylist(), block.column("html").to_pylist(), strict=True):
                 subject, own = signatures(page or "")
-                own.add(0)  # stands for the page itself
                 hosts += [host] * len(own)
                 hashes += own
                 about += [subject] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(about, pa.int64())], names=["host", "hash", "about"])
 
     rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long, about long")
-    counts = rows.distinct().groupBy("host", "hash").agg(F.count("*").alias("pages")).where((F.col("pages") >= least) | (F.col("hash") == 0))
-    counts = settle(counts, "subtrees")
-    total = counts.where("hash = 0").select("host", F.col("pages").alias("total"))
-    return counts.where("hash <> 0").join(total, "host").where(F.col("pages") >= share * F.col("total")).select("host", "hash")
+    return rows.distinct().groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least).select("host", "hash")
 
 
-def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE, broadcast: int = BROADCAST) -> DataFrame:
+def extract(pages: DataFrame, least: int = PAGES, broadcast: int = BROADCAST) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    known = settle(templates(pages, least, share), "templates")
+    known = settle(templates(pages, least), "templates")
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     out = f"page_id {kinds['page_id']}, url string, text string, n_chars long"
@@ -253,7 +250,16 @@ def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE, broadcas
                 yield texts(block, lambda k: sent.value.get(hosts[k], frozenset()))
 
         return rows.mapInArrow(with_broadcast, out)
-    joined = rows.join(known.groupBy("host").agg(F.collect_list("hash").alias("template")), "host", "left").select("page_id", "url", "html", "template")
+    numbered = settle(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+
+    def held(batches):
+        for block in text_blocks(batches, "html"):
+            own = [list(signatures(page or "")[1]) for page in block.column("html").to_pylist()]
+            at = pa.array([k for k, s in enumerate(own) for _ in s], pa.int64())
+            yield pa.RecordBatch.from_arrays([block.column("row").take(at), block.column("host").take(at), pa.array([h for s in own for h in s], pa.int64())], names=["row", "host", "hash"])
+
+    hits = numbered.select("row", "host", "html").mapInArrow(held, "row long, host string, hash long").join(known, ["host", "hash"])
+    joined = numbered.join(hits.groupBy("row").agg(F.collect_list("hash").alias("template")), "row", "left").select("page_id", "url", "html", "template")
 
     def with_join(batches):
         for block in text_blocks(batches, "html"):
