@@ -10,7 +10,8 @@ The benchmark is sent to the workers in blocks of at most ``block`` bytes; a lar
 the documents, so nothing unbounded is broadcast. No shuffle is needed.
 
 Defined results: items of fewer than ``least`` words are too short to be evidence and never match. Null or empty texts
-never match. Repeated rows are reported as often as they occur. An empty table gives no rows. Extra columns are ignored.
+never match. Repeated rows are reported as often as they occur, and every row of the benchmark is an item of its own, its
+id null or repeated or not. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from runlens.llm.common import text_blocks, word_codes
 
@@ -54,8 +57,9 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]], least: int = LEAST):
         self.least, self.vocabulary = least, {}
+        self.names = [name for name, _ in items]
         self.words = {}
-        for key, text in items:
+        for key, (_, text) in enumerate(items):  # by position, as ids may be null or repeat
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in map(bare, (text or "").split()) if w]
             if len(ids) >= least:
                 self.words[key] = np.array(ids, np.int64)
@@ -151,7 +155,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK) -> list[list[tuple[int, str
     return [[(r.item_id, r.text) for r in parts.where(F.col("part") == k).select("item_id", "text").collect()] for k in range(n)]
 
 
-def leaks_in(docs: DataFrame, items: list[tuple[int, str]], item_type: str, least: int, coverage: float, keep: bool) -> DataFrame:
+def leaks_in(docs: DataFrame, items: list[tuple[int, str]], item_type: DataType, least: int, coverage: float, keep: bool) -> DataFrame:
     items = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK bytes
     made: list[Benchmark] = []
 
@@ -169,8 +173,8 @@ def leaks_in(docs: DataFrame, items: list[tuple[int, str]], item_type: str, leas
     def pairs(batches):
         for block in text_blocks(batches, "text"):
             rows, bench = found(block)
-            rows = [(d, k, len(bench.words[k]), n, n / len(bench.words[k]), t, m) for d, k, n, t, m in rows]
-            columns = [pa.array(list(c)) for c in zip(*rows, strict=True)] if rows else None
+            rows = [(d, bench.names[k], len(bench.words[k]), n, n / len(bench.words[k]), t, m) for d, k, n, t, m in rows]
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), [None, kind, *[None] * 5], strict=True)] if rows else None
             if columns:
                 yield pa.RecordBatch.from_arrays([block.column("doc_id").take(columns[0]), *columns[1:]], names=names)
 
@@ -179,23 +183,24 @@ def leaks_in(docs: DataFrame, items: list[tuple[int, str]], item_type: str, leas
             bad = {row[0] for row in found(block)[0]}
             yield block.filter(pa.array([k not in bad for k in range(block.num_rows)])) if bad else block
 
+    kind = to_arrow_type(item_type)
     names = ["doc_id", "item_id", "item_words", "covered_words", "coverage", "n_tiles", "longest_tile"]
     if keep:
         return docs.mapInArrow(clean, docs.schema)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(pairs, f"doc_id {kind}, item_id {item_type}, item_words long, covered_words long, coverage double, n_tiles long, longest_tile long")
+    own = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(pairs, f"doc_id {own}, item_id {item_type.simpleString()}, item_words long, covered_words long, coverage double, n_tiles long, longest_tile long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """One row per leaked item and document: doc_id, item_id, item_words, covered_words, coverage, n_tiles, longest_tile."""
-    kind = benchmark.schema["item_id"].dataType.simpleString()
+    kind = benchmark.schema["item_id"].dataType
     parts = [leaks_in(docs, part, kind, least, coverage, keep=False) for part in blocks(benchmark)]
     return reduce(DataFrame.union, parts)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """The documents (all columns) into which no item leaked."""
-    kind = benchmark.schema["item_id"].dataType.simpleString()
+    kind = benchmark.schema["item_id"].dataType
     for part in blocks(benchmark):
         docs = leaks_in(docs, part, kind, least, coverage, keep=True)
     return docs
