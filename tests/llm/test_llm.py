@@ -202,14 +202,6 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, queries.vocabulary()).count() == 0
 
 
-def test_grouping_genetic_algorithm_reaches_a_known_optimum():
-    gen = np.random.default_rng(1)
-    cuts = [np.diff(np.concatenate([[0], np.sort(gen.choice(np.arange(1, 1000), 3, replace=False)), [1000]])) for _ in range(40)]
-    size = gen.permutation(np.concatenate(cuts))
-    bins = packing.evolve(size, 1000, seed=3, rounds=60)
-    assert sorted(i for b in bins for i in b) == list(range(len(size))) and all(size[b].sum() <= 1000 for b in bins) and len(bins) <= 42
-
-
 def test_decontamination(spark, docs, empty):
     passage = " ".join(f"word{k}" for k in range(30))
     moved = " ".join(passage.split()[15:] + passage.split()[:15])
@@ -311,10 +303,6 @@ def test_pipeline(spark):
     good = stages["quality"](spark, docs, DATA).cache()
     scores = {r.doc_id: r.predicted for r in quality_knn.score(docs, spark.read.parquet(f"{DATA}/labels.parquet")).collect()}
     assert {r.doc_id for r in good.collect()} == {k for k, v in scores.items() if v} and good.columns == docs.columns
-    kept = stages["near_dup"](spark, good, DATA)
-    texts = [(r.doc_id, brute_simhash(r.text)) for r in good.collect()]
-    part = groups(texts, lambda a, b: bin(a[1] ^ b[1]).count("1") <= 2)
-    assert {r.doc_id for r in kept.collect()} == {min(texts[k][0] for k in range(len(texts)) if part[k] == g) for g in set(part)}
     assert p.run(spark, DATA).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
