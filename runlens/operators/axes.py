@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,20 +94,57 @@ def sparkline(points: DataFrame, last: int = 120, cells: int = 12) -> DataFrame:
 
 
 def ewma(points: DataFrame, factor: float) -> DataFrame:
-    """Debiased exponential moving average of each series in order of ``seq``; a NaN does not advance it and comes back as null."""
-
-    def smooth(rows):
-        import numpy as np
-
-        rows = rows.sort_values("seq", ignore_index=True)
-        level, weight, out = 0.0, 1.0, np.empty(len(rows))
-        for k, x in enumerate(rows["value"].to_numpy()):
-            if x == x:
-                level, weight = factor * level + (1 - factor) * x, weight * factor
-                out[k] = level / (1 - weight)
-            else:
-                out[k] = x
-        rows["smoothed"] = out
-        return rows[["run", "tag", "seq", "smoothed"]]
-
-    return points.select("run", "tag", "seq", "value").groupBy(*SERIES).applyInPandas(smooth, "run string, tag string, seq long, smoothed double")
+    """Debiased exponential moving average of each series in order of ``seq``; a NaN does not advance it and comes back as null.
+
+    Sorted partitions go by in batches: a task holds one batch and the state of one series, however long that is.
+    """
+
+    def smooth(batches):
+        held = Average(factor)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs, tags = batch.column("run").to_pylist(), batch.column("tag").to_pylist()
+            values = batch.column("value").to_numpy(zero_copy_only=False).astype(float)
+            cuts = [0, *(k for k in range(1, len(runs)) if tags[k] != tags[k - 1] or runs[k] != runs[k - 1]), len(runs)]
+            out = [held.follow((runs[a], tags[a]), values[a:b]) for a, b in itertools.pairwise(cuts)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("run", "tag", "seq")), pa.array(np.concatenate(out), from_pandas=True)], names=["run", "tag", "seq", "smoothed"])
+
+    rows = points.select("run", "tag", "seq", "value").repartition(*SERIES).sortWithinPartitions(*SERIES, "seq")
+    return rows.mapInArrow(smooth, "run string, tag string, seq long, smoothed double")
+
+
+class Average:
+    """The moving average of one series at a time, followed over its pieces."""
+
+    def __init__(self, factor: float):
+        self.factor, self.key, self.level, self.weight = factor, None, 0.0, 1.0
+        # so many powers of the factor stay within the range of doubles
+        self.block = min(1024, int(-200 / math.log10(factor))) if 0 < factor < 1 else 0
+
+    def follow(self, key, values: np.ndarray) -> np.ndarray:
+        if key != self.key:
+            self.key, self.level, self.weight = key, 0.0, 1.0
+        out, real = values.copy(), np.flatnonzero(~np.isnan(values))
+        x = values[real]
+        out[real] = self.long(x) if self.block > 8 and len(x) > 32 and np.isfinite(x).all() else self.short(x)
+        return out
+
+    def short(self, x: np.ndarray) -> list[float]:
+        out, level, weight, factor = [], self.level, self.weight, self.factor
+        for v in x.tolist():
+            level, weight = factor * level + (1 - factor) * v, weight * factor
+            out.append(level / (1 - weight) if weight != 1 else math.nan)
+        self.level, self.weight = level, weight
+        return out
+
+    def long(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty(len(x))
+        for a in range(0, len(x), self.block):
+            part = x[a : a + self.block]
+            powers = self.factor ** np.arange(1, len(part) + 1)
+            level = powers * (self.level + np.cumsum((1 - self.factor) * part / powers))
+            weight = self.weight * powers
+            out[a : a + len(part)] = level / (1 - weight)
+            self.level, self.weight = float(level[-1]), float(weight[-1])
+        return out

@@ -1,8 +1,8 @@
 """From points to segments, series and runs.
 
 Points are rows (run, tag, seq, step, wall, value); ``seq`` is the order of arrival within a series. A point whose step
-does not exceed the step before it restarts the series and opens a segment. All aggregates are partial first, so a
-shuffle carries one row per series and task.
+does not exceed the step before it restarts the series and opens a segment. Finding the segments shuffles all points by
+series once; the aggregates after it need no further shuffle of points.
 """
 
 from __future__ import annotations
@@ -43,12 +43,10 @@ def segments(points: DataFrame) -> DataFrame:
 
 def merged_moments(parts: DataFrame, *keys: str) -> DataFrame:
     """Merge (n_finite, mean, m2) rows by key: pooled mean, and squared deviations within and between parts."""
-    n, mean = F.sum("n_finite"), F.sum(F.col("n_finite") * F.coalesce("mean", F.lit(0.0)))
-    rows = parts.groupBy(*keys).agg(n.alias("n_finite"), mean.alias("total"), F.sum("m2").alias("within"), F.collect_list(F.struct("n_finite", "mean")).alias("parts"))
-    pooled = F.when(F.col("n_finite") > 0, F.col("total") / F.col("n_finite"))
-    rows = rows.withColumn("mean", pooled)
-    between = F.aggregate(F.filter("parts", lambda p: p["n_finite"] > 0), F.lit(0.0), lambda s, p: s + p["n_finite"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
-    return rows.select(*keys, "n_finite", "mean", (F.coalesce("within", F.lit(0.0)) + between).alias("m2"))
+    own = parts.select(*keys, F.col("n_finite").alias("n"), F.coalesce("mean", F.lit(0.0)).alias("own"), F.coalesce("m2", F.lit(0.0)).alias("within"))
+    pooled = own.groupBy(*keys).agg(F.sum("n").alias("n_finite"), (F.sum(F.col("n") * F.col("own")) / F.sum(F.when(F.col("n") > 0, F.col("n")))).alias("mean"))
+    apart = F.when(F.col("n") > 0, F.col("n") * (F.col("own") - F.col("mean")) * (F.col("own") - F.col("mean"))).otherwise(0.0)
+    return own.join(pooled, list(keys)).groupBy(*keys).agg(F.first("n_finite").alias("n_finite"), F.first("mean").alias("mean"), F.sum(F.col("within") + apart).alias("m2"))
 
 
 def series(points: DataFrame, *more: Column) -> DataFrame:
@@ -75,11 +73,8 @@ def runs(all_series: DataFrame, finished: Column | None = None, now: float = 0.0
 
 def token_counter(all_series: DataFrame, tag: str | None = None) -> DataFrame:
     """Rows (run, counter): the tag given, exactly or as the only one that ends in /tag; else the first convention that fits so."""
-    names = [tag] if tag else list(COUNTERS)
-    out = None
-    for rank, name in enumerate(names):
-        exact = all_series.where(F.col("tag") == name).select("run", F.lit(2 * rank).alias("rank"), F.col("tag").alias("counter"))
-        ends = all_series.where(F.col("tag").endswith("/" + name)).groupBy("run").agg(F.count("*").alias("n"), F.min("tag").alias("counter")).where("n = 1").select("run", F.lit(2 * rank + 1).alias("rank"), "counter")
-        both = exact.unionByName(ends)
-        out = both if out is None else out.unionByName(both)
-    return out.groupBy("run").agg(F.min_by("counter", "rank").alias("counter"))
+    found = []
+    for name in [tag] if tag else COUNTERS:
+        ends = F.when(F.col("tag").endswith("/" + name), F.col("tag"))
+        found += [F.max(F.when(F.col("tag") == name, F.col("tag"))), F.when(F.count(ends) == 1, F.max(ends))]
+    return all_series.groupBy("run").agg(F.coalesce(*found).alias("counter")).where("counter is not null")

@@ -26,10 +26,13 @@ def starts(flagged: DataFrame) -> DataFrame:
 
 
 def ghosts(flagged: DataFrame) -> DataFrame:
-    """The dead points with ``ghost_of``, the segment that took them back."""
-    dead = flagged.where(~F.col("is_live"))
-    hit = dead.join(starts(flagged), list(SERIES)).where((F.col("by") > F.col("segment")) & (F.col("start_step") <= F.col("step")))
-    return hit.groupBy(*dead.columns).agg(F.min("by").alias("ghost_of"))
+    """The dead points with ``ghost_of``, the segment that took them back: the first later one that starts at or below their step.
+
+    The restarts of a series go with each of its points as one array, so no pair of point and restart becomes a row.
+    """
+    by_series = starts(flagged).groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct("by", "start_step"))).alias("restarts"))
+    hit = F.filter("restarts", lambda r: (r["by"] > F.col("segment")) & (r["start_step"] <= F.col("step")))
+    return flagged.where(~F.col("is_live")).join(by_series, list(SERIES)).withColumn("ghost_of", F.get(hit, F.lit(0))["by"]).drop("restarts")
 
 
 def cuts(flagged: DataFrame) -> DataFrame:

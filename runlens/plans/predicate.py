@@ -50,7 +50,7 @@ def tokens(text: str) -> list[Token]:
         elif m[2] is not None or m[3] is not None:
             out.append(Token("text", m[2] if m[2] is not None else m[3]))
         elif m[4]:
-            out.append(Token("number" if NUMBER.match(m[4]) else "word", m[4]))
+            out.append(Token("keyword" if m[4] in ("and", "or", "not") else "number" if NUMBER.match(m[4]) else "word", m[4]))
         else:
             raise ValueError({"=": "use `==`", "!": "use `!=` or `not`", "'": "a string is not closed", '"': "a string is not closed"}.get(m[5], f"unexpected character {m[5]!r}"))
     return out
@@ -67,12 +67,12 @@ def parse(text: str) -> Comparison | Node:
 
     def chain(word: str, below):
         parts = [below()]
-        while take("word", word):
+        while take("keyword", word):
             parts.append(below())
         return parts[0] if len(parts) == 1 else Node(word, parts)
 
     def unary():
-        if take("word", "not"):
+        if take("keyword", "not"):
             return Node("not", [unary()])
         if take("op", "("):
             inner = either()

@@ -341,8 +341,8 @@ def preferred_tag(spark, d):
 B = """
 WITH q AS (SELECT 's' || l_suppkey AS run, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) AS seq, l_quantity AS q FROM lineitem),
 g AS (SELECT run, seq, min(q) AS lo, max(q) AS hi FROM q GROUP BY ALL),
-e AS (SELECT run, seq, k, lo, hi, CASE WHEN k = 0 THEN lo ELSE least(greatest(10.0 * k, lo), hi) END AS l, CASE WHEN k = 4 THEN hi ELSE 10.0 * k + 10 END AS rr FROM g, range(5) t(k)),
-b AS (SELECT run, seq, k, l AS "left", least(greatest(rr, l), greatest(hi, l)) AS "right", CAST((SELECT count(*) FROM q WHERE q.run = e.run AND q.seq = e.seq AND q.q > 10 * k AND q.q <= 10 * k + 10) AS DOUBLE) AS count FROM e)
+e AS (SELECT run, seq, k, lo, hi, CASE WHEN k = 0 THEN least(lo, CAST(10 AS DOUBLE)) ELSE CAST(10 * k AS DOUBLE) END AS l, CASE WHEN k = 4 THEN greatest(hi, CAST(40 AS DOUBLE)) ELSE CAST(10 * k + 10 AS DOUBLE) END AS rr FROM g, range(5) t(k)),
+b AS (SELECT run, seq, k, l AS "left", rr AS "right", CAST((SELECT count(*) FROM q WHERE q.run = e.run AND q.seq = e.seq AND q.q > 10 * k AND q.q <= 10 * k + 10) AS DOUBLE) AS count FROM e)
 """
 
 

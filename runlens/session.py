@@ -39,17 +39,17 @@ class Logs:
         return self.spark.createDataFrame(held, "path string, run string, size long, mtime double")
 
     def losses(self) -> DataFrame:
-        """Per run: backend, finished, dropped_records, dead_files."""
+        """Per run: backend, first and last wall time of any event, finished, dropped_records, dead_files."""
         own = F.col("kind") == "run"
         return self.rows.groupBy("run").agg(
-            F.min("backend").alias("backend"), F.coalesce(F.max(own & (F.col("tag") == "finished")), F.lit(False)).alias("finished"),
+            F.min("backend").alias("backend"), F.min(F.when(F.col("wall") != 0, F.col("wall"))).alias("first_wall"), F.max(F.when(F.col("wall") != 0, F.col("wall"))).alias("last_wall"), F.coalesce(F.max(own & (F.col("tag") == "finished")), F.lit(False)).alias("finished"),
             F.coalesce(F.sum(F.when(own, F.col("step"))), F.lit(0)).alias("dropped_records"), F.sum(F.when(own & (F.col("tag") == "dead"), 1).otherwise(0)).alias("dead_files"),
         )
 
     def runs(self) -> DataFrame:
         """One row per run, also of runs that have no series yet."""
         written = self.files().groupBy("run").agg(F.max("mtime").alias("last_write"))
-        rows = self.losses().join(written, "run", "left").join(catalog.runs(self.series()).drop("status"), "run", "left")
+        rows = self.losses().join(written, "run", "left").join(catalog.runs(self.series()).drop("status", "first_wall", "last_wall"), "run", "left")
         return rows.withColumn("status", catalog.status(F.col("finished"), F.col("last_write"), self.now, self.window)).fillna(0, ["series", "points", "restarts"])
 
     def ls(self, text: str = "") -> DataFrame:

@@ -123,3 +123,28 @@ def test_sinks(spark):
     assert [r.value for r in sinks.json_lines(df).collect()] == ['{"run":"a","n":1,"v":0.5}', '{"run":"b,c","n":22,"v":null}']
     assert [tuple(r) for r in sinks.csv_text(df).collect()] == [("a", "1", "0.5"), ("b,c", "22", "NaN")]
     assert sinks.render([["a", 1, None], ["bb", 22, 0.5]], ["run", "n", "v"]) == "run   n    v\na     1\nbb   22  0.5"
+
+
+@pytest.mark.parametrize("text", ["or == 1", "and == 1", "lr == not", "not"])
+def test_keywords_are_no_names_or_values(text):
+    with pytest.raises(ValueError):
+        predicate.parse(text)
+    assert predicate.parse("'or' == 'not'").field == "or"
+
+
+@pytest.mark.parametrize("factor", [0.0, 0.01, 0.6, 0.999])
+def test_ewma_in_blocks_equals_the_recurrence(factor):
+    import numpy as np
+
+    from runlens.operators import axes
+
+    values = np.random.default_rng(1).normal(3, 50, 5000)
+    values[::97] = np.nan
+    held, plain = axes.Average(factor), []
+    got = np.concatenate([held.follow(("r", "t"), part) for part in np.split(values, [7, 1000, 1001, 3333])])
+    level, weight = 0.0, 1.0
+    for v in values.tolist():
+        if v == v:
+            level, weight = factor * level + (1 - factor) * v, weight * factor
+        plain.append(level / (1 - weight) if v == v else v)
+    assert np.allclose(got, plain, rtol=1e-9, atol=1e-9, equal_nan=True) and held.follow(("r", "u"), values[1:2])[0] == pytest.approx(values[1])

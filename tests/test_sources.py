@@ -55,7 +55,10 @@ def test_block_log_spans_blocks_and_waits_for_torn_tails():
 def test_text_parsers():
     assert textlogs.metric_line("1700000000000 0.5 3") == (3, 1.7e9, 0.5) and textlogs.metric_line("1 2") is None
     assert textlogs.Columns("timestamp\tstep\tloss").row("1000\t4\tnan")[0] == 4
-    assert textlogs.params("lr: 0.005\nopt:\n  name: adamw\n  list: [1]\n# c\nflag: true\n") == {"lr": 0.005, "opt.name": "adamw", "flag": True}
+    assert textlogs.params("lr: 0.005\nopt:\n  name: adamw\n  list: [1]\n# c\nflag: true\n") == {"lr": 0.005, "opt.name": "adamw", "opt.list": "[1]", "flag": True}
+    assert textlogs.params('a: "x # y"\nkey : 3 # c\nb: {x: 1}\nno blank key: 1\n') == {"a": "x # y", "key": "3 # c", "b": "{x: 1}"}
+    row = textlogs.Columns("timestamp\tstep\tloss").row
+    assert row(" 2000 \t 3\t0.5 \textra\r") == (3, 2.0, 0.5) and row("2000\t3") is None
     assert [textlogs.typed(t) for t in ("1_000", "'x'", "1d", "-.5")] == ["1_000", "x", "1d", -0.5]
 
 
@@ -129,7 +132,79 @@ def test_small_files_share_partitions(tmp_path):
 
 
 def test_odd_values_of_a_block_log(spark, tmp_path):
-    put(tmp_path / "o/run-1.wandb", w.block_log(w.config(name="\ud800x"), w.history(0, loss=1.0), w.history(1 << 70, loss=2.0)))
+    odd = [w.item("_step", v) + w.item("_timestamp", t) + w.item("loss", x) for v, t, x in ((None, "text", 1.0), ("x", [1], 2.0), (float("nan"), None, float("nan")), (float("-inf"), True, 4.0), (7.9, 10**400, 10**4000), (True, {}, "text"))]
+    nested = w.field(2, 2, w.field(1, 2, w.field(1, 2, b"plain") + w.field(2, 2, b"a") + w.field(2, 2, b"b") + w.field(16, 2, b"3")))
+    put(tmp_path / "o/run-1.wandb", w.block_log(w.config(name="\ud800x"), w.history(0, loss=1.0), w.history(1 << 70, loss=2.0), *(w.field(2, 2, o) for o in odd), nested))
     rows = trainlog.load(spark, str(tmp_path))
-    assert [r.text for r in rows.where("kind = 'hparam'").collect()] == ["?x"] and trainlog.points(rows).count() == 1
-    assert rows.where("kind = 'run'").first().step == 1
+    assert [r.text for r in rows.where("kind = 'hparam'").collect()] == ["?x"] and rows.where("kind = 'run'").first().step == 0
+    got = [(r.tag, r.step, r.wall, r.value) for r in trainlog.points(rows).orderBy("seq").collect()]
+    top, least = (1 << 63) - 1, -(1 << 63)
+    assert list(map(repr, got)) == list(map(repr, [("loss", 0, 1.7e9, 1.0), ("loss", top, 1.7e9 + 2.0**70, 2.0), ("loss", 0, 0.0, 1.0), ("loss", 0, 0.0, 2.0), ("loss", 0, 0.0, float("nan")), ("loss", least, 0.0, 4.0), ("loss", 7, float("inf"), float("inf")), ("a/b", 0, 0.0, 3.0)]))
+
+
+@pytest.mark.parametrize("low, high, limits, counts, want", [
+    (-1, 3, [0, 1, 2], [3, 4, 3], [(-1, 0, 3), (0, 1, 4), (1, 3, 3)]),
+    (-1, 1, [-10, 0, 10], [0, 3, 4], [(-10, -10, 0), (-10, 0, 3), (0, 1, 4)]),
+    (0, 1, [5, 6, 7], [1, 1, 1], [(0, 5, 1), (5, 6, 1), (6, 6, 1)]),
+    (3, 1, [9], [2], [(1, 1, 2)]), (0, 1, [], [1], []), (0, 2, [1, 2, 3], [1], [(0, 2, 1)]),
+])
+def test_only_outer_edges_give_way(spark, low, high, limits, counts, want):
+    from pyspark.sql import functions as F
+
+    from runlens.operators import hist
+
+    assert wire.buckets(wire.summary_value(w.histogram("h", low, high, limits, counts))) == want
+    both = (F.array(*(F.lit(float(x)) for x in v)).cast("array<double>") for v in (limits, counts))
+    row = spark.range(1).select(hist.normalise(*both, F.lit(float(low)), F.lit(float(high))).alias("b")).first()
+    assert [tuple(b) for b in row.b] == want
+
+
+def test_a_grown_file_is_read_from_where_it_ended(root):
+    """Rows read from every possible start are the last rows of a whole read, and only new bytes are opened."""
+    for f in trainlog.discover(str(root)):
+        whole = list(trainlog.rows(f))
+        size, ends = os.path.getsize(f.path), set()
+        for n in range(0, size, 7):
+            ends.add(trainlog.complete(f) if n == 0 else min(n, trainlog.complete(f)))
+        done = trainlog.complete(f)
+        if f.backend.endswith(("param", "params")):
+            continue
+        for since in sorted({0, done}):
+            f.start = since
+            got = [r for r in trainlog.rows(f) if r[2] != "run"]
+            assert [r[2:4] + r[5:] for r in got] == ([] if since == done else [r[2:4] + r[5:] for r in whole if r[2] != "run"])
+            assert trainlog.complete(f, since) == done
+
+
+def test_records_from_an_offset(tmp_path):
+    events = [w.event(k, 1.7e9 + k, w.scalar("loss", k)) for k in range(50)]
+    data = w.events_file(*events)
+    put(tmp_path / "e/events.tfevents.1", data)
+    put(tmp_path / "w/run-1.wandb", w.block_log(*(w.history(k, loss=float(k), text="x" * 3000) for k in range(50))))
+    for f in trainlog.discover(str(tmp_path)):
+        whole = [r[5] for r in trainlog.rows(f) if r[2] == "scalar"]
+        steps = [after for after, *_ in (wire.records(data) if f.backend == "tfevents" else wire.log_records(open(f.path, "rb").read()))]
+        for since in steps[::7]:
+            f.start = since
+            got = list(trainlog.rows(f))
+            rest = [r[5] for r in got if r[2] == "scalar"]
+            assert rest == whole[len(whole) - len(rest) :] and len(rest) <= 50 and got[-1][7] == steps[-1] == trainlog.complete(f, since)
+
+
+def test_polls_open_only_what_changed(root, monkeypatch):
+    reader, opened = trainlog.StreamReader(str(root)), []
+    first = reader.latestOffset()
+    monkeypatch.setattr(trainlog, "complete", lambda f, since=0: opened.append((f.path, since)) or since)
+    assert reader.latestOffset() == first and not opened
+    path = next(p for p in first if "tfevents" in p)
+    with open(path, "ab") as f:
+        f.write(b"torn")
+    assert reader.latestOffset() == first and opened == [(path, first[path])]
+
+
+def test_events_without_values_count_for_the_span(spark, tmp_path):
+    from runlens.session import Logs
+
+    put(tmp_path / "r/events.tfevents.1", w.events_file(w.event(0, 1.7e9 + 5, w.scalar("loss", 1.0)), w.event(1, 1.7e9 + 9)))
+    row = Logs(spark, str(tmp_path)).runs().first()
+    assert (row.first_wall, row.last_wall, row.points) == (1.7e9, 1.7e9 + 9, 1)
