@@ -25,7 +25,8 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    pages = table(spark, sf_dir, "pages")
+    return url_reputation.judge(pages, url_reputation.outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

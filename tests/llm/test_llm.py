@@ -248,13 +248,33 @@ def test_site_templates(spark):
 
 def test_url_rules_and_reputation(spark):
     urls = [None, "no scheme", "https://A.com/x?y", "http://example.com/en/1", "http://www.example.com/en/1", "http://x.example.com/en/", "http://example.com?/en/", "ftp://b.net/es/#f", "http://bnet/es/", "http://bad.org/1", "http://deep.co.uk", "://h/p\nq?r"]
-    pages = spark.createDataFrame([*enumerate(urls), *[(100 + k, "http://bad.org/1") for k in range(60)], *[(1000 + k, f"http://good{k % 9}.net/") for k in range(300)]], "page_id long, url string").withColumn("rule", F.lit(1))
-    labels = spark.createDataFrame([(100 + k, 0, 0) for k in range(60)] + [(100, None, 0), (None, 0, 0), (2, 1, 0)] + [(1000 + k, 1, 0) for k in range(300)], "doc_id long, quality int, toxic int")
-    rows = {r.page_id: r for r in url_reputation.judge(pages, labels).collect()}
+    good, bad = [prose(30) for _ in range(7)], [prose(30) for _ in range(5)]
+    article = lambda t, head="": f"<html><body><nav>menu</nav><article>{head}<p>{t.replace(' ', '<br>', 2)} &amp; </p></article><footer>x</footer>"
+    rows = [(k, u, None) for k, u in enumerate(urls)] + [(100 + k, "http://bad.org/1", article(bad[k % 5], "<h1>Title</h1>")) for k in range(60)] + [(1000 + k, f"http://good{k % 9}.net/", article(good[k % 7])) for k in range(300)]
+    rows += [(2000 + k, "http://few.net/", article(bad[0])) for k in range(2)] + [(3000 + k, f"http://ok{k}.org/", article(good[0])) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rule", F.lit(1))
+    own = spark.createDataFrame([*enumerate(bad), *((10 + k, t) for k, t in enumerate(good)), (20, good[0]), (21, None), (22, ""), (None, bad[0])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, 0) for k in range(5)] + [(0, None, 0), (None, 0, 0), (99, 0, 0), (21, 0, 0), (22, 0, 0)] + [(10 + k, 1, 0) for k in range(7)], "doc_id long, quality int, toxic int")
+    counts = url_reputation.outcomes(pages, own, labels)
+    assert {r.host: (r.n, r.bad) for r in counts.collect() if r.n} == {"bad.org": (60, 60), "few.net": (2, 2)} | {f"good{k}.net": (len(range(k, 300, 9)), 0) for k in range(9)} | {f"ok{k}.org": (1, 0) for k in range(40)}
+    rows = {r.page_id: r for r in url_reputation.judge(pages, counts).collect()}
     assert [(rows[k].host, rows[k].path, rows[k].rule) for k in range(12)] == [("", "", None), ("", "", None), ("a.com", "/x", "com/"), ("example.com", "/en/1", "example.com/en/"), ("www.example.com", "/en/1", "www.example.com/en/"), ("x.example.com", "/en/", "example.com/en/"), ("example.com", "", None), ("b.net", "/es/", "net/es/"), ("bnet", "/es/", None), ("bad.org", "/1", None), ("deep.co.uk", "", None), ("h", "/p\nq", None)]
-    assert rows[9].verdict == "block" and rows[4].verdict == "allow" and rows[3].verdict == "block" and rows[10].verdict == "allow"
-    assert {r.verdict for r in url_reputation.judge(pages, labels.where("doc_id < 0")).collect() if r.rule is None} == {"allow"}
-    assert url_reputation.judge(pages.where("page_id < 0"), labels).count() == 0
+    assert rows[9].verdict == "block" and rows[4].verdict == "allow" and rows[3].verdict == "block" and rows[10].verdict == "allow" and rows[2000].verdict == "allow"
+    assert {r.verdict for r in url_reputation.judge(pages, url_reputation.outcomes(pages, own, labels.where("doc_id < 0"))).collect() if r.rule is None} == {"allow"}
+    assert url_reputation.judge(pages.where("page_id < 0"), counts).count() == 0 and url_reputation.outcomes(pages.where("page_id < 0"), own, labels).count() == 0
+
+
+def test_posterior_tail_and_estimated_strength(spark):
+    gen = np.random.default_rng(7)
+    cases = [(1.5, 9.0), (61.0, 1.2), (30.0, 30.0), (0.4, 2.0), (4000.0, 3600.0)]
+    rows = spark.createDataFrame(cases, "a double, b double").select(url_reputation.tail(F.col("a"), F.col("b"), 0.5).alias("p")).collect()
+    for (a, b), r in zip(cases, rows, strict=True):
+        assert abs(r.p - (gen.beta(a, b, 200_000) > 0.5).mean()) < 0.01
+    rates = gen.beta(2, 6, 400)  # hosts differ as under a prior of strength 8
+    counts = spark.createDataFrame([(f"h{k}.d{k % 2}.org", 50, int(gen.binomial(50, p))) for k, p in enumerate(rates)], "host string, n long, bad long")
+    found = {r.host: r.bad_rate for r in url_reputation.reputation(counts).collect()}
+    shrunk = [(r.bad / 50 - found[r.host]) / (r.bad / 50 - 0.25) for r in counts.collect() if abs(r.bad / 50 - 0.25) > 0.15]
+    assert 0.08 < float(np.median(shrunk)) < 0.22  # 8 / 58 is 0.14
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -262,7 +282,7 @@ def test_url_reputation_equals_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "labels"):
+    for t in ("pages", "labels", "documents"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = queries.op3_url_reputation(spark, DATA)
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, con.execute(f"select {', '.join(df.columns)} from ({queries.ORACLE['op3_url_reputation']})").fetchall()))
