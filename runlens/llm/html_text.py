@@ -1,19 +1,23 @@
 """Main text of web pages by site template removal.
 
 Element subtrees are hashed bottom-up (tag and content). Spark counts, per host, on how many different pages each
-subtree stands; subtrees that recur on many of them are the site's template and are deleted with all they hold. Pages
-with the same article count as one, so copies of an article do not turn its parts into template. An article, what holds
-it, and its prose (paragraphs, headings, list items, quotations) are never template. What is left is rid of elements
-that are navigation, adverts, notices, forms, comments and the like by their own tag, role, class or id, and written out
-block by block.
+subtree stands, inside articles and outside; subtrees that recur on ``PAGES`` of them, however many pages the host has,
+are the site's template and are deleted with all they hold. Pages with the same article count as one, so copies of an
+article do not turn its parts into template. An article, what holds it, and its prose (paragraphs, headings, list items,
+quotations) are never template.
 
-A subtree is template from ``PAGES`` such pages on, however many pages the host has. Templates are broadcast while they
-are at most ``BROADCAST`` rows in all; beyond that each page is joined with those it holds itself, so a host with many
-costs no more a page.
+Recurrence cannot tell an advert or a reader's comment that differs from page to page, so some elements go by what they
+are: HTML's own elements and roles for navigation, forms and the like, and the class or id names in ``MARKS``, each
+compared as a whole name and never against an element that holds the article, nor, without an article, against all the
+text of a page. On a page with articles, the main text is that of the articles, with the headings of first rank before them if they have none.
+
+Templates are broadcast while they are at most ``BROADCAST`` rows in all; beyond that each page is joined with those it
+holds itself, frequent ones by broadcast, so a host with many costs no more a page.
 
 Defined results: a null or empty html gives an empty text. A null url belongs to the host "". Repeated rows stay
 repeated. An empty table gives no rows. Extra columns are ignored. Broken markup never fails: what cannot be parsed as
-a tag is text, what is not closed ends with its parent.
+a tag is text, what is not closed ends with its parent, elements nested deeper than ``DEEPEST`` become siblings, and
+after a quoted attribute value that never ends, tags end at their first ``>``. Parsing takes linear time.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from runlens.llm.common import settle, text_blocks
+from runlens.llm.common import join_counted, settle, text_blocks
 from runlens.llm.url_reputation import host_of
 
 #: Different pages of a host on which a subtree must recur, at least.
@@ -44,96 +48,174 @@ CLOSES_P = BLOCKS - {"body", "head", "html", "option", "optgroup", "caption", "t
 NEVER_TEXT = frozenset("head script style noscript template nav aside form button select textarea iframe object svg canvas audio video map dialog menu noframes xmp title".split())
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-# Words in class or id that mark what is not main text.
-MARKS = frozenset("ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices alert pagination pager popup promo promoted promotion related reply replies respond share sharing sidebar social sponsor sponsored subscribe signup toolbar widget widgets recommended login".split())
-KEPT_MARKS = frozenset("header banner".split())  # in an article these are its own title block
-
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-MARK = re.compile(r"[a-z]+")
+# Class and id names of what is not main text though it may differ from page to page.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising ad-box ad-banner ad-container adsbygoogle banner-ad sponsored promo promoted"
+    " breadcrumb breadcrumbs comment comments comment-list commentlist comments-area comments-section disqus disqus_thread replies"
+    " cookie-banner cookie-bar cookie-consent cookie-notice cookies-notice gdpr consent-banner notice site-notice alert-banner"
+    " footer site-footer page-footer header site-header page-header masthead menu main-menu nav navbar navigation nav-menu"
+    " sidebar side-bar left-sidebar right-sidebar widget widget-area newsletter newsletter-signup subscribe-form popup modal"
+    " pagination pager related related-posts related-articles recommended share share-buttons share-bar sharing social-share social-links".split()
+)
+KEPT_MARKS = frozenset("header page-header".split())  # in an article this is its own title block
+#: Elements nested deeper than this are taken as siblings.
+DEEPEST = 256
+
+# attributes up to the end of a tag; a quote opens a value only after an equals sign
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+>")
+ENDS = re.compile(r"[^>]*+>")
+NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "out", "article", "hash")
+    __slots__ = ("tag", "parent", "children", "out", "mark", "article", "depth", "hash")
 
-    def __init__(self, tag: str, parent: Element | None, out: bool, article: bool):
-        self.tag, self.parent, self.out, self.article = tag, parent, out, article
+    def __init__(self, tag: str, parent: Element | None, out: bool, mark: bool, article: bool):
+        self.tag, self.parent, self.out, self.mark, self.article = tag, parent, out, mark, article
         self.children: list = []
+        self.depth = parent.depth + 1 if parent else 0
         self.hash = 0
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    """Not main text, by the element's own name and attributes."""
+def judged(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is no main text by its name, role or state, and whether by its class or id."""
     if tag in NEVER_TEXT or tag == "footer" or tag == "header" and not in_article:
-        return True
+        return True, False
     if tag in ("body", "html", "article", "main") or not attributes:
-        return False
+        return False, False
+    mark = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
+            return True, False
         if name in ("class", "id"):
-            marks = MARKS.intersection(MARK.findall(value))
-            if marks - KEPT_MARKS if in_article else marks:
-                return True
-    return False
+            own = MARKS.intersection(value.split())
+            mark = mark or bool(own - KEPT_MARKS if in_article else own)
+    return False, mark
+
+
+class Open:
+    """The open elements: the innermost one, and per open block how many inline elements of each name are open in it."""
+
+    def __init__(self, root: Element):
+        self.now, self.blocks, self.inline = root, defaultdict(int), [defaultdict(int)]
+
+    def enter(self, node: Element) -> None:
+        self.now = node
+        if node.tag in BLOCKS:
+            self.blocks[node.tag] += 1
+            self.inline.append(defaultdict(int))
+        else:
+            self.inline[-1][node.tag] += 1
+
+    def leave(self) -> None:
+        node, self.now = self.now, self.now.parent
+        if node.tag in BLOCKS:
+            self.blocks[node.tag] -= 1
+            self.inline.pop()
+        else:
+            self.inline[-1][node.tag] -= 1
+
+    def close(self, tag: str) -> None:
+        """An end tag; one of an inline element reaches no further than its block, one without a start is ignored."""
+        if not (self.blocks[tag] if tag in BLOCKS else self.inline[-1][tag]):
+            return
+        while self.now.tag != tag:
+            self.leave()
+        self.leave()
+
+    def make_room(self, tag: str) -> None:
+        """What the start of an element closes: a paragraph, or the sibling before it in the same list or table."""
+        if tag in CLOSES_P and self.blocks["p"]:
+            node = self.now
+            while node.parent is not None and node.tag not in BLOCKS:
+                node = node.parent
+            if node.tag == "p":
+                self.close("p")
+        ends, scope = SIBLINGS.get(tag, ((), ()))
+        if any(self.blocks[t] if t in BLOCKS else self.inline[-1][t] for t in ends):
+            node, last = self.now, None
+            while node.parent is not None and node.tag not in scope:  # at most DEEPEST
+                last = node if node.tag in ends else last
+                node = node.parent
+            while last is not None and self.now is not last.parent:
+                self.leave()
 
 
 def parse(page: str) -> list[Element]:
     """The page's elements in page order, the root first; children are elements and strings."""
-    root = Element("#root", None, False, False)
-    nodes = [root]
-    now, at, end = root, 0, len(page)
+    root = Element("#root", None, False, False, False)
+    nodes, held = [root], Open(root)
+    at, end, quoted, tags_end, raw_ends = 0, len(page), True, page.rfind(">"), {}
+    text: list[str] = []
+
+    def flush() -> None:
+        if text:
+            held.now.children.append("".join(text))
+            text.clear()
+
     while at < end:
-        found = TAG.search(page, at)
-        if found is None:
-            now.children.append(page[at:])
+        found = page.find("<", at)
+        if found < 0 or found > tags_end and not page.startswith("<!--", found):
+            text.append(page[at:])
             break
-        if found.start() > at:
-            now.children.append(page[at : found.start()])
-        at = found.end()
-        tag = found[2]
-        if tag is None:
+        if found > at:
+            text.append(page[at:found])
+        if page.startswith("<!--", found):
+            flush()  # a reference does not go on behind a comment
+            at = page.find("-->", found + 4)
+            at = end if at < 0 else at + 3
             continue
-        tag = tag.lower()
-        if found[1]:
-            node = now
-            while node is not root and node.tag != tag:
-                if tag not in BLOCKS and node.tag in BLOCKS:  # an inline end tag reaches no further than its block
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                now = node.parent
+        if page[found + 1 : found + 2] in ("!", "?"):
+            flush()
+            at = page.find(">", found) + 1
             continue
-        if tag in CLOSES_P:
-            node = now
-            while node is not root and (node.tag not in BLOCKS or node.tag == "p"):
-                if node.tag == "p":
-                    now = node.parent
-                    break
-                node = node.parent
-        if tag in SIBLINGS:
-            ends, scope = SIBLINGS[tag]
-            node = now
-            while node is not root and node.tag not in scope:
-                if node.tag in ends:
-                    now = node.parent
-                node = node.parent
-        attributes = found[3]
-        article = now.article or tag in ("article", "main")
-        node = Element(tag, now, now.out or unwanted(tag, attributes, now.article), article)
-        now.children.append(node)
+        name = NAME.match(page, found + 1)
+        if name is None:
+            text.append("<")
+            at = found + 1
+            continue
+        rest = REST.match(page, name.end()) if quoted else None
+        if rest is None:
+            quoted = False  # some quote never ends
+            rest = ENDS.match(page, name.end())
+        at, tag, attributes = rest.end(), name[1].lower(), rest[0][:-1]
+        flush()
+        if page[found + 1] == "/":
+            held.close(tag)
+            continue
+        held.make_room(tag)
+        above = held.now
+        out, mark = judged(tag, attributes, above.article)
+        node = Element(tag, above, above.out or out, mark, above.article or tag in ("article", "main"))
+        above.children.append(node)
         nodes.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if tag not in raw_ends:
+                raw_ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I)
+            close = raw_ends[tag].search(page, at)
             node.children.append(page[at : close.start() if close else end])
             at = close.end() if close else end
-        elif tag not in VOID and not attributes.endswith("/"):
-            now = node
+        elif tag not in VOID and not attributes.endswith("/") and node.depth < DEEPEST:
+            held.enter(node)
+    flush()
     return nodes
 
 
+def drop_marked(nodes: list[Element]) -> None:
+    """Marked elements are no main text, unless they hold an article or, on a page without one, no text would be left."""
+    holders = holds_article(nodes)
+    gone = set()
+    for node in nodes[1:]:
+        if id(node.parent) in gone or node.mark and id(node) not in holders:
+            gone.add(id(node))
+    if not holders and not any(c.__class__ is str and not c.isspace() for n in nodes if not n.out and id(n) not in gone for c in n.children):
+        return
+    for node in nodes:
+        node.out = node.out or id(node) in gone
+
+
 def hash_subtrees(nodes: list[Element]) -> None:
     """Elements in page order: from the back, children come before their parents."""
     for node in reversed(nodes):
@@ -163,6 +245,26 @@ def holds_article(nodes: list[Element]) -> set[int]:
     return out
 
 
+def headings(nodes: list[Element]) -> set[int]:
+    """Headings of first rank before the first article, with what holds them."""
+    out: set[int] = set()
+    for node in nodes:
+        if node.article and not node.out:
+            break
+        if node.tag == "h1" and not node.out:
+            while node is not None and id(node) not in out:
+                out.add(id(node))
+                node = node.parent
+    return out
+
+
+def whole(node: Element, holders: set[int]) -> bool:
+    """Part of a heading that counts as an article's."""
+    while node is not None and id(node) not in holders:
+        node = node.parent
+    return node is not None and node.tag == "h1"
+
+
 def signatures(page: str) -> tuple[int, set[int]]:
     """The hash of what the page is about (its articles, else its body), and of every subtree that may be template."""
     nodes = parse(page)
@@ -177,11 +279,14 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     nodes = parse(page)
     if template:
         hash_subtrees(nodes)
+    drop_marked(nodes)
     holders = holds_article(nodes)
+    if holders and not any(n.tag == "h1" and n.article and not n.out for n in nodes):
+        holders |= headings(nodes)
     blocks, words = [], []
 
     def close():
-        line = " ".join(html.unescape("".join(words)).split())
+        line = " ".join("".join(words).split())
         words.clear()
         if line:
             blocks.append(line)
@@ -193,7 +298,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
             close()
             continue
         if node.__class__ is str:
-            words.append(node)
+            words.append(html.unescape(node))
             continue
         if node.out or template and node.hash in template and removable(node) and id(node) not in holders:
             close()
@@ -201,7 +306,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
         if node.tag == "br":
             words.append(" ")
             continue
-        inside = [c for c in node.children if not holders or node.article or c.__class__ is Element and id(c) in holders]
+        inside = [c for c in node.children if not holders or node.article or whole(node, holders) or c.__class__ is Element and id(c) in holders]
         if node.tag in BLOCKS:
             close()
             todo.append(None)
@@ -211,7 +316,7 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
 
 
 def templates(pages: DataFrame, least: int = PAGES) -> DataFrame:
-    """Rows (host, hash): the subtrees that recur on at least ``least`` pages of a host."""
+    """Rows (host, hash, pages): the subtrees that recur on at least ``least`` different pages of a host."""
 
     def run(batches):
         for block in text_blocks(batches, "html"):
@@ -224,7 +329,7 @@ def templates(pages: DataFrame, least: int = PAGES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(about, pa.int64())], names=["host", "hash", "about"])
 
     rows = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long, about long")
-    return rows.distinct().groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least).select("host", "hash")
+    return rows.distinct().groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
 
 
 def extract(pages: DataFrame, least: int = PAGES, broadcast: int = BROADCAST) -> DataFrame:
@@ -258,7 +363,9 @@ def extract(pages: DataFrame, least: int = PAGES, broadcast: int = BROADCAST) ->
             at = pa.array([k for k, s in enumerate(own) for _ in s], pa.int64())
             yield pa.RecordBatch.from_arrays([block.column("row").take(at), block.column("host").take(at), pa.array([h for s in own for h in s], pa.int64())], names=["row", "host", "hash"])
 
-    hits = numbered.select("row", "host", "html").mapInArrow(held, "row long, host string, hash long").join(known, ["host", "hash"])
+    held_rows = settle(numbered.select("row", "host", "html").mapInArrow(held, "row long, host string, hash long").select("row", F.xxhash64("host", "hash").alias("key"), "hash"), "subtrees")
+    keyed = known.select(F.xxhash64("host", "hash").alias("key"), "pages").distinct()
+    hits = join_counted(held_rows, keyed, "key", "pages", known.agg(F.sum("pages")).first()[0])
     joined = numbered.join(hits.groupBy("row").agg(F.collect_list("hash").alias("template")), "row", "left").select("page_id", "url", "html", "template")
 
     def with_join(batches):
