@@ -33,18 +33,24 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/runlens-shared"
+    """The folder that driver and executors share: spark.checkpoint.dir. A local one only where that is unset and all run on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or f"file://{tempfile.gettempdir()}/runlens-shared"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    Zstandard needs less disk than the default and, as measured, less executor memory.
+    Zstandard needs less disk than the default and, as measured, less executor memory. The folder is deleted when the
+    session ends, or by discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,15 +62,16 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, keyed: DataFrame, key: str | list[str], copies: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``keyed`` (one row a key; ``copies`` says how many of the ``total`` rows hold it).
 
     Hot keys, fewer than HOT, are joined by broadcast and never shuffled, so one huge group does not land in one task.
     ``rows`` is read twice and should be settled; ``copies`` is dropped. No key may be null.
     """
+    key = [key] if isinstance(key, str) else key
     hot = F.col(copies) * HOT > total
     few, rest = F.broadcast(keyed.where(hot).drop(copies)), keyed.where(~hot).drop(copies)
-    cold = rows.join(F.broadcast(keyed.where(hot).select(key)), key, "left_anti")
+    cold = rows.join(F.broadcast(keyed.where(hot).select(*key)), key, "left_anti")
     return rows.join(few, key).unionByName(cold.join(rest, key))
 
 

@@ -1,26 +1,31 @@
 """Line dedup by a suffix array over line-ID sequences, built by distributed prefix doubling.
 
 A line's ID is a 128-bit hash of the trimmed line; blank lines are no lines. Suffixes never cross documents. Round k
-ranks every suffix by its first 2 ** k lines from the ranks of its two halves; suffixes whose prefix occurs once are
-discarded, as no longer prefix of theirs can repeat. Runs of one rank, or of one pair of overlapping ranks, are the
-longest-common-prefix intervals of depth l; every member but the first in (doc_id, row, line) order is a later copy.
-A repeated run counts if it has at least ``words`` words. Since a line has a word at least, runs of more than ``words`` lines
-consist of qualifying runs of ``words`` lines, so doubling stops there: the order of deeper prefixes decides nothing.
+ranks every suffix by its first 2 ** k lines from the ranks of its two halves, in order; suffixes whose prefix occurs
+once are discarded, as no longer prefix of theirs can repeat. Doubling goes on until no pair of ranks repeats. Suffixes
+of one rank are a longest-common-prefix interval of depth 2 ** k, those of one pair of overlapping ranks one of a depth
+between; every member but the first in (doc_id, row, line) order begins a later copy. A repeated run counts if it has at
+least ``words`` words. Since a line has a word at least, longer runs than ``words`` lines consist of qualifying runs of
+``words`` lines: what is deleted follows from the depths up to ``words``, the maximal runs from all.
 
-Lines of later copies are deleted, the rest is kept as it was, joined by line breaks.
+Lines of later copies are deleted, the rest is kept as it was, joined by line breaks. ``runs`` lists the maximal runs:
+per depth, windows that follow one another and whose first occurrences do so too are one run, and of runs within
+another only the outer stays.
 
 Defined results: null texts stay null, empty ones empty. Repeated rows are copies of the first. A null doc_id comes
-first. An empty table gives no rows. All columns are kept, but for columns named n_lines or gone, which the results
-replace. Rows are numbered once, in a settled copy, so their numbers hold when executors are lost or scans are cut
-otherwise.
+first. An empty table gives no rows. All columns are kept, but for columns named n_lines, gone or runs, which the
+results replace. Rows are numbered once, in a settled copy, so their numbers hold when executors are lost or scans are
+cut otherwise. Very common lines and runs are joined by broadcast, so no task holds all places of one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import settle
+from runlens.llm.common import join_counted, settle
 
 WORDS = 5
 SPACE = " \t\r\x0b\x0c"
@@ -45,8 +50,8 @@ def own() -> Column:
 
 
 def ranked(pairs: DataFrame, x: str, y: str, name: str) -> DataFrame:
-    """Names that keep the order of (x, y), for pairs that occur at least twice, with their first occurrence."""
-    repeated = pairs.groupBy(x, y).agg(F.count("*").alias("n"), F.min(own()).alias(f"first{name}")).where("n > 1").drop("n")
+    """Names that keep the order of (x, y), for pairs that occur at least twice, with their first occurrence and number (``copies``)."""
+    repeated = pairs.groupBy(x, y).agg(F.count("*").alias("copies"), F.min(own()).alias(f"first{name}")).where("copies > 1")
     return settle(repeated.repartitionByRange(x, y).sortWithinPartitions(x, y).withColumn(name, F.monotonically_increasing_id()), "ranks")
 
 
@@ -56,40 +61,76 @@ def shifted(column: str, by: int) -> Column:
 
 
 def later_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows (row, gone) from rows (row, doc_id, text): the lines of each that are later copies, in order."""
+    """Rows (row, gone, runs) from rows (row, doc_id, text): the lines of each that are later copies, in order, and its maximal runs."""
     table = settle(lines(docs), "lines")
+    total = table.count()
     level0 = ranked(table, "h1", "h2", "r0")
-    active = table.join(level0, ["h1", "h2"]).select("row", "doc_id", "at", "line", "words", "r0", "firstr0")
+    active = join_counted(table, level0, ["h1", "h2"], "copies", total).select("row", "doc_id", "at", "line", "words", "r0", "firstr0")
     top = max(0, words.bit_length() - 1)
     for k in range(top):
         active = settle(active.withColumn("half", shifted(f"r{k}", 1 << k)), "suffixes")
         both = active.where(F.col(f"r{k}").isNotNull() & F.col("half").isNotNull()).withColumnsRenamed({f"r{k}": "x", "half": "y"})
         names = ranked(both, "x", "y", f"r{k + 1}").withColumnsRenamed({"x": f"r{k}", "y": "half"})
-        active = active.join(names, [f"r{k}", "half"], "left").drop("half")
+        known = join_counted(active.select("row", "at", f"r{k}", "half").where("half is not null"), names, [f"r{k}", "half"], "copies", total).select("row", "at", f"r{k + 1}", f"firstr{k + 1}")
+        active = active.drop("half").join(known, ["row", "at"], "left")
     # intervals of depth l: one rank for powers of two, else two overlapping ones
     depth = {n: n.bit_length() - 1 for n in range(1, words + 1)}
     ahead = {f"y{n}": shifted(f"r{k}", n - (1 << k)) for n, k in depth.items() if n != 1 << k}
     held = {f"w{n}": F.sum("words").over(Window.partitionBy("row").orderBy("at").rangeBetween(0, n - 1)) for n in depth}
     active = settle(active.withColumns(ahead | held), "prefixes")
-    runs = [F.when((F.col(f"w{n}") >= words) & (F.col(f"firstr{k}") < own()), F.lit(n)) for n, k in depth.items() if n == 1 << k]
-    straight = active.select("row", "at", F.explode(F.array_compact(F.array(*runs))).alias("n"))
+    runs = [F.when((F.col(f"w{n}") >= words) & (F.col(f"firstr{k}") < own()), F.struct(F.lit(n).alias("n"), F.col(f"firstr{k}").alias("first"))) for n, k in depth.items() if n == 1 << k]
+    copies = active.select("row", "at", F.explode(F.array_compact(F.array(*runs))).alias("c")).select("row", "at", "c.*")
     other = [F.when((F.col(f"w{n}") >= words) & F.col(f"r{k}").isNotNull() & F.col(f"y{n}").isNotNull(), F.struct(F.lit(n).alias("n"), F.col(f"r{k}").alias("x"), F.col(f"y{n}").alias("y"))) for n, k in depth.items() if n != 1 << k]
     if other:
-        deep = active.select("row", "doc_id", "at", F.explode(F.array_compact(F.array(*other))).alias("p")).select("row", "doc_id", "at", "p.*")
-        first = deep.groupBy("n", "x", "y").agg(F.count("*").alias("copies"), F.min(own()).alias("first")).where("copies > 1").drop("copies")
-        straight = straight.union(deep.join(first, ["n", "x", "y"]).where(F.col("first") < own()).select("row", "at", "n"))
-    covered = straight.select("row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).distinct()
-    return active.select("row", "at", "line").join(covered, ["row", "at"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+        pairs = settle(active.select("row", "doc_id", "at", F.explode(F.array_compact(F.array(*other))).alias("p")).select("row", "doc_id", "at", "p.*"), "pairs")
+        first = settle(pairs.groupBy("n", "x", "y").agg(F.count("*").alias("copies"), F.min(own()).alias("first")).where("copies > 1"), "firsts")
+        copies = copies.unionByName(join_counted(pairs, first, ["n", "x", "y"], "copies", total).where(F.col("first") < own()).select("row", "at", "n", "first"))
+    deeper = deepened(active.select("row", "doc_id", "at", F.col(f"r{top}").alias("r")).where("r is not null"), top, total)
+    copies = settle(reduce(DataFrame.unionByName, deeper, copies), "copies")
+    covered = copies.where(F.col("n") <= words).select("row", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).distinct()
+    gone = active.select("row", "at", "line").join(covered, ["row", "at"], "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("gone"))
+    return gone.join(maximal(copies, active), "row", "left")
+
+
+def deepened(active: DataFrame, k: int, total: int) -> list[DataFrame]:
+    """Doubling from depth 2 ** k, rows (row, doc_id, at, r), until no pair repeats: per depth, rows (row, at, n, first) of its later copies."""
+    out = []
+    while True:
+        both = settle(active.withColumn("y", shifted("r", 1 << k)).where("y is not null").withColumnRenamed("r", "x"), "suffixes")
+        names = ranked(both, "x", "y", "r")
+        if names.isEmpty():
+            return out
+        active = settle(join_counted(both, names, ["x", "y"], "copies", total).select("row", "doc_id", "at", "r", "firstr"), "deeper")
+        k += 1
+        out.append(active.where(F.col("firstr") < own()).select("row", "at", F.lit(1 << k).alias("n"), F.col("firstr").alias("first")))
+        active = active.drop("firstr")
+
+
+def maximal(copies: DataFrame, active: DataFrame) -> DataFrame:
+    """Rows (row, runs) of copies (row, at, n, first): the maximal runs in order, each (line, lines, doc_id of its first occurrence)."""
+    step = Window.partitionBy("row", "n", "first.row", F.col("at") - F.col("first.at")).orderBy("at")
+    chained = copies.withColumn("chain", F.col("at") - F.row_number().over(step)).groupBy("row", "n", F.col("first.row").alias("source"), (F.col("at") - F.col("first.at")).alias("shift"), "chain")
+    found = chained.agg(F.min("at").alias("at"), (F.count("*") - 1 + F.col("n")).cast("int").alias("lines"), F.first("first.doc_id").alias("doc_id"))
+    # a run is within another if one that starts no later ends no earlier
+    order = Window.partitionBy("row").orderBy("at", F.desc("lines"), F.desc("n"), "source", "shift")
+    reach = F.max(F.col("at") + F.col("lines")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    outer = found.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("at") + F.col("lines") > F.col("reach")))
+    placed = outer.join(active.select("row", "at", "line"), ["row", "at"])
+    return placed.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("line", "lines", "doc_id"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents with their later copies of repeated line runs deleted, plus ``n_lines`` and ``gone`` (line numbers from 0)."""
+    """The documents with their later copies of repeated line runs deleted, plus ``n_lines``, ``gone`` (line numbers from 0) and ``runs``."""
     rows = numbered(docs)
     place = {c: f"c{k}" for k, c in enumerate(docs.columns)}
-    found = later_copies(rows.select("row", F.col(place["doc_id"]).alias("doc_id"), F.col(place["text"]).alias("text")), words)
+    key = F.col(place["doc_id"])
+    found = later_copies(rows.select("row", key.alias("doc_id"), F.col(place["text"]).alias("text")), words)
     split = F.split(place["text"], "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
     kept = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col(place["text"])).otherwise(kept)
-    columns = [(text if c == "text" else F.col(own)).alias(c) for c, own in place.items() if c not in ("n_lines", "gone")]
-    return rows.join(found, "row", "left").select(*columns, F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    columns = [(text if c == "text" else F.col(own)).alias(c) for c, own in place.items() if c not in ("n_lines", "gone", "runs")]
+    none = F.array().cast(found.schema["runs"].dataType)
+    # hashing the few lines of each partition spares sorting whole texts
+    joined = rows.join(found.hint("shuffle_hash"), "row", "left")
+    return joined.select(*columns, F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.coalesce("runs", none).alias("runs"))

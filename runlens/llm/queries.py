@@ -39,7 +39,9 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_lines", F.size("gone").alias("n_gone"), F.array_join(F.transform("gone", lambda i: i.cast("string")), ",").alias("gone"), "text")
+    listed = F.array_join(F.transform("gone", lambda i: i.cast("string")), ",")
+    runs = F.array_join(F.transform("runs", lambda r: F.concat_ws("+", r["line"].cast("string"), r["lines"].cast("string"))), ",")
+    return kept.select("doc_id", "n_lines", F.size("gone").alias("n_gone"), listed.alias("gone"), "text", runs.alias("runs"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

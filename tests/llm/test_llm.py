@@ -129,7 +129,7 @@ def test_line_dedup(docs, empty):
                         seen.add(run)
             want.add((key, None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone), tuple(sorted(gone))))
         assert got == want
-    assert line_dedup.dedup_lines(docs).columns == [*docs.columns, "n_lines", "gone"] and line_dedup.dedup_lines(empty).count() == 0
+    assert line_dedup.dedup_lines(docs).columns == [*docs.columns, "n_lines", "gone", "runs"] and line_dedup.dedup_lines(empty).count() == 0
 
 
 def test_secrets(docs, empty):
@@ -343,3 +343,14 @@ def test_line_dedup_keeps_a_clashing_row_number(docs):
 def test_line_dedup_of_rows_from_no_file(spark):
     made = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four five"), (2, "one two three four five\nx")], "doc_id long, text string")
     assert sorted(r.text for r in line_dedup.dedup_lines(made).collect()) == ["", "one two three four five", "x"]
+
+
+def test_doubling_finds_maximal_runs(spark):
+    """Long runs, beyond the depth that decides deletions, against brute force over every pair of places."""
+    gen = random.Random(9)
+    fresh = lambda n: [f"line {gen.getrandbits(60)} of its own words" for _ in range(n)]
+    a, b = fresh(37), fresh(20)
+    texts = [fresh(3) + a + fresh(2), b, fresh(4) + a[5:30] + fresh(1) + b[2:19], a[:9] + ["x"] + b, fresh(6)]
+    made = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)] + [(7, None), (8, "")], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: ([tuple(x) for x in r.runs], r.gone) for r in line_dedup.dedup_lines(made).collect()}
+    assert got == {0: ([], []), 1: ([], []), 2: ([(4, 25, 0), (30, 17, 1)], [*range(4, 29), *range(30, 47)]), 3: ([(0, 9, 0), (10, 20, 1)], [*range(9), *range(10, 30)]), 4: ([], []), 7: ([], []), 8: ([], [])}
