@@ -8,6 +8,9 @@ between; every member but the first in (doc_id, row, line) order begins a later
 least ``words`` words. Since a line has a word at least, longer runs than ``words`` lines consist of qualifying runs of
 ``words`` lines: what is deleted follows from the depths up to ``words``, the maximal runs from all.
 
+Of equal documents only the first has suffixes: every run of a later one is also a run of the first, so a later one is a
+single run from its first line to its last.
+
 Lines of later copies are deleted, the rest is kept as it was, joined by line breaks. ``runs`` lists the maximal runs:
 per depth, windows that follow one another and whose first occurrences do so too are one run, and of runs within
 another only the outer stays.
@@ -34,7 +37,22 @@ SPACE = " \t\r\x0b\x0c"
 def numbered(docs: DataFrame) -> DataFrame:
     """A settled copy: ``row`` numbers the rows, the columns are named c0, c1, ... so that no name can clash."""
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
-    return settle(plain.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    text = F.col(f"c{docs.columns.index('text')}")
+    return settle(plain.withColumns({"row": F.monotonically_increasing_id(), "d1": F.xxhash64(text), "d2": F.xxhash64(F.lit(1), text)}), "numbered")
+
+
+def words_of(x: Column) -> Column:
+    """Words of a trimmed text; with single blanks alone they need no pattern."""
+    plain = F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    odd = reduce(lambda a, b: a | b, (x.contains(c) for c in ("  ", "\t", "\r", "\x0b", "\x0c")))
+    return F.when(odd, F.size(F.split(x, r"\s+"))).otherwise(plain)
+
+
+def equal_documents(docs: DataFrame) -> DataFrame:
+    """Rows (row, source) from rows (row, doc_id, d1, d2): the documents that are equal to an earlier one, and the id of the first."""
+    place = F.struct("doc_id", "row")
+    first = settle(docs.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min(place).alias("first")).where("copies > 1"), "same")
+    return settle(join_counted(docs, first, ["d1", "d2"], "copies", docs.count()).where(place > F.col("first")).select("row", F.col("first.doc_id").alias("source")), "later")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -42,7 +60,7 @@ def lines(docs: DataFrame) -> DataFrame:
     split = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(SPACE)).alias("x")))
     full = F.filter(split, lambda s: s["x"] != "")
     rows = docs.select("row", "doc_id", F.posexplode(full).alias("at", "s"))
-    return rows.select("row", "doc_id", "at", "s.line", F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit(1), "s.x").alias("h2"), F.size(F.split("s.x", r"\s+")).alias("words"))
+    return rows.select("row", "doc_id", "at", "s.line", F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit(1), "s.x").alias("h2"), words_of(F.col("s.x")).alias("words"))
 
 
 def own() -> Column:
@@ -60,9 +78,12 @@ def shifted(column: str, by: int) -> Column:
     return F.first(column).over(Window.partitionBy("row").orderBy("at").rangeBetween(by, by))
 
 
-def later_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Rows (row, gone, runs) from rows (row, doc_id, text): the lines of each that are later copies, in order, and its maximal runs."""
-    table = settle(lines(docs), "lines")
+def later_copies(docs: DataFrame, equal: DataFrame, words: int = WORDS) -> DataFrame:
+    """Rows (row, gone, runs) from rows (row, doc_id, text): the lines of each that are later copies, in order, and its maximal runs.
+
+    Rows in ``equal`` have no part in it.
+    """
+    table = settle(lines(docs).join(equal, "row", "left_anti"), "lines")
     total = table.count()
     level0 = ranked(table, "h1", "h2", "r0")
     active = join_counted(table, level0, ["h1", "h2"], "copies", total).select("row", "doc_id", "at", "line", "words", "r0", "firstr0")
@@ -124,13 +145,21 @@ def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = numbered(docs)
     place = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     key = F.col(place["doc_id"])
-    found = later_copies(rows.select("row", key.alias("doc_id"), F.col(place["text"]).alias("text")), words)
+    equal = equal_documents(rows.select("row", key.alias("doc_id"), "d1", "d2").where(F.col(place["text"]).isNotNull()))
+    found = later_copies(rows.select("row", key.alias("doc_id"), F.col(place["text"]).alias("text")), equal.select("row"), words)
+    found = found.withColumns({"equal": F.lit(False), "source": F.lit(None).cast(equal.schema["source"].dataType)}).unionByName(equal.withColumn("equal", F.lit(True)), allowMissingColumns=True)
+    # hashing the few lines of each partition spares sorting whole texts
+    joined = rows.join(found.hint("shuffle_hash"), "row", "left")
     split = F.split(place["text"], "\n")
+    full = F.filter(F.transform(split, lambda x, i: F.when(F.btrim(x, F.lit(SPACE)) != "", i)), lambda i: i.isNotNull())
+    enough = F.size(F.filter(F.split(place["text"], r"\s+"), lambda w: w != "")) >= words
+    joined = joined.withColumn("gone", F.when(F.col("equal"), F.when(enough, full)).otherwise(F.col("gone")))
+    none = F.array().cast(found.schema["runs"].dataType)
+    whole = F.when(F.col("gone").isNotNull(), F.array(F.struct(F.get("gone", F.lit(0)).alias("line"), F.size("gone").alias("lines"), F.col("source").alias("doc_id"))))
+    joined = joined.withColumn("runs", F.when(F.col("equal"), whole).otherwise(F.col("runs")))
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
     kept = F.array_join(F.transform(left, lambda i: F.get(split, i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col(place["text"])).otherwise(kept)
     columns = [(text if c == "text" else F.col(own)).alias(c) for c, own in place.items() if c not in ("n_lines", "gone", "runs")]
-    none = F.array().cast(found.schema["runs"].dataType)
-    # hashing the few lines of each partition spares sorting whole texts
-    joined = rows.join(found.hint("shuffle_hash"), "row", "left")
-    return joined.select(*columns, F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.coalesce("runs", none).alias("runs"))
+    breaks = F.length(place["text"]) - F.length(F.replace(F.col(place["text"]), F.lit("\n"), F.lit("")))
+    return joined.select(*columns, F.coalesce(breaks + 1, F.lit(0)).alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"), F.coalesce("runs", none).alias("runs"))
