@@ -6,8 +6,9 @@ checked word by word). For every document and item with enough seeds, the longes
 marked again and again, longest first, down to ``least`` words. An item is leaked if tiles cover at least ``coverage`` of
 its words, in whatever order its passages stand.
 
-The benchmark is sent to the workers in blocks of at most ``block`` bytes; a larger benchmark takes several passes over
-the documents, so nothing unbounded is broadcast. No shuffle is needed.
+The benchmark is sent to the workers in blocks of about ``BLOCK`` bytes; a larger benchmark takes several passes over
+the documents, one block after another, so driver and workers hold one block. No shuffle is needed. A worker makes the
+index of a block once. Memory for a document and an item grows with the pairs of places that hold the same seed.
 
 Defined results: items of fewer than ``least`` words are too short to be evidence and never match. Null or empty texts
 never match. Repeated rows are reported as often as they occur, and every row of the benchmark is an item of its own, its
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
-from runlens.llm.common import text_blocks, word_codes
+from runlens.llm.common import settle, text_blocks, word_codes
 
 LEAST, COVERAGE = 5, 0.5
 #: Bytes of benchmark text in a pass.
@@ -93,77 +96,93 @@ class Benchmark:
         at, seed = self.seeds(ids, edges)
         owner = np.searchsorted(edges, at, side="right") - 1
         for doc in np.unique(owner):
-            by_item = defaultdict(list)
-            for i, s in zip(at[owner == doc].tolist(), seed[owner == doc].tolist(), strict=True):
-                for key, j in self.places[s]:
-                    by_item[key].append((i, j))
-            for key, hits in by_item.items():
+            by_item = defaultdict(list)  # per item, pairs (places in the document, places in the item) of each seed
+            first, last = np.searchsorted(owner, [doc, doc + 1])
+            order = first + np.argsort(seed[first:last], kind="stable")
+            cuts = np.flatnonzero(np.diff(seed[order])) + 1
+            for here in np.split(order, cuts):
+                there = defaultdict(list)
+                for key, j in self.places[seed[here[0]]]:
+                    there[key].append(j)
+                for key, js in there.items():
+                    by_item[key].append((at[here], js))
+            for key, held in by_item.items():
                 item = self.words[key]
                 reach = np.zeros(len(item), bool)
-                for j in {j for _, j in hits}:
-                    reach[j : j + self.least] = True
+                for _, there in held:
+                    for j in there:
+                        reach[j : j + self.least] = True
                 if reach.sum() < coverage * len(item):  # tiles lie within seeds, so they cannot cover more
                     continue
-                own = [(i, j) for i, j in hits if (ids[i : i + self.least] == item[j : j + self.least]).all()]
-                sizes = tiles(own, self.least, len(item))
+                i = np.concatenate([np.repeat(here, len(there)) for here, there in held])
+                j = np.concatenate([np.tile(there, len(here)) for here, there in held])
+                same = np.ones(len(i), bool)
+                for k in range(self.least):
+                    same &= ids[i + k] == item[j + k]
+                sizes = tiles(i[same], j[same], self.least, len(item))
                 if sizes and sum(sizes) >= coverage * len(item):
                     yield int(doc), key, sum(sizes), len(sizes), max(sizes)
 
 
-def tiles(hits: list[tuple[int, int]], least: int, size: int) -> list[int]:
-    """Greedy string tiling over verified seeds (document position, item position): the tiles' lengths, longest first.
+def tiles(i: np.ndarray, j: np.ndarray, least: int, size: int) -> list[int]:
+    """Greedy string tiling over verified seeds (places in the document, places in the item): the tiles' lengths, longest first.
 
     Runs of seeds on one diagonal are the maximal matches; the longest unmarked one is marked, what is left of others
-    that it touches is tried again.
+    that it touches is tried again, until the item has no room for a tile.
     """
-    runs = []
-    for i, j in sorted(hits, key=lambda x: (x[0] - x[1], x[1])):
-        if runs and runs[-1][0] - runs[-1][1] == i - j and j <= runs[-1][1] + runs[-1][2] - least + 1:
-            runs[-1][2] = j + least - runs[-1][1]
-        else:
-            runs.append([i, j, least])
-    queue = [(-n, j, i) for i, j, n in runs]
+    if not len(i):
+        return []
+    order = np.lexsort((j, i - j))
+    i, j = i[order], j[order]
+    cut = np.flatnonzero(np.concatenate([[True], (np.diff(i - j) != 0) | (np.diff(j) > 1)]))
+    last = np.concatenate([cut[1:], [len(j)]]) - 1
+    length = j[last] - j[cut] + least
+    base = int(i.min())
+    item, doc, out = np.zeros(size, bool), np.zeros(int(i.max()) + least - base, bool), []
+    queue = list(zip((-length).tolist(), j[cut].tolist(), (i[cut] - base).tolist(), strict=True))
     heapq.heapify(queue)
-    item, doc, out = np.zeros(size, bool), set(), []
-    while queue:
-        n, j, i = heapq.heappop(queue)
-        free = [not item[j + k] and i + k not in doc for k in range(-n)]
-        if all(free):
-            item[j : j - n] = True
-            doc.update(range(i, i - n))
+    room = size
+    while queue and room >= least:
+        n, y, x = heapq.heappop(queue)
+        taken = item[y : y - n] | doc[x : x - n]
+        if not taken.any():
+            item[y : y - n] = doc[x : x - n] = True
             out.append(-n)
+            room += n
             continue
-        start = None
-        for k, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = k
-            elif not ok and start is not None:
-                if k - start >= least:
-                    heapq.heappush(queue, (start - k, j + start, i + start))
-                start = None
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]])))
+        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if end - start >= least:
+                heapq.heappush(queue, (start - end, y + start, x + start))
     return out
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of at most ``limit`` bytes (a longer item alone)."""
+def blocks(benchmark: DataFrame, limit: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in blocks of about ``limit`` bytes (a longer item alone), one after another."""
     items = benchmark.where("text is not null").select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total <= limit:
-        return [[(r.item_id, r.text) for r in items.collect()]]
-    n = 2 * (total // limit) + 1
+    n = 1 if total <= limit else 2 * (total // limit) + 1
     parts = items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("part"))
-    return [[(r.item_id, r.text) for r in parts.where(F.col("part") == k).select("item_id", "text").collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r.item_id, r.text) for r in parts.where(F.col("part") == k).select("item_id", "text").collect()]
+
+
+#: The last block of the benchmark that this worker made an index of.
+LAST: dict = {}
 
 
 def leaks_in(docs: DataFrame, items: list[tuple[int, str]], item_type: DataType, least: int, coverage: float, keep: bool) -> DataFrame:
     items = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK bytes
-    made: list[Benchmark] = []
+    name = uuid.uuid4().hex
 
     def found(block):
         """Leaks in a block, by its rows."""
-        if not made:
-            made.append(Benchmark(items.value, least))
-        bench = made[0]
+        from runlens.llm import decontaminate as worker  # this module as the worker knows it, for all its tasks
+
+        if name not in worker.LAST:
+            worker.LAST.clear()
+            worker.LAST[name] = Benchmark(items.value, least)
+        bench = worker.LAST[name]
         codes, edges, words = word_codes(block.column("text"))
         ids = np.array([(bench.vocabulary.get(w, 0) if w else -1) for w in map(bare, words.to_pylist())], np.int64)
         ids = ids[codes] if len(codes) else np.zeros(0, np.int64)
@@ -194,13 +213,17 @@ def leaks_in(docs: DataFrame, items: list[tuple[int, str]], item_type: DataType,
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """One row per leaked item and document: doc_id, item_id, item_words, covered_words, coverage, n_tiles, longest_tile."""
     kind = benchmark.schema["item_id"].dataType
-    parts = [leaks_in(docs, part, kind, least, coverage, keep=False) for part in blocks(benchmark)]
-    return reduce(DataFrame.union, parts)
+    found: list[DataFrame] = []
+    for part in blocks(benchmark):
+        if found:  # of several blocks, each is done with before the next is sent
+            found[-1] = settle(found[-1], "leaks")
+        found.append(leaks_in(docs, part, kind, least, coverage, keep=False))
+    return reduce(DataFrame.union, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
     """The documents (all columns) into which no item leaked."""
     kind = benchmark.schema["item_id"].dataType
-    for part in blocks(benchmark):
-        docs = leaks_in(docs, part, kind, least, coverage, keep=True)
+    for k, part in enumerate(blocks(benchmark)):
+        docs = leaks_in(docs if k == 0 else settle(docs, "clean"), part, kind, least, coverage, keep=True)
     return docs

@@ -213,14 +213,74 @@ def test_decontamination(spark, docs, empty):
     assert sorted(r.doc_id for r in decontaminate.decontaminate(own, bench).collect()) == [3, 4, 5, 5]
     assert decontaminate.leaks(docs, bench.where("item_id < 0")).count() == 0 and decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench).columns == docs.columns
-    parts = decontaminate.blocks(bench, limit=60)
+    parts = list(decontaminate.blocks(bench, limit=60))
     assert len(parts) > 1 and sorted(k for p in parts for k, _ in p) == [1, 2, 4]
 
 
-def test_tiles_are_the_longest_first():
-    item, doc = list("abcdefghij"), list("xfghijxabcdefyy")
-    hits = [(i, j) for i in range(len(doc) - 2) for j in range(len(item) - 2) if doc[i : i + 3] == item[j : j + 3]]
-    assert decontaminate.tiles(hits, 3, 10) == [6, 4]
+def brute_tiles(doc, item, least):
+    """Greedy string tiling by trying every pair of places in every round."""
+    doc, item, out = list(doc), list(item), []
+    while True:
+        best = max(((n, -j, -i) for i in range(len(doc)) for j in range(len(item)) if (n := next((k for k in range(min(len(doc) - i, len(item) - j) + 1) if k == min(len(doc) - i, len(item) - j) or doc[i + k] is None or doc[i + k] != item[j + k]), 0)) >= least), default=None)
+        if best is None:
+            return out
+        n, j, i = best[0], -best[1], -best[2]
+        doc[i : i + n], item[j : j + n] = [None] * n, [0] * n
+        out.append(n)
+
+
+def test_tiles_equal_brute_force():
+    gen = random.Random(11)
+    for k in range(150):
+        item = [gen.choice("abcd"[: 1 + k % 4]) for _ in range(gen.randrange(1, 24))]
+        doc = [gen.choice("abcdx"[: 1 + k % 5]) for _ in range(gen.randrange(1, 30))] + item[5:] + item[:5]
+        hits = [(i, j) for i in range(len(doc) - 2) for j in range(len(item) - 2) if doc[i : i + 3] == item[j : j + 3]]
+        assert decontaminate.tiles(np.array([i for i, _ in hits], int), np.array([j for _, j in hits], int), 3, len(item)) == brute_tiles(doc, item, 3)
+
+
+def test_repeating_words_stay_cheap():
+    import time
+
+    bench = decontaminate.Benchmark([(1, "na na na na ba " * 80)])
+    ids = np.array([bench.vocabulary[w] for w in ("na na na na ba " * 2400).split()])
+    began = time.process_time()
+    assert [r[2] for r in bench.matches(ids, np.array([0, len(ids)]), 0.5)] == [400] and time.process_time() - began < 15
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_leaks_equal_brute_force(spark):
+    docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id): r.covered_words for r in decontaminate.leaks(docs, bench).collect()}
+    words = lambda t: [w for w in map(decontaminate.bare, (t or "").split()) if w]
+    own = [(r.doc_id, words(r.text)) for r in docs.collect()]
+    grams = [(k, {tuple(d[i : i + 5]) for i in range(len(d) - 4)}, d) for k, d in own]
+    want = {}
+    for r in bench.collect():
+        item = words(r.text)
+        seeds = [tuple(item[j : j + 5]) for j in range(len(item) - 4)]
+        for k, held, d in grams:
+            if sum(s in held for s in seeds) * 5 >= 0.5 * len(item):
+                hits = [(i, j) for i in range(len(d) - 4) for j, s in enumerate(seeds) if tuple(d[i : i + 5]) == s]
+                first, last = min(i for i, _ in hits), max(i for i, _ in hits) + 5
+                covered = sum(brute_tiles(d[first:last], item, 5)) if last - first < 400 else sum(decontaminate.tiles(np.array([i for i, _ in hits]), np.array([j for _, j in hits]), 5, len(item)))
+                if covered >= 0.5 * len(item):
+                    want[k, r.item_id] = covered
+    assert got == want and got
+
+
+def test_votes_equal_exact_cosines():
+    gen = np.random.default_rng(8)
+    rows = [(sorted(gen.choice(500, 40, replace=False).tolist()), gen.integers(1, 9, 40).tolist(), int(k % 3 > 0)) for k in range(90)]
+    space = quality_knn.Space(rows, terms=200, latent=8)
+    counts = gen.integers(0, 4, (30, len(space.idf))).astype(np.float32)
+    got = space.score(counts, neighbours=7)
+    for k in range(30):
+        v = np.log1p(counts[k]) * space.idf
+        v = (v / np.linalg.norm(v)) @ space.basis
+        cosines = [float(v @ w) / float(np.linalg.norm(v) * np.linalg.norm(w)) for w in space.vectors]
+        near = sorted(range(90), key=lambda i: -cosines[i])[:7]
+        weight = [max(cosines[i], 0) ** quality_knn.POWER for i in near]
+        assert got[k] == pytest.approx(sum(w * rows[i][2] for w, i in zip(weight, near, strict=True)) / sum(weight), abs=1e-4)
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
