@@ -8,7 +8,7 @@ exact cosines to all of them in blocks, and its nearest neighbours vote with the
 
 Defined results: an empty or null text has no terms; its score is the mean label of the training sample. Training
 labels of null are ignored; without any training rows every score is 0.5. Repeated rows are scored alike and stay
-repeated. Ties of similarity are broken by the order of the training sample. Extra columns are ignored.
+repeated; of rows that share a labelled id the least text trains. Ties of similarity are broken by the order of the training sample. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Spa
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("quality"), pa.array(index, pa.list_(pa.int32())), pa.array(number, pa.list_(pa.int32()))], names=["doc_id", "quality", "at", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text")  # at most 2 * per_class rows
+    chosen = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most 2 * per_class rows, however often an id repeats
     rows = chosen.mapInArrow(count, f"doc_id {kind}, quality int, at array<int>, n array<int>").toArrow().sort_by("doc_id").to_pydict()
     seen, out = set(), []
     for doc, y, at, n in zip(rows["doc_id"], rows["quality"], rows["at"], rows["n"], strict=True):
