@@ -3,8 +3,10 @@
 Fingerprints are reduced to the distinct ones. A vantage-point tree, built from a bounded sample, partitions them by
 Hamming distance. A fingerprint whose distance lies within half the radius of a node's threshold goes to both sides,
 so by the triangle bound every pair within the radius meets in at least one shard. A shard splits on by vantage points
-of its own until its blocks are small enough for exact comparison; a ball too dense to split is joined by one-bit
-neighbours instead, which is exact for a radius of two and linear. A shard returns a spanning forest of its links, not
+of its own until its blocks are small enough for exact comparison. Shards that are too large for a task are sampled and
+routed again by trees of their own, in Spark; a ball too dense to split, in a task or in Spark, is joined by one-bit
+neighbours instead, which is exact for a radius of two and linear: two fingerprints two bits apart have a neighbour in
+common. A shard returns a spanning forest of its links, not
 all pairs, and the components are contracted in Spark by alternating large and small stars.
 
 Defined results: a null or empty text has fingerprint zero and links like any other. Repeated rows and exact copies
@@ -15,6 +17,7 @@ An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +29,10 @@ from runlens.llm.common import discard, join_counted, settle, text_blocks
 
 RADIUS = 2
 #: Distinct fingerprints sampled for the tree at least and at most (the driver holds them), of the sample in a leaf at
-#: least, wanted in a shard, compared all with all. The sample grows with the number of shards, so shards keep their size
-#: up to MOST / LEAF of them.
+#: least, wanted in a shard, compared all with all. The sample grows with the number of shards.
 SAMPLE, MOST, LEAF, SHARD, BLOCK = 4096, 1 << 18, 32, 8192, 768
+#: Fingerprints of a shard above which it is routed again, and how often.
+LARGE, TURNS = 8 * SHARD, 3
 ONE = np.uint64(1)
 FLIPS = np.concatenate([[np.uint64(0)], ONE << np.arange(64, dtype=np.uint64)])
 
@@ -166,43 +170,77 @@ def forest(fps: np.ndarray, radius: int = RADIUS, seed: int = 7) -> tuple[np.nda
     return both[0], both[1]
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def sampled(fps: DataFrame, size: int) -> np.ndarray:
+    """At most ``size`` fingerprints, those with the smallest hashes."""
+    rows = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).toArrow()
+    return rows.column("fp").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def depth(n: int, shard: int) -> int:
+    return max(0, math.ceil(math.log2(max(1, n / shard))))
+
+
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD, large: int = LARGE, turns: int = TURNS) -> DataFrame:
     """Rows (a, b) that span every component of the distinct fingerprints (column fp, ``n`` rows)."""
-    size = min(MOST, max(SAMPLE, 2 * LEAF * n // shard))
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(size).toArrow()
-    points = sample.column("fp").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-    tree = grow(points, max(0, math.ceil(math.log2(max(1, n / shard)))), np.random.default_rng(11))
     half = radius // 2 + radius % 2
+    rng = np.random.default_rng(11)
+    trees = {0: grow(sampled(distinct, min(MOST, max(SAMPLE, 2 * LEAF * n // shard))), depth(n, shard), rng)}
+    rows, found = distinct.select(F.lit(0).cast("long").alias("shard"), "fp"), []
+
+    def routed(rows: DataFrame, trees: dict) -> DataFrame:
+        def route(batches):
+            for batch in batches:
+                fps, owner = batch.column("fp").to_numpy().view(np.uint64), batch.column("shard").to_numpy()
+                for own in np.unique(owner).tolist():
+                    for path, at in shards(trees[own], fps, np.flatnonzero(owner == own), half):
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), (own << 18) + path, np.int64)), batch.column("fp").take(pa.array(at))], names=["shard", "fp"])
 
-    def route(batches):
-        for batch in batches:
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            for path, at in shards(tree, fps, np.arange(len(fps)), half):
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), path, np.int64)), batch.column("fp").take(pa.array(at))], names=["shard", "fp"])
+        return settle(rows.mapInArrow(route, "shard long, fp long"), "shards")
 
     def join(group: pa.Table) -> pa.Table:
         a, b = forest(group.column("fp").to_numpy().view(np.uint64), radius)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return distinct.select("fp").mapInArrow(route, "shard long, fp long").groupBy("shard").applyInArrow(join, "a long, b long")
+    for turn in range(turns):
+        rows = routed(rows, trees)
+        big = settle(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > large), "large")
+        sizes = {r["shard"]: r["n"] for r in big.orderBy(F.desc("n"), "shard").limit(MOST // SAMPLE).collect()}  # others wait as they are
+        if not sizes:
+            return reduce(DataFrame.union, [*found, rows.groupBy("shard").applyInArrow(join, "a long, b long")])
+        keys = F.broadcast(distinct.sparkSession.createDataFrame([(k, v // SAMPLE + 1) for k, v in sizes.items()], "shard long, one_in long"))  # at most MOST / SAMPLE rows
+        found.append(rows.join(keys, "shard", "left_anti").groupBy("shard").applyInArrow(join, "a long, b long"))
+        rows = rows.join(keys, "shard")
+        samples = rows.where(F.pmod(F.xxhash64("fp"), F.col("one_in")) == 0).select("shard", "fp").toArrow()  # about MOST rows
+        owner, points = samples.column("shard").to_numpy(), samples.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+        trees = {k: grow(points[owner == k], depth(v, shard), rng) for k, v in sizes.items()}
+        rows = rows.select("shard", "fp")
+        if turn == turns - 1:
+            break
+    if radius != 2:
+        return reduce(DataFrame.union, [*found, rows.groupBy("shard").applyInArrow(join, "a long, b long")])
+    flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << k) - (1 << 64 if k == 63 else 0)) for k in range(64)))
+    variants = rows.select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    least = settle(variants.groupBy("variant").agg(F.min("fp").alias("b"), F.count("*").alias("copies")).where("copies > 1"), "variants")
+    found.append(variants.join(least.select("variant", "b"), "variant").where("fp <> b").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct())
+    return reduce(DataFrame.union, found)
 
 
 def contract(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars: rows (fp, root) for every linked fingerprint."""
     now = settle(edges.where("a <> b").distinct(), "links")
-    before = None
+    before, n = None, now.count()
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("copies")).select("u", F.least("u", "m").alias("m"), "copies"), "least")
+        large = join_counted(both, least, "u", "copies", 2 * n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
         small = settle(small.where("a <> b").distinct(), "stars")
         state = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        discard(now)
-        now = small
+        discard(now), discard(least)
+        now, n = small, state.n
         if (state.n, state.h) == before:
             return now.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("root"))
         before = (state.n, state.h)
@@ -215,7 +253,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS) -> Da
     size = distinct.agg(F.count("*").alias("n"), F.sum("copies").alias("total")).first()
     found = settle(contract(links(distinct, size.n, radius)), "components")
     linked = found.select("fp", "root").union(found.select(F.col("root").alias("fp"), "root").distinct())
-    linked = linked.join(distinct, "fp")
-    least = linked.groupBy("root").agg(F.min("first").alias("component"))
-    named = distinct.join(linked.join(least, "root").select("fp", "component"), "fp", "left").select("fp", "copies", F.coalesce("component", "first").alias("component_id"))
+    linked = settle(linked.join(distinct, "fp"), "linked")
+    least = settle(linked.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("members")), "roots")
+    named = distinct.join(join_counted(linked.select("fp", "root"), least, "root", "members", linked.count()).select("fp", "component"), "fp", "left").select("fp", "copies", F.coalesce("component", "first").alias("component_id"))
     return join_counted(own, settle(named, "named"), "fp", "copies", size.total or 0).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

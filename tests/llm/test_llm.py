@@ -97,6 +97,43 @@ def test_forest_spans_all_pairs_also_in_a_dense_ball():
     assert (labels(np.searchsorted(fps, a), np.searchsorted(fps, b)) == labels(i, j)).all()
 
 
+@pytest.mark.parametrize("large, turns", [(400, 1), (400, 3), (1 << 20, 3)])
+def test_large_shards_are_routed_again_or_joined_by_neighbours(spark, large, turns):
+    gen = np.random.default_rng(12)
+    fps = gen.integers(0, 1 << 62, 600, dtype=np.uint64)
+    ball = fps[0] ^ gen.integers(0, 1 << 11, 900, dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, fps[:200] ^ (near_dup.ONE << gen.integers(0, 64, 200).astype(np.uint64)), ball]))
+    rows = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long").repartition(3)
+    edges = near_dup.links(rows, len(fps), shard=100, large=large, turns=turns)
+    got = {r.fp: r.root for r in near_dup.contract(edges).collect()}
+    i, j = np.nonzero(np.triu(near_dup.distance(fps[:, None], fps[None, :]) <= 2, 1))
+    signed = fps.view(np.int64)
+    near_dup_labels = groups_of(len(fps), zip(i.tolist(), j.tolist(), strict=True))
+    want = {}
+    for k, g in enumerate(near_dup_labels):
+        want.setdefault(g, []).append(int(signed[k]))
+    roots = {min(m): sorted(m) for m in want.values() if len(m) > 1}
+    found = {}
+    for f, root in got.items():
+        found.setdefault(root, {root}).add(f)
+    assert sorted(map(sorted, found.values())) == sorted(roots.values())
+
+
+def groups_of(n, pairs):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return [find(k) for k in range(n)]
+
+
 def test_shards_keep_every_close_pair_together():
     gen = np.random.default_rng(3)
     fps = gen.integers(0, 1 << 62, 4000, dtype=np.uint64)
