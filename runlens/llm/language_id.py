@@ -23,14 +23,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import settle, text_blocks
+from runlens.llm.html_text import ATTRIBUTE, NAME, REST
 from runlens.llm.url_reputation import domain_of, host_of, path_of, suffix_of
 
-#: Training documents, pseudo-count of a byte pair, most nats per byte pair kept of the text's evidence, strength of a prior in pages, pseudo-pages of an evidence table.
-SAMPLE, PSEUDO, TEMPER, STRENGTH, SMOOTH = 3000, 0.05, 0.1, 10.0, 1.0
+#: Training documents of a language (twice as many at most, but for luck), languages at most (the commonest), pseudo-count of a byte pair, most nats per byte pair kept of the text's evidence, strength of a prior in pages, pseudo-pages of an evidence table.
+SAMPLE, LANGUAGES, PSEUDO, TEMPER, STRENGTH, SMOOTH = 1000, 200, 0.05, 0.1, 10.0, 1.0
 #: Bytes after which a text's evidence grows as the square root.
 FULL = 200
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|head)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+#: What is no text, by how it begins, and how it ends.
+HIDDEN = {"script": re.compile(r"</script(?=[\s/>])", re.I), "style": re.compile(r"</style(?=[\s/>])", re.I), "head": re.compile(r"</head(?=[\s/>])|<body(?=[\s/>])", re.I)}
+CODE = re.compile(r"[a-z]{2,3}(?![a-z])", re.I)
+
+
+def read(page: str) -> tuple[str, str]:
+    """The language that the first html tag declares (``lang``, else ``xml:lang``), and the page's text; in linear time.
+
+    Comments declare nothing and hold no text; a script, style or head that never ends hides nothing.
+    """
+    declared, text, at, last, missing = None, [], 0, page.rfind(">"), set()
+    while True:
+        found = page.find("<", at)
+        if found < 0 or found > last:
+            text.append(page[at:])
+            return declared or "", "".join(text)
+        text.append(page[at:found])
+        if page.startswith("<!--", found):
+            end = page.find("-->", found + 4)
+            at = len(page) if end < 0 else end + 3
+            text.append(" ")
+            continue
+        end = page.find(">", found)
+        name = NAME.match(page, found + 1)
+        at = end + 1 if name or page[found + 1] in "!?" else found + 1
+        text.append(" " if at == end + 1 else "<")
+        tag = name[0].lower() if name else ""
+        if tag == "html" and declared is None:
+            rest = REST.match(page, name.end())
+            own = {n.lower(): (a or b or c) for n, a, b, c in reversed(ATTRIBUTE.findall(rest[0][:-1] if rest else page[name.end() : end]))}
+            code = CODE.match((own.get("lang") or own.get("xml:lang") or "").strip())
+            declared, at = code[0].lower() if code else "", rest.end() if rest else at
+        elif tag in HIDDEN and tag not in missing:
+            close = HIDDEN[tag].search(page, at)
+            if close is None:
+                missing.add(tag)
+            else:
+                at = close.start()
 
 
 def pair_counts(text: str) -> np.ndarray:
@@ -39,8 +76,13 @@ def pair_counts(text: str) -> np.ndarray:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log-probability of each byte pair in each of them, from the documents with the smallest hashes of doc_id."""
-    ids = F.broadcast(docs.where("lang is not null and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` rows
+    """Languages, and the log-probability of each byte pair in each of them, from the documents of each language whose hashes of doc_id are smallest.
+
+    Hashes are compared with a bound per language, one in as many as the language has documents too many, so no order is needed.
+    """
+    known = docs.where("lang is not null and doc_id is not null")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    one_in = F.broadcast(sizes.select("lang", F.greatest(F.floor(F.col("n") / sample), F.lit(1)).alias("one_in")))  # at most LANGUAGES rows
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -51,7 +93,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "pair", "n"])
 
-    rows = docs.where("lang is not null").join(ids, "doc_id", "left_semi").select("lang", "text").mapInArrow(run, "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n")).collect()
+    rows = known.join(one_in, "lang").where(F.pmod(F.xxhash64("doc_id"), F.col("one_in")) == 0).select("lang", "text").mapInArrow(run, "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r.lang for r in rows})
     counts = np.full((len(langs), 1 << 16), PSEUDO)
     for r in rows:
@@ -68,9 +110,9 @@ def evidence(pages: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame
             declared, scores = [], []
             for page in block.column("html").to_pylist():
                 page = page or ""
-                found = DECLARED.search(page)
-                declared.append(found[1].lower() if found else "")
-                counts = pair_counts(" ".join(HIDDEN.sub(" ", page).split()))
+                language, text = read(page)
+                declared.append(language)
+                counts = pair_counts(" ".join(text.split()))
                 at = np.flatnonzero(counts)
                 n = counts[at].sum()
                 own = sent.value[:, at] @ counts[at] if n else np.zeros(len(langs))
