@@ -55,12 +55,6 @@ def text_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def simhash(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp) of every document."""
-    own = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-    return own.select("_row", "doc_id", F.explode_outer(terms(F.coalesce("text", F.lit("")))).alias("t")).groupBy("_row", "doc_id").agg(*votes(F.col("t"))).select("doc_id", ballot().alias("fp"))
-
-
 def buckets(docs: DataFrame) -> tuple[Column, DataFrame]:
     """Ordered buckets of doc_id: the bucket's number, and rows (first, before, wrap) that name each bucket's first id."""
     n = docs.count()
@@ -113,6 +107,11 @@ def block_masks(radius: int, blocks: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(parts, blocks - radius)]
 
 
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Blocks for a table of ``n`` fingerprints: keys have at least as many bits as n has, so a key holds about one by chance."""
+    return next((b for b in range(radius + 2, radius + 6) if BITS * (b - radius) // b >= n.bit_length()), radius + 5)
+
+
 def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
@@ -137,7 +136,7 @@ def fingerprinted(docs: DataFrame, every: int = 50, radius: int = RADIUS) -> Dat
     own = settle(edited(docs), "edited")
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.max((F.col("doc_id") % every == 0).cast("int")).alias("asks"))
     classes = settle(classes, "classes")
-    near = within(classes.where("asks = 1").select("fp"), classes.select("fp"), radius)
+    near = within(classes.where("asks = 1").select("fp"), classes.select("fp"), radius, blocks_for(classes.count(), radius))
     found = near.join(classes.select("fp", "copies"), "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("copies") - 1).alias("n_within"))
     known = classes.select("fp", "class_id", "copies").join(found, "fp", "left")
     asked = F.when(F.col("doc_id") % every == 0, F.col("n_within")).alias("n_within")

@@ -205,8 +205,20 @@ def test_permuted_tables_find_every_pair(spark):
     base = [gen.getrandbits(64) for _ in range(60)]
     fps = sorted({b ^ sum(1 << k for k in gen.sample(range(64), gen.randrange(6))) for b in base for _ in range(4)})
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    got = sorted((r["query"] % (1 << 64), r.fp % (1 << 64)) for r in fingerprints.within(df, df, 3).collect())
-    assert got == sorted((a, b) for a in fps for b in fps if bin(a ^ b).count("1") <= 3)
+    want = sorted((a, b) for a in fps for b in fps if bin(a ^ b).count("1") <= 3)
+    for blocks in (4, 5, 6):
+        assert sorted((r["query"] % (1 << 64), r.fp % (1 << 64)) for r in fingerprints.within(df, df, 3, blocks).collect()) == want
+    assert [fingerprints.blocks_for(n) for n in (0, 1000, 1 << 24, 1 << 26, 1 << 33, 1 << 40)] == [5, 5, 5, 6, 7, 8]
+
+
+def test_fingerprint_bits_equal_brute_force(docs):
+    """Term hashes are Spark's own; votes, bits and likenesses are counted here."""
+    rows = [(r.doc_id, [x % (1 << 64) for x in r.t]) for r in docs.select("doc_id", fingerprints.terms(F.coalesce("text", F.lit(""))).alias("t")).collect()]
+    want = sorted((repr(k), f"{sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in t) > len(t)):016x}") for k, t in rows)
+    got = fingerprints.edited(docs).collect()
+    assert sorted((repr(r.doc_id), r.fingerprint) for r in got) == want
+    for r in got:
+        assert r.near_edited == 1 - bin(int(r.fingerprint, 16) ^ int(r.edited_fingerprint, 16)).count("1") / 64
 
 
 def test_tokenizer_equals_the_library():
