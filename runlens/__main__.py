@@ -7,7 +7,9 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from runlens.plans.tables import hparam_text
 from runlens.session import Logs
 from runlens.sources.sinks import csv_text, json_lines, render
 from runlens.streaming.tail import watch
@@ -28,13 +30,15 @@ def written(df, form: str) -> str:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser("runlens")
-    parser.add_argument("view", choices=("ls", "summary", "export", "show", "tail"))
+    parser.add_argument("view", choices=("ls", "summary", "export", "show", "scalars", "histograms", "distribution", "tags", "tail"))
     parser.add_argument("root")
-    parser.add_argument("name", nargs="?", default="", help="ls: predicate; summary: run; show, tail: part of a tag")
+    parser.add_argument("name", nargs="?", default="", help="ls: predicate; summary: run; show, tail: part of a tag; scalars: a tag; tags: letters of a tag")
     parser.add_argument("--format", choices=("text", "csv", "json"), default="text")
     parser.add_argument("--x", choices=("step", "wall", "relative", "tokens"), default="step")
     parser.add_argument("--smooth", type=float)
     parser.add_argument("--tokens", help="tag of the token counter")
+    parser.add_argument("--filter", default="", help="predicate that a run must meet to be in scope")
+    parser.add_argument("--ghosts", action="store_true", help="show: points that restarts took back, too")
     parser.add_argument("--store", help="folder outside ROOT that keeps decoded rows between calls")
     parser.add_argument("--verify", action="store_true", help="check the payload of every event record")
     parser.add_argument("--interval", type=float, default=5.0, help="tail: seconds between polls")
@@ -52,7 +56,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         parser.error(f"no folder {given.root}")
     logs = Logs(spark, given.root, store=given.store, verify=given.verify)
     try:
-        view = {"ls": lambda: logs.ls(given.name), "summary": lambda: logs.summary(given.name), "export": logs.export, "show": lambda: logs.show(given.name, given.x, given.smooth, given.tokens)}[given.view]()
+        runs = logs.scope(given.filter) if given.filter else None
+        view = {"ls": lambda: logs.ls(given.name), "summary": lambda: logs.summary(given.name), "export": logs.export, "show": lambda: logs.show(given.name, given.x, given.smooth, given.tokens, runs, given.ghosts), "scalars": lambda: logs.scalars(runs, given.name or None), "histograms": lambda: logs.histograms(runs), "distribution": lambda: logs.distribution(runs=runs), "tags": lambda: logs.tags(given.name, runs)}[given.view]()
+        if given.format == "text" and given.view == "summary":
+            held = logs.hparams.where(F.col("run") == given.name).select("key", hparam_text().alias("text")).orderBy("key").collect()
+            if held:
+                print("hparams: " + "  ".join(f"{r.key}={r.text}" for r in held))
+        if given.format == "text" and given.view == "show":
+            print(logs.title(given.name, given.x, given.tokens, runs))
         print(written(view, given.format))
     except ValueError as e:
         print(e, file=sys.stderr)

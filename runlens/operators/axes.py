@@ -45,10 +45,12 @@ def tokens_axis(points: DataFrame, counter: DataFrame) -> DataFrame:
     return found.withColumn("x", x).drop("k", "mark", "before", "after")
 
 
-def zoom(drawn: DataFrame, low: float, high: float) -> DataFrame:
-    """Per series, the y range of the finite values with x in [low, high]; none where it is a single value."""
+def zoom(drawn: DataFrame, low: float, high: float, log: bool = False) -> DataFrame:
+    """Per series, the y range of the finite values, smoothed ones too, with x in [low, high]; none where it is a single value or, with ``log``, not positive."""
     v = finite(F.col("value"))
-    return drawn.where(F.col("x").between(low, high)).groupBy(*SERIES).agg(F.min(v).alias("y_min"), F.max(v).alias("y_max"), F.count(v).alias("n")).where("y_min < y_max")
+    s = finite(F.col("smoothed")) if "smoothed" in drawn.columns else F.lit(None).cast("double")
+    rows = drawn.where(F.col("x").between(low, high)).groupBy(*SERIES).agg(F.min(F.least(v, s)).alias("y_min"), F.max(F.greatest(v, s)).alias("y_max"), F.count(v).alias("n"))
+    return rows.where("y_min < y_max" + (" and y_min > 0" if log else ""))
 
 
 def extent(drawn: DataFrame) -> DataFrame:
@@ -60,6 +62,22 @@ def nearest(drawn: DataFrame, x: float) -> DataFrame:
     return drawn.groupBy(*SERIES).agg(F.min_by(F.struct("x", "value"), F.struct(F.abs(F.col("x") - x), "x")).alias("p")).select(*SERIES, "p.x", "p.value")
 
 
+def stepped(drawn: DataFrame, x: float | None, by: int) -> DataFrame:
+    """Rows (run, tag, x): where a crosshair at x stands after a step of ``by`` points of the series, clamped to its ends; without x at the newest point."""
+    placed = drawn.withColumns({"at": F.row_number().over(Window.partitionBy(*SERIES).orderBy("x", "seq")) - 1, "n": F.count("*").over(Window.partitionBy(*SERIES))})
+    if x is None:
+        return placed.where(F.col("at") == F.col("n") - 1).select(*SERIES, "x")
+    before = F.sum(F.when(F.col("x") < x, 1).otherwise(0)).over(Window.partitionBy(*SERIES))
+    goal = F.least(F.greatest(F.least(before, F.col("n") - 1) + by, F.lit(0)), F.col("n") - 1)
+    return placed.withColumn("goal", goal).where("at = goal").select(*SERIES, "x")
+
+
+def panned(window: tuple[float, float], x: float) -> tuple[float, float]:
+    """The zoom window, moved as little as brings x into it."""
+    low, high = window
+    return (x, x + high - low) if x < low else (x - (high - low), x) if x > high else window
+
+
 def log_y(drawn: DataFrame) -> DataFrame:
     """log10 of positive values; the rest are gaps."""
     return drawn.withColumn("log_value", F.when(finite(F.col("value")) > 0, F.log10(F.when(F.col("value") > 0, F.col("value")))))

@@ -60,6 +60,28 @@ def series(points: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def merged_series(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two tables of series, of which the second holds later points of the same or other series: one, as if all had been read at once.
+
+    Only rows of series are shuffled. Later points whose first step does not exceed the last one before open a segment.
+    """
+    o, n = old.select(*SERIES, F.struct("*").alias("o")), new.select(*SERIES, F.struct("*").alias("n"))
+    a, b = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
+    real = lambda side: F.coalesce(side("count") - side("non_finite"), F.lit(0))
+    total, apart = real(a) + real(b), b("mean") - a("mean")
+    both = (real(a) > 0) & (real(b) > 0)
+    mean = F.when(both, a("mean") + apart * real(b) / total).otherwise(F.coalesce(a("mean"), b("mean")))
+    within = real(a) * a("variance") + real(b) * b("variance") + apart * apart * real(a) * real(b) / total
+    joint = F.when(b("first").isNull(), 0).when(b("first.step") <= a("last.step"), 0).otherwise(1)
+    cut = F.coalesce(a("segments") + b("segments") - joint, a("segments"), b("segments"))
+    made = {
+        "count": F.coalesce(a("count"), F.lit(0)) + F.coalesce(b("count"), F.lit(0)), "non_finite": F.coalesce(a("non_finite"), F.lit(0)) + F.coalesce(b("non_finite"), F.lit(0)), "min": F.least(a("min"), b("min")), "max": F.greatest(a("max"), b("max")), "mean": mean, "variance": F.when(both, within / total).otherwise(F.coalesce(a("variance"), b("variance"))),
+        "first": F.coalesce(a("first"), b("first")), "last": F.coalesce(b("last"), a("last")), "segments": cut, "preempted": cut > 1, "first_wall": F.least(a("first_wall"), b("first_wall")), "last_wall": F.greatest(a("last_wall"), b("last_wall")),
+    }
+    more = {c: F.coalesce(a(c), b(c)) for c in old.columns if c not in made and c not in SERIES}
+    return o.join(n, list(SERIES), "full").select(*SERIES, *(x.alias(c) for c, x in (made | more).items()))
+
+
 def status(finished: Column, last_write: Column, now: float, window: float = 60.0) -> Column:
     """done, idle (silent for longer than the window), active, or ? where nothing was ever written."""
     return F.when(finished, "done").when(last_write.isNull(), "?").when(F.lit(now) - last_write > window, "idle").otherwise("active")

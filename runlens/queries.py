@@ -1,7 +1,8 @@
 """Registered queries over the driver's tables, each with the same result as DuckDB SQL.
 
 ``events`` is read as a training log: a run per user, a tag per event type, steps that rewind every fifth point, a NaN
-where the id is divisible by 97. ``customer`` gives the runs' hyperparameters, ``lineitem`` histograms of quantities.
+where the id is divisible by 97. ``customer`` gives the runs' hyperparameters, ``lineitem`` histograms of quantities. The queries named log_... write both
+as event files to the shared folder, once a session, and read them back through the data source.
 """
 
 from __future__ import annotations
@@ -11,7 +12,10 @@ from pyspark.sql import functions as F
 
 from runlens.functions.fmt import duration, float_text_udf, significant_udf
 from runlens.operators import axes, catalog, hist, restarts
-from runlens.plans import predicate, tables
+from runlens.plans import predicate, scopes, tables
+from runlens.session import Logs
+from runlens.sources import eventlog
+from runlens.streaming import tail
 
 NOW = 1704500000.0
 QUERIES: dict = {}
@@ -36,14 +40,19 @@ def hparams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("run", F.explode(F.array(F.struct(F.lit("balance").alias("key"), F.col("c_acctbal").alias("num"), none.cast("string").alias("str"), none.cast("boolean").alias("bool")), F.struct(F.lit("segment").alias("key"), none.cast("double").alias("num"), F.col("c_mktsegment").alias("str"), none.cast("boolean").alias("bool")), F.struct(F.lit("domestic").alias("key"), none.cast("double").alias("num"), none.cast("string").alias("str"), (F.col("c_nationkey") < 5).alias("bool")))).alias("h")).select("run", "h.*")
 
 
-def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buckets of l_quantity per supplier (run) and month (seq): limits 10, 20, 30, 40, 50."""
+def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits and counts of l_quantity per supplier (run) and month (seq): limits 10, 20, 30, 40, 50."""
     li = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("run"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("seq"), "l_quantity")
     q = F.col("l_quantity")
     n = [F.count(F.when((q > 10 * k) & (q <= 10 * k + 10), 1)).cast("double") for k in range(5)]
     rows = li.groupBy("run", "seq").agg(F.array(*n).alias("counts"), F.min(q).alias("low"), F.max(q).alias("high"))
     limits = F.array(*(F.lit(float(x)) for x in (10, 20, 30, 40, 50)))
-    return rows.select("run", F.lit("quantity").alias("tag"), "seq", hist.normalise(limits, F.col("counts"), F.col("low"), F.col("high")).alias("buckets"))
+    return rows.select("run", F.lit("quantity").alias("tag"), "seq", limits.alias("limits"), "counts", "low", "high")
+
+
+def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = hist.normalise(F.col("limits"), F.col("counts"), F.col("low"), F.col("high"))
+    return quantities(spark, sf_dir).select("run", "tag", "seq", made.alias("buckets"))
 
 
 P = """
@@ -381,3 +390,96 @@ def float_text(spark, d):
 @query("SELECT o_orderkey, regexp_replace(regexp_replace(CASE WHEN o_totalprice >= 100000 THEN CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) ELSE substr(CAST(o_totalprice AS VARCHAR), 1, 7) END, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS text FROM orders")
 def fmt_sig(spark, d):
     return read(spark, d, "orders").select("o_orderkey", significant_udf(F.col("o_totalprice"), 6).alias("text"))
+
+
+WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def stepped_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histograms as snapshots with steps that rewind every fifth time."""
+    rn = F.row_number().over(Window.partitionBy("run").orderBy("seq"))
+    rows = quantities(spark, sf_dir).withColumn("rn", rn)
+    return rows.select("run", "tag", "seq", (F.col("rn") - 3 * F.floor(F.col("rn") / 5)).cast("long").alias("step"), (F.col("seq") + 1.7e9).alias("wall"), F.lit(None).cast("double").alias("value"), F.struct("low", "high", "limits", "counts").cast(eventlog.BUCKETS).alias("buckets"))
+
+
+def logged(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of event files of all points and histograms; written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in WRITTEN:
+        root = eventlog.shared_folder(spark, "logs")
+        scalars = points(spark, sf_dir).withColumn("buckets", F.lit(None).cast(eventlog.BUCKETS))
+        eventlog.write_events(scalars.unionByName(stepped_quantities(spark, sf_dir)), root)
+        WRITTEN[key] = root
+    return WRITTEN[key]
+
+
+def logs_of(spark: SparkSession, sf_dir: str) -> Logs:
+    return Logs(spark, logged(spark, sf_dir), now=NOW)
+
+
+#: The points as event files hold them: values are floats of 32 bits.
+PL = P.replace("ELSE value END AS value", "ELSE CAST(CAST(value AS FLOAT) AS DOUBLE) END AS value")
+HL = PL + """, lq AS (SELECT 's' || l_suppkey AS run, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS BIGINT) AS seq, l_quantity AS q FROM lineitem),
+hs AS (SELECT *, CAST(rn - 3 * (rn // 5) AS BIGINT) AS step, CAST(seq AS DOUBLE) + 1700000000.0 AS wall FROM (SELECT run, seq, min(q) AS lo, max(q) AS hi, row_number() OVER (PARTITION BY run ORDER BY seq) AS rn FROM lq GROUP BY run, seq)),
+hp AS (SELECT *, CASE WHEN step <= lag(step) OVER (PARTITION BY run ORDER BY seq) THEN 1 ELSE 0 END AS p, coalesce(min(step) OVER (PARTITION BY run ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) > step, true) AS is_live FROM hs),
+hser AS (SELECT run, 'quantity' AS tag, count(*) AS n, CAST(sum(p) AS BIGINT) + 1 AS segments, arg_max(step, seq) AS last_step, min(wall) AS fw, max(wall) AS lw FROM hp GROUP BY run),
+hb AS (SELECT run, seq, step, wall, k, CASE WHEN k = 0 THEN least(lo, CAST(10 AS DOUBLE)) ELSE CAST(10 * k AS DOUBLE) END AS "left", CASE WHEN k = 4 THEN greatest(hi, CAST(40 AS DOUBLE)) ELSE CAST(10 * k + 10 AS DOUBLE) END AS "right",
+  CAST((SELECT count(*) FROM lq WHERE lq.run = hp.run AND lq.seq = hp.seq AND lq.q > 10 * k AND lq.q <= 10 * k + 10) AS DOUBLE) AS count FROM hp, range(5) t(k) WHERE is_live)
+"""
+ALL_SERIES = "SELECT run, tag, 'scalar' AS class, n AS count, mn AS min, mx AS max, round(mean, 7) AS mean, last_step AS step, segments FROM ser UNION ALL SELECT run, tag, 'histogram', n, NULL, NULL, NULL, last_step, segments FROM hser"
+
+
+def flat_series(rows: DataFrame) -> DataFrame:
+    return rows.select("run", "tag", "class", "count", "min", "max", F.round("mean", 7).alias("mean"), F.col("last.step").alias("step"), "segments")
+
+
+@query(HL + f", a AS (SELECT run, series, points, restarts, step, fw, lw FROM r UNION ALL SELECT run, 1, n, segments - 1, last_step, fw, lw FROM hser) SELECT run, 'tfevents' AS backend, series, points, restarts, step, CASE WHEN lw > fw THEN {span_sql('CAST(round(lw - fw) AS BIGINT)')} ELSE '' END AS duration FROM a")
+def log_runs(spark, d):
+    return logs_of(spark, d).ls().drop("status")
+
+
+@query(HL + ALL_SERIES)
+def log_series(spark, d):
+    return flat_series(logs_of(spark, d).series())
+
+
+@query(HL + ALL_SERIES)
+def log_stream_series(spark, d):
+    """The same rows as log_series, kept by a stream."""
+    state = eventlog.shared_folder(spark, "state")
+    tail.follow_series(spark, logged(spark, d), f"{state}/series", f"{state}/checkpoint").awaitTermination()
+    return flat_series(tail.followed_series(spark, f"{state}/series"))
+
+
+@query(PL + "SELECT run, tag, step, round(wall, 3) AS wall, v AS value FROM live WHERE is_live")
+def log_scalars(spark, d):
+    return logs_of(spark, d).scalars().select("run", "tag", "step", F.round("wall", 3).alias("wall"), catalog.finite(F.col("value")).alias("value"))
+
+
+@query(HL + """SELECT run, 'quantity' AS tag, step, wall, "left", "right", count FROM hb""")
+def log_histograms(spark, d):
+    return logs_of(spark, d).histograms()
+
+
+@query(HL + """, c AS (SELECT min(run) AS run FROM hser), o AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS i, count(*) OVER () AS m FROM hp WHERE is_live AND run = (SELECT run FROM c)),
+s AS (SELECT seq, row_number() OVER (ORDER BY seq) - 1 AS pos, count(*) OVER () AS n FROM o WHERE m <= 12 OR i IN (SELECT r * (m - 1) // 11 FROM range(12) t(r))),
+z AS (SELECT hb.*, s.pos, s.n, count / greatest("right" - "left", 2.2250738585072014e-308) AS dd FROM hb JOIN s USING (seq) WHERE hb.run = (SELECT run FROM c))
+SELECT run, 'quantity' AS tag, pos, "left", round(CASE WHEN max(dd) OVER (PARTITION BY seq) > 0 THEN dd / max(dd) OVER (PARTITION BY seq) * CAST(1.6 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END, 6) AS height, round(CAST(n - 1 - pos AS DOUBLE) * CAST(0.55 AS DOUBLE), 6) AS lift FROM z""")
+def log_distribution(spark, d):
+    return logs_of(spark, d).distribution().select("run", "tag", F.col("pos").cast("long").alias("pos"), "left", F.round("height", 6).alias("height"), F.round("lift", 6).alias("lift"))
+
+
+@query(PL + "SELECT DISTINCT tag FROM ser WHERE run IN (SELECT run FROM ser WHERE tag = 'click' AND NOT isnan(last_value) AND last_value > 100) AND run NOT IN ('u1', 'u2') AND regexp_matches(tag, '(?s)c.*k')")
+def log_scope_tags(spark, d):
+    logs = logs_of(spark, d)
+    return logs.tags("ck", logs.scope("click > 100", scopes.WorkingSet().select("u1", "u2").exclude()))
+
+
+@query(PL + """, ch AS (SELECT run, tag FROM ser WHERE contains(tag, 'purch') ORDER BY run, tag LIMIT 16),
+k AS (SELECT run, step, v AS tokens FROM live WHERE is_live AND tag = 'click'),
+m AS (SELECT l.run, l.step, (SELECT max(step) FROM k WHERE k.run = l.run AND k.step <= l.step) AS a, (SELECT min(step) FROM k WHERE k.run = l.run AND k.step > l.step) AS b FROM live l JOIN ch USING (run, tag) WHERE is_live),
+x AS (SELECT m.run, CASE WHEN m.a = m.step THEN ka.tokens ELSE ka.tokens + (kb.tokens - ka.tokens) * (m.step - m.a) / (m.b - m.a) END AS x, m.run IN (SELECT run FROM k) AS counted FROM m LEFT JOIN k ka ON ka.run = m.run AND ka.step = m.a LEFT JOIN k kb ON kb.run = m.run AND kb.step = m.b)
+SELECT (SELECT count(DISTINCT run) FROM ch) AS runs, (SELECT count(*) FROM ser WHERE contains(tag, 'purch')) - (SELECT count(*) FROM ch) AS not_shown, CAST(0 AS BIGINT) AS dropped_records, CAST(0 AS BIGINT) AS dead_files,
+  (SELECT count(DISTINCT run) FROM x WHERE NOT counted) AS without_counter, (SELECT count(*) FROM x WHERE counted AND x IS NULL) AS outside""")
+def log_notes(spark, d):
+    return logs_of(spark, d).notes("purch", "tokens", "click")

@@ -3,18 +3,30 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.fmt import duration
-from runlens.operators import axes, catalog, restarts
-from runlens.plans import predicate, tables
+from runlens.operators import axes, catalog, hist, restarts
+from runlens.plans import predicate, scopes, tables
 from runlens.sources import store as stores
 from runlens.sources import trainlog
 
 CLASSES = ("scalar", "histogram", "image", "text")
 SHOWN, LISTED = 16, 20
+RIDGES = 12
+#: Signs of the levels 0 to 7 of a sparkline.
+LEVELS = "▁▂▃▄▅▆▇█"
+
+
+def series_of(rows: DataFrame) -> DataFrame:
+    """Series of every class from rows of the source; ``class`` is the first known class of the tag's rows."""
+    data = rows.where(F.col("kind").isNotNull() & ~F.col("kind").isin("run", "hparam"))
+    known = F.col("kind").isin(*CLASSES)
+    first = F.coalesce(F.min_by(F.when(known, F.col("kind")), F.when(known, F.col("seq"))), F.lit("?"))
+    return catalog.series(data.select("run", "tag", "seq", "step", "wall", "value", "kind"), first.alias("class"))
 
 
 class Logs:
@@ -27,11 +39,7 @@ class Logs:
         self.points, self.hparams = trainlog.points(self.rows), trainlog.hparams(self.rows)
 
     def series(self) -> DataFrame:
-        """Series of every class; ``class`` is the first known class of the tag's rows."""
-        data = self.rows.where(F.col("kind").isNotNull() & ~F.col("kind").isin("run", "hparam"))
-        known = F.col("kind").isin(*CLASSES)
-        first = F.coalesce(F.min_by(F.when(known, F.col("kind")), F.when(known, F.col("seq"))), F.lit("?"))
-        return catalog.series(data.select("run", "tag", "seq", "step", "wall", "value", "kind"), first.alias("class"))
+        return series_of(self.rows)
 
     def files(self) -> DataFrame:
         """Rows (path, run, size, mtime) of the log files, as listed now."""
@@ -71,24 +79,104 @@ class Logs:
     def export(self) -> DataFrame:
         return tables.export(self.series().where(F.col("class") == "scalar"), self.hparams).orderBy("run")
 
-    def show(self, tag: str, axis: str = "step", smooth: float | None = None, counter: str | None = None) -> DataFrame:
-        """Live points (run, tag, seq, x, step, wall, value, with ``smooth`` also smoothed) of the first 16 scalar series whose tag holds ``tag``; ValueError lists tags if none does."""
-        scalars = self.series().where(F.col("class") == "scalar")
-        chosen = scalars.where(F.col("tag").contains(tag)).select("run", "tag").orderBy("run", "tag").limit(SHOWN)
+    def filtered(self, text: str = "") -> DataFrame:
+        """Rows (run): the runs that the predicate lets through."""
+        rows = self.runs()
+        return (predicate.filter_runs(rows, self.hparams, self.series(), text) if text else rows).select("run")
+
+    def scope(self, text: str = "", picked: scopes.WorkingSet | None = None) -> DataFrame:
+        """Rows (run): the selection within the working set; without a selection the runs in it that the predicate lets through."""
+        picked = picked or scopes.WorkingSet()
+        return scopes.scope(self.rows.select("run").distinct(), self.filtered(text), picked)
+
+    def runs_view(self) -> DataFrame:
+        """Runs with ``trend``: the last values of the run's preferred scalar series as signs; the duration is also given where it is nought."""
+        preferred = tables.preferred_tag(self.series().where(F.col("class") == "scalar"))
+        cells = axes.sparkline(self.points.join(preferred, ["run", "tag"], "left_semi"))
+        signs = F.array(*map(F.lit, LEVELS))
+        drawn = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell", "level"))), lambda c: F.get(signs, c["level"])), "")
+        trend = cells.groupBy("run").agg(drawn.alias("trend"))
+        rows = self.runs()
+        return tables.runs_table(rows, strict=False).join(trend, "run", "left").withColumn("trend", F.coalesce("trend", F.lit("")))
+
+    def tags(self, needle: str = "", runs: DataFrame | None = None, kind: str = "scalar") -> DataFrame:
+        """Rows (tag): the tags of a class in the scope, sorted."""
+        return scopes.tags(self.series(), self.rows.select("run").distinct() if runs is None else runs, kind, needle)
+
+    def scalars(self, runs: DataFrame | None = None, tag: str | None = None) -> DataFrame:
+        """Live points (run, tag, step, wall, value) of the scope, of one tag if that is given: the scalars export."""
+        points = self.points if tag is None else self.points.where(F.col("tag") == tag)
+        points = points if runs is None else points.join(runs.select("run"), "run", "left_semi")
+        return restarts.with_live(points).where("is_live").select("run", "tag", "step", "wall", "value")
+
+    def snapshots(self, runs: DataFrame | None = None) -> DataFrame:
+        """Live histograms (run, tag, seq, step, wall, buckets) of the scope."""
+        rows = self.rows.where(F.col("kind") == "histogram").select("run", "tag", "seq", "step", "wall", "buckets")
+        rows = rows if runs is None else rows.join(runs.select("run"), "run", "left_semi")
+        return restarts.with_live(rows).where("is_live").select("run", "tag", "seq", "step", "wall", "buckets")
+
+    def histograms(self, runs: DataFrame | None = None) -> DataFrame:
+        """Rows (run, tag, step, wall, left, right, count), one per bucket of a live histogram: the histograms export."""
+        return self.snapshots(runs).select("run", "tag", "step", "wall", F.explode("buckets").alias("b")).select("run", "tag", "step", "wall", "b.*")
+
+    def distribution(self, run: str | None = None, tag: str | None = None, runs: DataFrame | None = None, rows: int = RIDGES) -> DataFrame:
+        """The ridgeline of at most ``rows`` live histograms of one series: that at the cursor, else the first."""
+        scope = self.rows.select("run").distinct() if runs is None else runs
+        chosen = scopes.target(self.series(), scope, run, tag)  # one row
+        found = self.snapshots().join(F.broadcast(chosen), ["run", "tag"], "left_semi")
+        return hist.ridgeline(hist.sample(found, rows))
+
+    def chosen(self, tag: str, runs: DataFrame | None = None) -> DataFrame:
+        """Rows (run, tag): the scalar series of the scope whose tag holds ``tag``."""
+        rows = self.series().where((F.col("class") == "scalar") & F.col("tag").contains(tag)).select("run", "tag")
+        return rows if runs is None else rows.join(runs.select("run"), "run", "left_semi")
+
+    def counted(self, counter: str | None) -> DataFrame:
+        """Live points of each run's token counter, with ``tokens``."""
+        found = catalog.token_counter(self.series().where(F.col("class") == "scalar"), counter).withColumnRenamed("counter", "tag")
+        return restarts.with_live(self.points.join(found, ["run", "tag"], "left_semi")).where("is_live").withColumnRenamed("value", "tokens")
+
+    def notes(self, tag: str, axis: str = "step", counter: str | None = None, runs: DataFrame | None = None) -> DataFrame:
+        """What a chart's title tells, in one row: runs, not_shown (series beyond the first 16), dropped_records, dead_files, without_counter (runs), outside (points beyond their run's counter)."""
+        drawn = self.chosen(tag, runs)
+        shown = drawn.orderBy("run", "tag").limit(SHOWN)
+        parts = [shown.agg(F.countDistinct("run").alias("runs"), (-F.count("*")).alias("not_shown")), drawn.agg(F.count("*").alias("not_shown")), self.losses().agg(F.sum("dropped_records").alias("dropped_records"), F.sum("dead_files").alias("dead_files"))]
+        if axis == "tokens":
+            live = restarts.with_live(self.points.join(F.broadcast(shown), ["run", "tag"], "left_semi")).where("is_live")
+            steps = self.counted(counter)
+            placed = axes.tokens_axis(live, steps).join(steps.select("run").distinct().withColumn("counted", F.lit(True)), "run", "left")
+            lacking = F.col("counted").isNull()
+            parts.append(placed.agg(F.countDistinct(F.when(lacking, F.col("run"))).alias("without_counter"), F.count(F.when(~lacking & F.col("x").isNull(), 1)).alias("outside")))
+        told = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)  # a few rows
+        return told.agg(*(F.coalesce(F.sum(c) if c in told.columns else F.lit(0), F.lit(0)).cast("long").alias(c) for c in ("runs", "not_shown", "dropped_records", "dead_files", "without_counter", "outside")))
+
+    def title(self, tag: str, axis: str = "step", counter: str | None = None, runs: DataFrame | None = None, live: str | None = None) -> str:
+        """The title of a chart: the tag asked for, and what its notes hold that is not nought."""
+        n = self.notes(tag, axis, counter, runs).first()
+        said = [(n.runs > 1, f"{n.runs} runs"), (n.not_shown, f"+{n.not_shown} series not shown"), (n.dropped_records, f"{n.dropped_records} records lost"), (n.dead_files, f"{n.dead_files} dead files"), (n.without_counter, f"{n.without_counter} runs lack a token counter"), (n.outside, f"{n.outside} pts outside counter"), (live, live)]
+        return " · ".join([tag, *(text for told, text in said if told)])
+
+    def show(self, tag: str, axis: str = "step", smooth: float | None = None, counter: str | None = None, runs: DataFrame | None = None, ghosts: bool = False, log: bool = False, window: tuple[float, float] | None = None) -> DataFrame:
+        """Live points (run, tag, seq, x, step, wall, value, with ``smooth`` also smoothed, with ``log`` also log_value) of the first 16 scalar series in scope whose tag holds ``tag``.
+
+        With ``ghosts`` points that a restart took back are there too, told by ``is_live``; they are not smoothed. A
+        ``window`` leaves the points with x from its first to its second value. ValueError lists tags if no series fits.
+        """
+        chosen = self.chosen(tag, runs).orderBy("run", "tag").limit(SHOWN)
         if chosen.isEmpty():
-            known = [r.tag for r in scalars.select("tag").distinct().orderBy("tag").limit(LISTED).collect()]
+            known = [r.tag for r in self.tags().limit(LISTED).collect()]
             raise ValueError(f"no tag holds {tag!r}; tags: {', '.join(known)}")
         flagged = restarts.with_live(self.points.join(F.broadcast(chosen), ["run", "tag"], "left_semi"))  # at most SHOWN rows
-        live = flagged.where("is_live")
         if axis == "tokens":
-            found = catalog.token_counter(scalars, counter).withColumnRenamed("counter", "tag")
-            steps = restarts.with_live(self.points.join(found, ["run", "tag"], "left_semi")).where("is_live").withColumnRenamed("value", "tokens")
-            drawn = axes.tokens_axis(live, steps).where("x is not null")
+            drawn = axes.tokens_axis(flagged, self.counted(counter)).where("x is not null")
         elif axis == "relative":
-            drawn = axes.relative_axis(flagged).where("is_live")
+            drawn = axes.relative_axis(flagged)
         else:
-            drawn = {"step": axes.step_axis, "wall": axes.wall_axis}[axis](live)
-        drawn = drawn.select("run", "tag", "seq", "x", "step", "wall", "value")
+            drawn = {"step": axes.step_axis, "wall": axes.wall_axis}[axis](flagged)
+        drawn = drawn.select("run", "tag", "seq", "x", "step", "wall", "value", "is_live")
         if smooth is not None:
-            drawn = drawn.join(axes.ewma(drawn, smooth), ["run", "tag", "seq"])
+            drawn = drawn.join(axes.ewma(drawn.where("is_live"), smooth), ["run", "tag", "seq"], "left")
+        drawn = drawn if ghosts else drawn.where("is_live").drop("is_live")
+        drawn = axes.log_y(drawn) if log else drawn
+        drawn = drawn if window is None else drawn.where(F.col("x").between(*window))
         return drawn.orderBy("run", "tag", "seq")
