@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from runlens.operators.catalog import finite
 
 NUMBER = re.compile(r"[+-]?(inf|infinity|nan|(\d+\.?\d*|\.\d+)(e[+-]?\d+)?)$", re.I)
 TOKEN = re.compile(r"[ \t]*(?:(==|!=|>=|<=|>|<|~|\(|\))|'([^']*)'|\"([^\"]*)\"|([\w/.+-]+)|(.))")
+TEXTS = ("run", "name", "status")
 OPERATORS = frozenset(("==", "!=", ">", ">=", "<", "<=", "~"))
 
 
@@ -118,39 +120,50 @@ def value_of(num: Column | None = None, text: Column | None = None, flag: Column
 def resolve(runs: DataFrame, hparams: DataFrame, series: DataFrame, names: list[str]) -> DataFrame:
     """``runs`` with a column ``field_k`` (num, str, bool; null where missing) for each name.
 
-    In order: run or name, status, a hyperparameter, the series of that tag, the only series that ends in /name.
+    In order: run or name, status, a hyperparameter, the series of that tag, the only series that ends in /name. However
+    many names there are, hyperparameters and series are read, aggregated by run and joined once.
     """
+    named = {k: name for k, name in enumerate(names) if name not in TEXTS}
     out = runs
+    if named:
+        last, tag = finite(F.col("last.value")), F.col("tag")
+        sought, exact, ending = [], [], []
+        for k, name in named.items():
+            value, is_tag, ends = value_of(F.col("num"), F.col("str"), F.col("bool")), tag == name, tag.endswith("/" + name)
+            sought.append(F.first(F.when(F.col("key") == name, value), ignorenulls=True).alias(f"h{k}"))
+            exact += [F.max(F.when(is_tag, True)).alias(f"is_tag{k}"), F.max(F.when(is_tag, last)).alias(f"exact{k}")]
+            ending.append(F.when(F.count(F.when(ends, 1)) == 1, F.max(F.when(ends, last))).alias(f"ending{k}"))
+        fits = reduce(lambda a, b: a | b, ((tag == name) | tag.endswith("/" + name) for name in named.values()))
+        out = out.join(hparams.where(F.col("key").isin(*named.values())).groupBy("run").agg(*sought), "run", "left")
+        out = out.join(series.where(fits).groupBy("run").agg(*exact, *ending), "run", "left")
+    made = {}
     for k, name in enumerate(names):
-        column = f"field_{k}"
-        if name in ("run", "name", "status"):
-            out = out.withColumn(column, value_of(text=F.col("status" if name == "status" else "run")))
-            continue
-        own = hparams.where(F.col("key") == name).groupBy("run").agg(F.first(value_of(F.col("num"), F.col("str"), F.col("bool"))).alias("h"))
-        last = finite(F.col("last.value"))
-        exact = series.where(F.col("tag") == name).select("run", F.lit(True).alias("is_tag"), last.alias("exact"))
-        ends = series.where(F.col("tag").endswith("/" + name)).groupBy("run").agg(F.count("*").alias("n"), F.first(last).alias("ending")).where("n = 1").drop("n")
-        out = out.join(own, "run", "left").join(exact, "run", "left").join(ends, "run", "left")
-        number = F.when(F.col("is_tag"), F.col("exact")).otherwise(F.col("ending"))
-        out = out.withColumn(column, F.when(F.col("h").isNotNull(), F.col("h")).when(number.isNotNull(), value_of(number))).drop("h", "is_tag", "exact", "ending")
-    return out
+        if k in named:
+            number = F.when(F.col(f"is_tag{k}"), F.col(f"exact{k}")).otherwise(F.col(f"ending{k}"))
+            made[f"field_{k}"] = F.when(F.col(f"h{k}").isNotNull(), F.col(f"h{k}")).when(number.isNotNull(), value_of(number))
+        else:
+            made[f"field_{k}"] = value_of(text=F.col("status" if name == "status" else "run"))
+    return out.select(*runs.columns, *(c.alias(n) for n, c in made.items()))
 
 
-def text_of(field: Column) -> Column:
+def text_of(c: Comparison, field: Column) -> Column:
+    """The field as text; only fields that may be numbers need the Python function."""
+    if c.field in TEXTS:
+        return field["str"]
     return F.coalesce(field["str"], F.when(field["bool"].isNotNull(), field["bool"].cast("string")), float_text_udf(field["num"]))
 
 
 def compare(c: Comparison, field: Column) -> Column:
     literal = float_text(c.value) if c.kind == "number" else str(c.value).lower() if c.kind == "bool" else c.value
     if c.op == "~":
-        return F.coalesce(text_of(field).contains(literal), F.lit(False))
+        return F.coalesce(text_of(c, field).contains(literal), F.lit(False))
     if c.op in ("==", "!="):
         if c.kind == "number":
-            same = F.when(field["num"].isNotNull(), (field["num"] == c.value) & ~F.isnan(field["num"]) & F.lit(c.value == c.value)).otherwise(text_of(field) == literal)
+            same = F.when(field["num"].isNotNull(), (field["num"] == c.value) & ~F.isnan(field["num"]) & F.lit(c.value == c.value)).otherwise(text_of(c, field) == literal)
         elif c.kind == "bool":
-            same = F.when(field["bool"].isNotNull(), field["bool"] == c.value).otherwise(text_of(field) == literal)
+            same = F.when(field["bool"].isNotNull(), field["bool"] == c.value).otherwise(text_of(c, field) == literal)
         else:
-            same = text_of(field) == literal
+            same = text_of(c, field) == literal
         return F.coalesce(same if c.op == "==" else ~same, F.lit(False))
     if c.kind != "number" or c.value != c.value:
         return F.lit(False)
