@@ -1,8 +1,12 @@
 """From points to segments, series and runs.
 
 Points are rows (run, tag, seq, step, wall, value); ``seq`` is the order of arrival within a series. A point whose step
-does not exceed the step before it restarts the series and opens a segment. Finding the segments shuffles all points by
-series once; the aggregates after it need no further shuffle of points.
+does not exceed the step before it restarts the series and opens a segment.
+
+No task holds a series: it is scanned in chunks, the points of 2 ** CHUNK_BITS successive places, each of which is summed up
+for itself. A chunk's summary (its first, last and least step, its restarts, its moments) is what the scan over the chunks of
+a series carries on: one row for at most 65,536 places, so that a single series of all points spreads over all tasks. Points
+are shuffled once, by (run, tag, chunk), and where the carry comes back to them they stay where they are.
 """
 
 from __future__ import annotations
@@ -11,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES = ("run", "tag")
+#: Places of ``seq`` that one chunk spans, as a power of two.
+CHUNK_BITS = 16
 #: Conventional names of a token counter, in order of preference.
 COUNTERS = ("tokens", "consumed_tokens", "total_tokens", "num_tokens", "tokens_seen")
 
@@ -20,11 +26,33 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
+def in_chunks(points: DataFrame) -> DataFrame:
+    """Points with ``chunk`` and ``restart`` (0 or 1; null for the first point of a chunk, which only the chunk before can tell)."""
+    order = Window.partitionBy(*SERIES, "chunk").orderBy("seq")
+    rows = points.withColumn("chunk", F.shiftright("seq", CHUNK_BITS))
+    return rows.withColumn("restart", (F.col("step") <= F.lag("step").over(order)).cast("int"))
+
+
+def carried(points: DataFrame) -> DataFrame:
+    """Rows (run, tag, chunk, joint, before, later): whether the chunk begins with a restart, the restarts of the chunks before, the least step of the chunks after it."""
+    rows = in_chunks(points).groupBy(*SERIES, "chunk").agg(F.min_by("step", "seq").alias("first"), F.max_by("step", "seq").alias("last"), F.min("step").alias("least"), F.coalesce(F.sum("restart"), F.lit(0)).alias("restarts"))
+    order = Window.partitionBy(*SERIES).orderBy("chunk")
+    rows = rows.withColumn("joint", F.coalesce((F.col("first") <= F.lag("last").over(order)).cast("int"), F.lit(0)))
+    before = F.coalesce(F.sum(F.col("restarts") + F.col("joint")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return rows.select(*SERIES, "chunk", "joint", before.alias("before"), F.min("least").over(Window.partitionBy(*SERIES).orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("later"))
+
+
+def linked(points: DataFrame) -> DataFrame:
+    """Points with ``restart`` (0 or 1), ``segment``, ``chunk`` and ``later``, the least step of later chunks."""
+    order = Window.partitionBy(*SERIES, "chunk").orderBy("seq")
+    rows = in_chunks(points).join(carried(points), [*SERIES, "chunk"])
+    rows = rows.withColumn("restart", F.coalesce("restart", "joint"))
+    return rows.withColumn("segment", F.col("before") + F.sum("restart").over(order)).select(*points.columns, "restart", "segment", "chunk", "later")
+
+
 def segmented(points: DataFrame) -> DataFrame:
     """Points with ``restart`` (0 or 1) and ``segment``, from 0."""
-    order = Window.partitionBy(*SERIES).orderBy("seq")
-    restart = F.when(F.col("step") <= F.lag("step").over(order), 1).otherwise(0)
-    return points.withColumn("restart", restart).withColumn("segment", F.sum("restart").over(order))
+    return linked(points).drop("chunk", "later")
 
 
 def moments(value: Column) -> list[Column]:
@@ -33,12 +61,35 @@ def moments(value: Column) -> list[Column]:
     return [n.alias("n_finite"), F.avg(value).alias("mean"), (F.var_pop(value) * n).alias("m2")]
 
 
+def pooled(parts: DataFrame, *keys: str) -> DataFrame:
+    """Rows with (n_finite, mean, m2) get ``pooled``, the mean of all rows of the key, and ``apart``, what m2 gains by it."""
+    whole = Window.partitionBy(*keys)
+    n = F.when(F.col("n_finite") > 0, F.col("n_finite"))
+    rows = parts.withColumn("pooled", F.when(F.count("*").over(whole) == 1, F.col("mean")).otherwise(F.sum(n * F.col("mean")).over(whole) / F.sum(n).over(whole)))
+    return rows.withColumn("apart", F.coalesce(n * (F.col("mean") - F.col("pooled")) * (F.col("mean") - F.col("pooled")), F.lit(0.0)) + F.coalesce("m2", F.lit(0.0)))
+
+
+def summed(value: Column) -> list[Column]:
+    """The aggregates of one part of a series."""
+    point = F.struct("seq", "step", "wall", "value")
+    return [F.min_by(point, "seq").alias("first"), F.max_by(point, "seq").alias("last"), F.count("*").alias("count"), (F.count("*") - F.count(value)).alias("non_finite"), F.min(value).alias("min"), F.max(value).alias("max"), *moments(value)]
+
+
+def resummed() -> list[Column]:
+    """The aggregates of parts that ``pooled`` has seen, as if of their points."""
+    return [F.min_by("first", "first.seq").alias("first"), F.max_by("last", "last.seq").alias("last"), F.sum("count").alias("count"), F.sum("non_finite").alias("non_finite"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("n_finite").alias("n_finite"), F.first("pooled").alias("mean"), F.when(F.sum("n_finite") > 0, F.sum("apart")).alias("m2")]
+
+
 def segments(points: DataFrame) -> DataFrame:
     """One row per (run, tag, segment)."""
-    v = finite(F.col("value"))
-    point = F.struct("seq", "step", "wall", "value")
-    rows = segmented(points).groupBy(*SERIES, "segment").agg(F.min_by(point, "seq").alias("first"), F.max_by(point, "seq").alias("last"), F.count("*").alias("count"), (F.count("*") - F.count(v)).alias("non_finite"), F.min(v).alias("min"), F.max(v).alias("max"), *moments(v))
-    return rows.withColumn("preempted_at", F.lead("first.step").over(Window.partitionBy(*SERIES).orderBy("segment")))
+    inner = Window.partitionBy(*SERIES, "chunk").orderBy("seq")
+    rows = in_chunks(points).withColumn("part", F.coalesce(F.sum("restart").over(inner), F.lit(0).cast("long")))
+    parts = rows.groupBy(*SERIES, "chunk", "part").agg(*summed(finite(F.col("value"))))
+    order = Window.partitionBy(*SERIES).orderBy("chunk", "part")
+    opens = F.when(F.col("part") > 0, 1).otherwise(F.coalesce((F.col("first.step") <= F.lag("last.step").over(order)).cast("int"), F.lit(0)))
+    parts = parts.withColumn("opens", opens).withColumn("segment", F.sum("opens").over(order))
+    made = pooled(parts, *SERIES, "segment").groupBy(*SERIES, "segment").agg(*resummed())
+    return made.withColumn("preempted_at", F.lead("first.step").over(Window.partitionBy(*SERIES).orderBy("segment")))
 
 
 def merged_moments(parts: DataFrame, *keys: str) -> DataFrame:
@@ -49,15 +100,16 @@ def merged_moments(parts: DataFrame, *keys: str) -> DataFrame:
     return own.join(pooled, list(keys)).groupBy(*keys).agg(F.first("n_finite").alias("n_finite"), F.first("mean").alias("mean"), F.sum(F.col("within") + apart).alias("m2"))
 
 
-def series(points: DataFrame, *more: Column) -> DataFrame:
-    """One row per series, exact over all points as written, restarts included; ``more`` aggregates are added."""
-    v = finite(F.col("value"))
-    point = F.struct("step", "wall", "value")
-    return segmented(points).groupBy(*SERIES).agg(
-        F.count("*").alias("count"), (F.count("*") - F.count(v)).alias("non_finite"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.var_pop(v).alias("variance"),
-        F.min_by(point, "seq").alias("first"), F.max_by(point, "seq").alias("last"), (F.max("segment") + 1).alias("segments"), (F.max("segment") > 0).alias("preempted"),
-        F.min(F.when(F.col("wall") != 0, F.col("wall"))).alias("first_wall"), F.max(F.when(F.col("wall") != 0, F.col("wall"))).alias("last_wall"), *more,
-    )
+def series(points: DataFrame, *firsts: str) -> DataFrame:
+    """One row per series, exact over all points as written, restarts included; of the columns ``firsts`` the first value that is not null."""
+    walled = F.when(F.col("wall") != 0, F.col("wall"))
+    kept = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in firsts]
+    parts = in_chunks(points).groupBy(*SERIES, "chunk").agg(*summed(finite(F.col("value"))), F.coalesce(F.sum("restart"), F.lit(0).cast("long")).alias("restarts"), F.min(walled).alias("first_wall"), F.max(walled).alias("last_wall"), *kept)
+    order = Window.partitionBy(*SERIES).orderBy("chunk")
+    joint = F.coalesce((F.col("first.step") <= F.lag("last.step").over(order)).cast("int"), F.lit(0))
+    made = pooled(parts.withColumn("restarts", F.col("restarts") + joint), *SERIES).groupBy(*SERIES).agg(*resummed(), (F.sum("restarts") + 1).alias("segments"), F.min("first_wall").alias("first_wall"), F.max("last_wall").alias("last_wall"), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("chunk"))).alias(c) for c in firsts))
+    point = [F.struct(*(F.col(f"{c}.{x}").alias(x) for x in ("step", "wall", "value"))).alias(c) for c in ("first", "last")]
+    return made.select(*SERIES, "count", "non_finite", "min", "max", "mean", (F.col("m2") / F.col("n_finite")).alias("variance"), *point, "segments", (F.col("segments") > 1).alias("preempted"), "first_wall", "last_wall", *firsts)
 
 
 def merged_series(old: DataFrame, new: DataFrame) -> DataFrame:

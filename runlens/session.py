@@ -24,9 +24,8 @@ LEVELS = "▁▂▃▄▅▆▇█"
 def series_of(rows: DataFrame) -> DataFrame:
     """Series of every class from rows of the source; ``class`` is the first known class of the tag's rows."""
     data = rows.where(F.col("kind").isNotNull() & ~F.col("kind").isin("run", "hparam"))
-    known = F.col("kind").isin(*CLASSES)
-    first = F.coalesce(F.min_by(F.when(known, F.col("kind")), F.when(known, F.col("seq"))), F.lit("?"))
-    return catalog.series(data.select("run", "tag", "seq", "step", "wall", "value", "kind"), first.alias("class"))
+    known = F.when(F.col("kind").isin(*CLASSES), F.col("kind"))
+    return catalog.series(data.select("run", "tag", "seq", "step", "wall", "value", known.alias("class")), "class").fillna("?", ["class"])
 
 
 class Logs:

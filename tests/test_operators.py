@@ -31,7 +31,9 @@ def model(steps):
     return set(live), cuts, ghosts
 
 
-def test_live_ghosts_and_cuts_equal_a_stack(spark):
+@pytest.mark.parametrize("bits", [16, 2, 0])
+def test_live_ghosts_and_cuts_equal_a_stack(spark, monkeypatch, bits):
+    monkeypatch.setattr(catalog, "CHUNK_BITS", bits)
     rng = random.Random(3)
     cases = {f"r{k}": [rng.randrange(12) for _ in range(rng.randrange(1, 30))] for k in range(60)}
     flagged = restarts.with_live(log(spark, {(r, "t"): [(s, s) for s in steps] for r, steps in cases.items()})).cache()
@@ -46,6 +48,41 @@ def test_live_ghosts_and_cuts_equal_a_stack(spark):
         assert (live[r], cuts.get(r, {}), ghosts.get(r, {})) == model(steps)
 
 
+@pytest.mark.parametrize("bits", [3, 0])
+def test_chunks_change_no_segment_and_no_series(spark, monkeypatch, bits):
+    rng = random.Random(8)
+    cases = {(f"r{k}", t): [(rng.randrange(30) if rng.random() < 0.3 else n, math.nan if rng.random() < 0.2 else rng.random() + 1e6) for n in range(rng.randrange(1, 60))] for k in range(20) for t in "ab"}
+    points = log(spark, cases).withColumn("seq", F.col("seq") * F.col("seq"))  # chunks of different sizes
+    held = points.withColumn("class", F.when(F.col("seq") > 9, F.concat("tag", F.col("step").cast("string"))))
+
+    def rounded(df):
+        return sorted(repr([round(x, 4) if isinstance(x, float) else x for x in r]) for r in df.collect())
+
+    def all_of():
+        return [rounded(catalog.segmented(points)), rounded(catalog.segments(points).drop("first", "last")), rounded(catalog.segments(points).select("run", "tag", "segment", "first.step", "last.seq")), rounded(catalog.series(held, "class").drop("first", "last")), rounded(catalog.series(points).select("run", "tag", "first.step", "last.wall"))]
+
+    whole = all_of()
+    monkeypatch.setattr(catalog, "CHUNK_BITS", bits)
+    assert all_of() == whole
+
+
+def test_one_series_of_all_points_spreads_over_tasks(spark):
+    points = spark.range(1 << 20).selectExpr("'r' run", "'t' tag", "id seq", "id % 300000 step", "double(id) wall", "double(id) value")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = restarts.with_live(points)
+        sizes = [r.n for r in rows.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"), F.max("is_live")).collect()]
+        assert sum(sizes) == 1 << 20 and max(sizes) <= 4 << catalog.CHUNK_BITS and len(sizes) > 6
+        assert rows.where("is_live").count() == (1 << 20) % 300000
+        assert catalog.series(points).first().segments == 4
+        assert restarts.ghosts(rows).groupBy("ghost_of").count().orderBy("ghost_of").collect() == [(1, 300000), (2, 300000), (3, 300000)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_equal_step_restarts_and_nan_is_a_gap(spark):
     s = {(r.run, r.tag): r for r in catalog.series(log(spark, {("a", "x"): [(5, 1), (5, 2)], ("b", "x"): [(0, 4), (1, math.nan), (2, 2)]})).collect()}
     assert s["a", "x"].segments == 2 and s["a", "x"].preempted
