@@ -75,9 +75,10 @@ def summed(value: Column) -> list[Column]:
     return [F.min_by(point, "seq").alias("first"), F.max_by(point, "seq").alias("last"), F.count("*").alias("count"), (F.count("*") - F.count(value)).alias("non_finite"), F.min(value).alias("min"), F.max(value).alias("max"), *moments(value)]
 
 
-def resummed() -> list[Column]:
-    """The aggregates of parts that ``pooled`` has seen, as if of their points."""
-    return [F.min_by("first", "first.seq").alias("first"), F.max_by("last", "last.seq").alias("last"), F.sum("count").alias("count"), F.sum("non_finite").alias("non_finite"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("n_finite").alias("n_finite"), F.first("pooled").alias("mean"), F.when(F.sum("n_finite") > 0, F.sum("apart")).alias("m2")]
+def resummed(place: Column | None = None) -> list[Column]:
+    """The aggregates of parts that ``pooled`` has seen, as if of their points; ``place`` orders them if ``seq`` doesn't."""
+    first, last = ("first.seq", "last.seq") if place is None else (place, place)
+    return [F.min_by("first", first).alias("first"), F.max_by("last", last).alias("last"), F.sum("count").alias("count"), F.sum("non_finite").alias("non_finite"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("n_finite").alias("n_finite"), F.first("pooled").alias("mean"), F.when(F.sum("n_finite") > 0, F.sum("apart")).alias("m2")]
 
 
 def segments(points: DataFrame) -> DataFrame:
@@ -105,9 +106,14 @@ def series(points: DataFrame, *firsts: str) -> DataFrame:
     walled = F.when(F.col("wall") != 0, F.col("wall"))
     kept = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in firsts]
     parts = in_chunks(points).groupBy(*SERIES, "chunk").agg(*summed(finite(F.col("value"))), F.coalesce(F.sum("restart"), F.lit(0).cast("long")).alias("restarts"), F.min(walled).alias("first_wall"), F.max(walled).alias("last_wall"), *kept)
-    order = Window.partitionBy(*SERIES).orderBy("chunk")
+    return series_of_parts(parts, F.col("chunk"), *firsts)
+
+
+def series_of_parts(parts: DataFrame, place: Column, *firsts: str) -> DataFrame:
+    """Series from summaries of their parts in order of ``place``, with the ``restarts`` inside each."""
+    order = Window.partitionBy(*SERIES).orderBy(place)
     joint = F.coalesce((F.col("first.step") <= F.lag("last.step").over(order)).cast("int"), F.lit(0))
-    made = pooled(parts.withColumn("restarts", F.col("restarts") + joint), *SERIES).groupBy(*SERIES).agg(*resummed(), (F.sum("restarts") + 1).alias("segments"), F.min("first_wall").alias("first_wall"), F.max("last_wall").alias("last_wall"), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("chunk"))).alias(c) for c in firsts))
+    made = pooled(parts.withColumn("restarts", F.col("restarts") + joint), *SERIES).groupBy(*SERIES).agg(*resummed(place), (F.sum("restarts") + 1).alias("segments"), F.min("first_wall").alias("first_wall"), F.max("last_wall").alias("last_wall"), *(F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in firsts))
     point = [F.struct(*(F.col(f"{c}.{x}").alias(x) for x in ("step", "wall", "value"))).alias(c) for c in ("first", "last")]
     return made.select(*SERIES, "count", "non_finite", "min", "max", "mean", (F.col("m2") / F.col("n_finite")).alias("variance"), *point, "segments", (F.col("segments") > 1).alias("preempted"), "first_wall", "last_wall", *firsts)
 

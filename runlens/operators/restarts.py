@@ -64,6 +64,12 @@ def taken_back(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
 
 
+def marked(parts: DataFrame) -> DataFrame:
+    """What restarts take back of parts (run, tag, chunk, segment, start, last, opens) of series, as ``taken_back`` tells it."""
+    ordered = parts.select(*SERIES, "chunk", "segment", "start", "last", "opens").repartition(*SERIES).sortWithinPartitions(*SERIES, F.col("chunk").desc(), F.col("segment").desc())
+    return ordered.mapInArrow(taken_back, "run string, tag string, chunk long, segment long, step long, by long")
+
+
 def ghosts(flagged: DataFrame) -> DataFrame:
     """The dead points with ``ghost_of``, the segment that took them back: the first later one that starts at or below their step.
 
@@ -74,8 +80,7 @@ def ghosts(flagged: DataFrame) -> DataFrame:
     part = [*SERIES, "chunk", "segment"]
     rows = flagged.withColumn("chunk", F.shiftright("seq", catalog.CHUNK_BITS))
     parts = rows.groupBy(*part).agg(F.min("step").alias("start"), F.max("step").alias("last"), (F.max("restart") == 1).alias("opens"))
-    ordered = parts.repartition(*SERIES).sortWithinPartitions(*SERIES, F.col("chunk").desc(), F.col("segment").desc())
-    marks = ordered.mapInArrow(taken_back, "run string, tag string, chunk long, segment long, step long, by long")
+    marks = marked(parts)
     dead = rows.where(~F.col("is_live")).withColumn("k", F.lit(1))
     both = dead.unionByName(marks.withColumn("k", F.lit(0)), allowMissingColumns=True)
     by = F.last("by", True).over(Window.partitionBy(*part).orderBy("step", "k").rowsBetween(Window.unboundedPreceding, 0))
