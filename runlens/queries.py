@@ -7,6 +7,9 @@ as event files to the shared folder, once a session, and read them back through
 
 from __future__ import annotations
 
+import os
+import shutil
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ from runlens.operators import axes, catalog, hist, restarts
 from runlens.plans import predicate, scopes, tables
 from runlens.session import Logs
 from runlens.sources import eventlog
-from runlens.streaming import tail
+from runlens.streaming import state, tail
 
 NOW = 1704500000.0
 QUERIES: dict = {}
@@ -483,3 +486,41 @@ SELECT (SELECT count(DISTINCT run) FROM ch) AS runs, (SELECT count(*) FROM ser W
   (SELECT count(DISTINCT run) FROM x WHERE NOT counted) AS without_counter, (SELECT count(*) FROM x WHERE counted AND x IS NULL) AS outside""")
 def log_notes(spark, d):
     return logs_of(spark, d).notes("purch", "tokens", "click")
+
+
+FOLLOWED: dict[tuple[str, str], str] = {}
+
+
+def followed(spark: SparkSession, sf_dir: str) -> state.Followed:
+    """What a stream kept of the event files while they grew, shrank and vanished; once a session.
+
+    First poll: two fifths of each file (most end in a torn record), but every third one with all its events twice; and a
+    second copy of all runs. Second: seven tenths of each, so the third ones have shrunk; the copies are gone. Third: all.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in FOLLOWED:
+        whole, root, kept = logged(spark, sf_dir), eventlog.shared_folder(spark, "growing"), eventlog.shared_folder(spark, "state")
+        os.makedirs(kept, exist_ok=True)
+        for share, again in ((0.4, 3), (0.7, 0), (1.0, 0)):
+            eventlog.grow(spark, whole, root, share, again)
+            if again:
+                eventlog.grow(spark, whole, f"{root}/copy", 0.5)
+            else:
+                shutil.rmtree(f"{root}/copy", ignore_errors=True)
+            state.follow_state(spark, root, f"{kept}/table", f"{kept}/checkpoint", f"{kept}/known.json").awaitTermination()
+        FOLLOWED[key] = f"{kept}/table"
+    return state.Followed(spark, FOLLOWED[key])
+
+
+@query(HL + ALL_SERIES)
+def log_state_series(spark, d):
+    """The rows of log_series, kept by a stream while the files changed."""
+    return flat_series(followed(spark, d).series())
+
+
+@query(PL + f""", g AS (SELECT a.run, a.tag, a.seq, min(b.segment) AS ghost_of FROM live a JOIN live b ON a.run = b.run AND a.tag = b.tag AND b.p = 1 AND b.segment > a.segment AND b.step <= a.step WHERE NOT a.is_live GROUP BY ALL)
+SELECT run, tag, step, round(wall, 3) AS wall, {V}, segment, is_live, ghost_of FROM live LEFT JOIN g USING (run, tag, seq)""")
+def log_state_points(spark, d):
+    """Live points and ghosts, kept by a stream that took back what later restarts outdid, while the files changed."""
+    points = followed(spark, d).points().where("class = 'scalar'")
+    return points.select("run", "tag", "step", F.round("wall", 3).alias("wall"), catalog.finite(F.col("value")).alias("value"), F.col("segment").cast("long").alias("segment"), "is_live", F.col("ghost_of").cast("long").alias("ghost_of"))
