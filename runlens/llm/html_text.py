@@ -16,8 +16,8 @@ holds itself, frequent ones by broadcast, so a host with many costs no more a pa
 
 Defined results: a null or empty html gives an empty text. A null url belongs to the host "". Repeated rows stay
 repeated. An empty table gives no rows. Extra columns are ignored. Broken markup never fails: what cannot be parsed as
-a tag is text, what is not closed ends with its parent, elements nested deeper than ``DEEPEST`` become siblings, and
-after a quoted attribute value that never ends, tags end at their first ``>``. Parsing takes linear time.
+a tag is text, what is not closed ends with its parent, elements nested deeper than ``DEEPEST`` become siblings (but those
+that are no main text, which hold what is in them at any depth), and after a quoted attribute value that never ends, tags end at their first ``>``. Parsing takes linear time.
 """
 
 from __future__ import annotations
@@ -100,6 +100,7 @@ class Open:
 
     def __init__(self, root: Element):
         self.now, self.blocks, self.inline = root, defaultdict(int), [defaultdict(int)]
+        self.again = 0  # elements of the innermost one's name that are open in it but were not entered
 
     def enter(self, node: Element) -> None:
         self.now = node
@@ -110,7 +111,7 @@ class Open:
             self.inline[-1][node.tag] += 1
 
     def leave(self) -> None:
-        node, self.now = self.now, self.now.parent
+        node, self.now, self.again = self.now, self.now.parent, 0
         if node.tag in BLOCKS:
             self.blocks[node.tag] -= 1
             self.inline.pop()
@@ -121,6 +122,9 @@ class Open:
         """An end tag; one of an inline element reaches no further than its block, one without a start is ignored."""
         if not (self.blocks[tag] if tag in BLOCKS else self.inline[-1][tag]):
             return
+        if self.again and tag == self.now.tag:
+            self.again -= 1
+            return
         while self.now.tag != tag:
             self.leave()
         self.leave()
@@ -197,8 +201,11 @@ def parse(page: str) -> list[Element]:
             close = raw_ends[tag].search(page, at)
             node.children.append(page[at : close.start() if close else end])
             at = close.end() if close else end
-        elif tag not in VOID and not attributes.endswith("/") and node.depth < DEEPEST:
-            held.enter(node)
+        elif tag not in VOID and not attributes.endswith("/"):
+            if node.depth < DEEPEST or out and not above.out or mark and not (above.out or above.mark):
+                held.enter(node)
+            elif tag == above.tag and node.depth > DEEPEST:
+                held.again += 1
     flush()
     return nodes
 
@@ -301,7 +308,8 @@ def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
             words.append(html.unescape(node))
             continue
         if node.out or template and node.hash in template and removable(node) and id(node) not in holders:
-            close()
+            if node.tag in BLOCKS:  # the text around an inline element stays one block
+                close()
             continue
         if node.tag == "br":
             words.append(" ")

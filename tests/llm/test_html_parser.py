@@ -49,3 +49,17 @@ def test_templates_inside_articles_change_their_pages(spark):
         assert all(got[k] == f"Head {k}\nText {k} stands here\nEnd of {k}" for k in range(12))
         assert all(got[100 + k] == "One and the same\npart of it" for k in range(9))
     assert sum(html_text.main_text(h) != got[k] for k, _, h in rows) == 12
+
+
+def test_a_removed_inline_element_leaves_its_block_whole():
+    for gone in ("<script>x()</script>", "<button>Buy</button>", "<iframe src=a></iframe>", "<svg><text>s</text></svg>", "<span hidden>h</span>", '<span class="ad">a</span>'):
+        assert html_text.main_text(f"<article><p>Hello {gone}world</p><p>next</p></article>") == "Hello world\nnext"
+    assert html_text.main_text("<article><p>Hello<nav>menu</nav>world</p></article>") == "Hello\nworld"
+
+
+def test_no_main_text_stays_out_at_any_depth():
+    for depth in (10, html_text.DEEPEST - 1, html_text.DEEPEST, html_text.DEEPEST + 50):
+        for a, b in (("<nav>", "</nav>"), ("<form><div>", "</div></form>"), ('<div class="advert">', "</div>"), ("<nav><nav>", "</nav>inner</nav>"), ('<div class="ad"><aside>', "</aside></div>"), ('<div class="ad"><div>', "</div>inner</div>")):
+            page = "<article>" + "<div>" * depth + f"one{a}menu<p>more</p>{b}<p>two</p>" + "</div>" * depth + "</article>"
+            assert html_text.main_text(page).split() == ["one", "two"], (depth, a)
+    html_text.main_text("<nav>" * 100_000 + "<li>" * 100_000 + "x" + "</nav>" * 100_000)
