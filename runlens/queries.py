@@ -495,13 +495,13 @@ def followed(spark: SparkSession, sf_dir: str) -> state.Followed:
     """What a stream kept of the event files while they grew, shrank and vanished; once a session.
 
     First poll: two fifths of each file (most end in a torn record), but every third one with all its events twice; and a
-    second copy of all runs. Second: seven tenths of each, so the third ones have shrunk; the copies are gone. Third: all.
+    second copy of all runs. Second: all of each, so the third ones have shrunk; the copies are gone.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in FOLLOWED:
         whole, root, kept = logged(spark, sf_dir), eventlog.shared_folder(spark, "growing"), eventlog.shared_folder(spark, "state")
         os.makedirs(kept, exist_ok=True)
-        for share, again in ((0.4, 3), (0.7, 0), (1.0, 0)):
+        for share, again in ((0.4, 3), (1.0, 0)):
             eventlog.grow(spark, whole, root, share, again)
             if again:
                 eventlog.grow(spark, whole, f"{root}/copy", 0.5)
