@@ -8,7 +8,10 @@ its words, in whatever order its passages stand.
 
 The benchmark is sent to the workers in blocks of about ``BLOCK`` bytes; a larger benchmark takes several passes over
 the documents, one block after another, so driver and workers hold one block. No shuffle is needed. A worker makes the
-index of a block once. Memory for a document and an item grows with the pairs of places that hold the same seed.
+index of a block once. Where a document and an item hold few pairs of places with the same seed, these are listed and
+runs of them on a diagonal are the matches; where words repeat so that there are over ``PAIRS`` of them, matches of each
+length are found by Karp-Rabin hashes instead, longest length first, in memory linear in both texts. Both mark the same
+tiles.
 
 Defined results: items of fewer than ``least`` words are too short to be evidence and never match. Null or empty texts
 never match. Repeated rows are reported as often as they occur, and every row of the benchmark is an item of its own, its
@@ -36,6 +39,8 @@ from runlens.llm.common import settle, text_blocks, word_codes
 LEAST, COVERAGE = 5, 0.5
 #: Bytes of benchmark text in a pass.
 BLOCK = 32 << 20
+#: Pairs of places of a document and an item that are written out.
+PAIRS = 1 << 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"\w+")
 
@@ -114,12 +119,17 @@ class Benchmark:
                         reach[j : j + self.least] = True
                 if reach.sum() < coverage * len(item):  # tiles lie within seeds, so they cannot cover more
                     continue
-                i = np.concatenate([np.repeat(here, len(there)) for here, there in held])
-                j = np.concatenate([np.tile(there, len(here)) for here, there in held])
-                same = np.ones(len(i), bool)
-                for k in range(self.least):
-                    same &= ids[i + k] == item[j + k]
-                sizes = tiles(i[same], j[same], self.least, len(item))
+                if sum(len(here) * len(there) for here, there in held) > PAIRS:
+                    start = min(int(here[0]) for here, _ in held)
+                    end = max(int(here[-1]) for here, _ in held) + self.least
+                    sizes = running_tiles(ids[start:end], item, self.least)
+                else:
+                    i = np.concatenate([np.repeat(here, len(there)) for here, there in held])
+                    j = np.concatenate([np.tile(there, len(here)) for here, there in held])
+                    same = np.ones(len(i), bool)
+                    for k in range(self.least):
+                        same &= ids[i + k] == item[j + k]
+                    sizes = tiles(i[same], j[same], self.least, len(item))
                 if sizes and sum(sizes) >= coverage * len(item):
                     yield int(doc), key, sum(sizes), len(sizes), max(sizes)
 
@@ -157,6 +167,85 @@ def tiles(i: np.ndarray, j: np.ndarray, least: int, size: int) -> list[int]:
     return out
 
 
+class Windows:
+    """Karp-Rabin hashes of the windows of one sequence, of any width, modulo two primes."""
+
+    PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1220703125)
+
+    def __init__(self, ids: np.ndarray, reach: int):
+        self.ids, self.sums, self.powers = ids, [], []
+        for prime, base in zip(self.PRIMES, self.BASES, strict=True):
+            power = np.ones(1, np.int64)
+            while len(power) < reach:  # base ** k, doubled in length each time
+                power = np.concatenate([power, power * (int(power[-1]) * base % prime) % prime])
+            terms = (ids.astype(np.int64) + 2) % prime * power[: len(ids)] % prime
+            self.sums.append(np.concatenate([[0], np.cumsum(terms)]))  # below 2 ** 63 for 2 ** 32 words
+            self.powers.append(power[:reach])
+
+    def at(self, places: np.ndarray, width: int) -> np.ndarray:
+        """Equal words give equal hashes, in every sequence made with the same reach."""
+        first, second = (
+            (sums[places + width] - sums[places]) % prime * power[len(power) - 1 - places] % prime
+            for sums, power, prime in zip(self.sums, self.powers, self.PRIMES, strict=True)
+        )
+        return first << 31 | second
+
+
+def running_tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[int]:
+    """What tiles() gives, without the pairs of places: running Karp-Rabin, from the longest common length down.
+
+    A halving search finds the longest length at which unmarked windows share a hash, all tiles of that length are
+    checked word by word and marked in order of their places, then shorter ones are sought. A tile's length occurs in
+    a bounded number of rounds: different lengths add up to no more than the item.
+    """
+    reach = max(len(doc), len(item))
+    mine, theirs = Windows(doc, reach), Windows(item, reach)
+    marked = [np.zeros(len(doc), bool), np.zeros(len(item), bool)]
+    out, upper = [], min(len(doc), len(item))
+
+    def free(side: int, width: int) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(marked[side])])
+        return np.flatnonzero(sums[width:] == sums[: len(sums) - width])
+
+    def common(width: int) -> tuple:
+        x, y = free(0, width), free(1, width)
+        hx, hy = mine.at(x, width), theirs.at(y, width)
+        x, hx = (v[np.isin(hx, hy)] for v in (x, hx))
+        y, hy = (v[np.isin(hy, hx)] for v in (y, hy))
+        return x, hx, y, hy
+
+    while upper >= least:
+        low, high = least - 1, upper
+        while low < high:  # no longer length than high has a match
+            middle = (low + high + 1) // 2
+            if len(common(middle)[0]):
+                low = middle
+            else:
+                high = middle - 1
+        if low < least:
+            break
+        x, hx, y, hy = common(low)
+        order = np.argsort(hx, kind="stable")
+        ranked, places = hx[order], x[order]
+        first, last = np.searchsorted(ranked, hy), np.searchsorted(ranked, hy, side="right")
+        begun: dict[int, int] = {}  # of each hash, the places before this one are marked
+        for b, start, end in zip(y.tolist(), first.tolist(), last.tolist(), strict=True):
+            if marked[1][b] or marked[1][b + low - 1]:
+                continue
+            at = begun.get(start, start)
+            while at < end and (marked[0][places[at]] or marked[0][places[at] + low - 1]):
+                at += 1
+            begun[start] = at
+            for k in range(at, end):  # the first that is free and really equal, as a rule this one
+                a = int(places[k])
+                if not marked[0][a] and not marked[0][a + low - 1] and np.array_equal(doc[a : a + low], item[b : b + low]):
+                    marked[0][a : a + low] = marked[1][b : b + low] = True
+                    out.append(low)
+                    break
+        upper = low - 1
+    return out
+
+
 def blocks(benchmark: DataFrame, limit: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
     """The benchmark in blocks of about ``limit`` bytes (a longer item alone), one after another."""
     items = benchmark.where("text is not null").select("item_id", "text")

@@ -284,7 +284,29 @@ def test_tiles_equal_brute_force():
         item = [gen.choice("abcd"[: 1 + k % 4]) for _ in range(gen.randrange(1, 24))]
         doc = [gen.choice("abcdx"[: 1 + k % 5]) for _ in range(gen.randrange(1, 30))] + item[5:] + item[:5]
         hits = [(i, j) for i in range(len(doc) - 2) for j in range(len(item) - 2) if doc[i : i + 3] == item[j : j + 3]]
-        assert decontaminate.tiles(np.array([i for i, _ in hits], int), np.array([j for _, j in hits], int), 3, len(item)) == brute_tiles(doc, item, 3)
+        want = brute_tiles(doc, item, 3)
+        assert decontaminate.tiles(np.array([i for i, _ in hits], int), np.array([j for _, j in hits], int), 3, len(item)) == want
+        assert decontaminate.running_tiles(*(np.array([ord(w) for w in words]) for words in (doc, item)), 3) == want
+
+
+def test_running_tiles_check_equal_hashes_word_by_word(monkeypatch):
+    monkeypatch.setattr(decontaminate.Windows, "at", lambda self, places, width: self.ids[places] % 2)
+    doc, item = np.array([1, 2, 3, 9, 4, 5, 6, 7, 8]), np.array([4, 5, 6, 7, 9, 9, 1, 2, 3])
+    assert decontaminate.running_tiles(doc, item, 3) == [4, 3]
+
+
+def test_one_repeated_word_needs_little_memory():
+    import time
+    import tracemalloc
+
+    bench = decontaminate.Benchmark([(1, "na " * 2000), (2, "na na ba " * 700)])
+    ids = np.concatenate([np.full(40000, bench.vocabulary["na"]), np.tile([bench.vocabulary[w] for w in ("na", "na", "ba")], 9000)])
+    began = time.process_time()
+    tracemalloc.start()
+    got = {r[1]: r[2:] for r in bench.matches(ids, np.array([0, len(ids)]), 0.5)}
+    assert got == {0: (2000, 1, 2000), 1: (2100, 1, 2100)}
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20 and time.process_time() - began < 15
+    tracemalloc.stop()
 
 
 def test_repeating_words_stay_cheap():
