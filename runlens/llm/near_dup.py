@@ -4,8 +4,8 @@ Fingerprints are reduced to the distinct ones. A vantage-point tree, built from
 Hamming distance. A fingerprint whose distance lies within half the radius of a node's threshold goes to both sides,
 so by the triangle bound every pair within the radius meets in at least one shard. A shard splits on by vantage points
 of its own until its blocks are small enough for exact comparison. Shards that are too large for a task are sampled and
-routed again by trees of their own, in Spark; a ball too dense to split, in a task or in Spark, is joined by one-bit
-neighbours instead, which is exact for a radius of two and linear: two fingerprints two bits apart have a neighbour in
+routed again by trees of their own, in Spark; what the bounded sample of a turn cannot serve, and a ball too dense to
+split, in a task or in Spark, is joined by one-bit neighbours instead, which is exact for a radius of two and linear: two fingerprints two bits apart have a neighbour in
 common. A shard returns a spanning forest of its links, not
 all pairs, and the components are contracted in Spark by alternating large and small stars.
 
@@ -180,12 +180,35 @@ def depth(n: int, shard: int) -> int:
     return max(0, math.ceil(math.log2(max(1, n / shard))))
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD, large: int = LARGE, turns: int = TURNS) -> DataFrame:
-    """Rows (a, b) that span every component of the distinct fingerprints (column fp, ``n`` rows)."""
+def spanning(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) that span each shard of ``rows`` (shard, fp), one shard a group."""
+
+    def join(group: pa.Table) -> pa.Table:
+        a, b = forest(group.column("fp").to_numpy().view(np.uint64), radius)
+        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+
+    return rows.groupBy("shard").applyInArrow(join, "a long, b long")
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that span what lies within a radius of two, by the fingerprints one bit away; no group is held by a task."""
+    flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << k) - (1 << 64 if k == 63 else 0)) for k in range(64)))
+    variants = rows.select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    least = settle(variants.groupBy("variant").agg(F.min("fp").alias("b"), F.count("*").alias("copies")).where("copies > 1"), "variants")
+    return variants.join(least.select("variant", "b"), "variant").where("fp <> b").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct()
+
+
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD, large: int = LARGE, turns: int = TURNS, most: int = MOST) -> DataFrame:
+    """Rows (a, b) that span every component of the distinct fingerprints (column fp, ``n`` rows).
+
+    A turn samples at most about ``most`` fingerprints for the trees of its large shards, the largest first. At a radius
+    of two, large shards beyond that, and those that stay large after the last turn, are joined by one-bit neighbours, so
+    no task holds over ``large`` fingerprints as a group. At another radius they are held whole by a task.
+    """
     half = radius // 2 + radius % 2
     rng = np.random.default_rng(11)
-    trees = {0: grow(sampled(distinct, min(MOST, max(SAMPLE, 2 * LEAF * n // shard))), depth(n, shard), rng)}
-    rows, found = distinct.select(F.lit(0).cast("long").alias("shard"), "fp"), []
+    trees = {0: grow(sampled(distinct, min(most, max(SAMPLE, 2 * LEAF * n // shard))), depth(n, shard), rng)}
+    rows, found, dense = distinct.select(F.lit(0).cast("long").alias("shard"), "fp"), [], []
 
     def routed(rows: DataFrame, trees: dict) -> DataFrame:
         def route(batches):
@@ -198,31 +221,26 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, shard: int = SHARD,
 
         return settle(rows.mapInArrow(route, "shard long, fp long"), "shards")
 
-    def join(group: pa.Table) -> pa.Table:
-        a, b = forest(group.column("fp").to_numpy().view(np.uint64), radius)
-        return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
-
     for turn in range(turns):
         rows = routed(rows, trees)
         big = settle(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > large), "large")
-        sizes = {r["shard"]: r["n"] for r in big.orderBy(F.desc("n"), "shard").limit(MOST // SAMPLE).collect()}  # others wait as they are
+        wanted = min(SAMPLE, most)  # of a shard's fingerprints
+        sizes = {r.shard: r.n for r in big.orderBy(F.desc("n"), "shard").limit(max(1, most // wanted)).collect()} if turn < turns - 1 else {}
+        found.append(spanning(rows.join(big, "shard", "left_anti"), radius))
+        keys = F.broadcast(distinct.sparkSession.createDataFrame([(k, v // wanted + 1) for k, v in sizes.items()], "shard long, one_in long"))  # at most most / wanted rows
+        rest = big.join(keys, "shard", "left_anti")
+        if not rest.isEmpty():
+            dense.append(rows.join(rest, "shard", "left_semi"))
         if not sizes:
-            return reduce(DataFrame.union, [*found, rows.groupBy("shard").applyInArrow(join, "a long, b long")])
-        keys = F.broadcast(distinct.sparkSession.createDataFrame([(k, v // SAMPLE + 1) for k, v in sizes.items()], "shard long, one_in long"))  # at most MOST / SAMPLE rows
-        found.append(rows.join(keys, "shard", "left_anti").groupBy("shard").applyInArrow(join, "a long, b long"))
+            break
         rows = rows.join(keys, "shard")
-        samples = rows.where(F.pmod(F.xxhash64("fp"), F.col("one_in")) == 0).select("shard", "fp").toArrow()  # about MOST rows
+        samples = rows.where(F.pmod(F.xxhash64("fp"), F.col("one_in")) == 0).select("shard", "fp").toArrow()  # about ``most`` rows
         owner, points = samples.column("shard").to_numpy(), samples.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         trees = {k: grow(points[owner == k], depth(v, shard), rng) for k, v in sizes.items()}
         rows = rows.select("shard", "fp")
-        if turn == turns - 1:
-            break
-    if radius != 2:
-        return reduce(DataFrame.union, [*found, rows.groupBy("shard").applyInArrow(join, "a long, b long")])
-    flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << k) - (1 << 64 if k == 63 else 0)) for k in range(64)))
-    variants = rows.select("fp").distinct().select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    least = settle(variants.groupBy("variant").agg(F.min("fp").alias("b"), F.count("*").alias("copies")).where("copies > 1"), "variants")
-    found.append(variants.join(least.select("variant", "b"), "variant").where("fp <> b").select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct())
+    if dense:
+        dense = reduce(DataFrame.union, dense)
+        found.append(neighbours(dense) if radius == 2 else spanning(dense, radius))
     return reduce(DataFrame.union, found)
 
 

@@ -97,6 +97,25 @@ def test_forest_spans_all_pairs_also_in_a_dense_ball():
     assert (labels(np.searchsorted(fps, a), np.searchsorted(fps, b)) == labels(i, j)).all()
 
 
+def test_no_task_holds_a_large_shard(spark, monkeypatch):
+    gen = np.random.default_rng(13)
+    fps = np.unique(gen.integers(0, 1 << 62, 6000, dtype=np.uint64))
+    fps = np.unique(np.concatenate([fps, fps[:1500] ^ (near_dup.ONE << gen.integers(0, 62, 1500).astype(np.uint64))]))
+    rows = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long").repartition(3)
+    held, whole = [], near_dup.spanning
+    monkeypatch.setattr(near_dup, "spanning", lambda rows, radius: held.append(rows.groupBy("shard").count().agg({"count": "max"}).first()[0] or 0) or whole(rows, radius))
+    monkeypatch.setattr(near_dup, "SAMPLE", 64)  # with the sample of a turn, two shards only are routed again
+    edges = near_dup.links(rows, len(fps), shard=50, large=100, most=128)
+    got = {(r.fp, r.root) for r in near_dup.contract(edges).collect()}
+    i, j = np.nonzero(np.triu(near_dup.distance(fps[:, None], fps[None, :]) <= 2, 1))
+    groups = groups_of(len(fps), zip(i.tolist(), j.tolist(), strict=True))
+    want = {}
+    for f, g in zip(fps.view(np.int64).tolist(), groups, strict=True):
+        want.setdefault(g, []).append(f)
+    assert got == {(f, min(m)) for m in want.values() for f in m if f != min(m)} and len(got) > 1400
+    assert max(held) <= 100
+
+
 @pytest.mark.parametrize("large, turns", [(400, 1), (400, 3), (1 << 20, 3)])
 def test_large_shards_are_routed_again_or_joined_by_neighbours(spark, large, turns):
     gen = np.random.default_rng(12)
