@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import time
 from functools import reduce
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from runlens.functions.fmt import duration
 from runlens.operators import axes, catalog, hist, restarts
 from runlens.plans import predicate, scopes, tables
+from runlens.plans.held import Held
 from runlens.sources import store as stores
 from runlens.sources import trainlog
 
@@ -29,13 +32,31 @@ def series_of(rows: DataFrame) -> DataFrame:
 
 
 class Logs:
-    """One root. Rows are read anew by every table; with a ``store`` only bytes that are new since its last use are decoded."""
+    """One root, as its files were when this was made: all tables agree while the files grow.
+
+    Rows are read anew by every table, from the files that can hold them; with a ``store`` only bytes that are new since its
+    last use are decoded. ``held_points`` and ``held_snapshots`` keep series between calls.
+    """
 
     def __init__(self, spark: SparkSession, root: str, now: float | None = None, window: float = 60.0, store: str | None = None, verify: bool = False):
         self.spark, self.root, self.window = spark, root, window
         self.now = time.time() if now is None else now
-        self.rows = stores.refresh(spark, root, store) if store else trainlog.load(spark, root, verify)
-        self.points, self.hparams = trainlog.points(self.rows), trainlog.hparams(self.rows)
+        self.verify, self.frontier = verify, None if store else trainlog.pin(spark, root)
+        self.rows = stores.refresh(spark, root, store) if store else self.only()
+        self.held = Held({"scalar": 64, "histogram": 8})
+        self.points, self.hparams = trainlog.points(self.only(kind="scalar")), trainlog.hparams(self.only(kind="hparam"))
+
+    def only(self, **values: str) -> DataFrame:
+        """The rows with these values of run, backend, kind or tag; files that can hold none are not opened."""
+        if self.frontier is None:
+            return self.rows.where(reduce(lambda a, b: a & b, (F.col(c) == v for c, v in values.items())))
+        return trainlog.load(self.spark, self.root, self.verify, self.frontier, {c: [v] for c, v in values.items()})
+
+    def close(self) -> None:
+        """Let go of held series and of the frontier; no table can be read afterwards unless it came from a store."""
+        self.held.clear()
+        if self.frontier:
+            shutil.rmtree(os.path.dirname(self.frontier), ignore_errors=True)
 
     def series(self) -> DataFrame:
         return series_of(self.rows)
@@ -69,10 +90,11 @@ class Logs:
 
     def summary(self, run: str) -> DataFrame:
         """The series of one run; ValueError lists the runs if there is none of that name."""
-        known = sorted(r.run for r in self.rows.select("run").distinct().collect())
-        if run not in known:
+        rows = self.only(run=run)
+        if rows.isEmpty():
+            known = sorted(r.run for r in self.rows.select("run").distinct().collect())
             raise ValueError(f"no run {run!r}; runs: {', '.join(known)}")
-        own = self.series().where(F.col("run") == run)
+        own = series_of(rows)
         return tables.run_summary(own, run).drop("class").join(own.select("tag", "class"), "tag").select("tag", "class", "count", "min", "max", "mean", "last", "step", "segments").orderBy("tag")
 
     def export(self) -> DataFrame:
@@ -104,14 +126,25 @@ class Logs:
 
     def scalars(self, runs: DataFrame | None = None, tag: str | None = None) -> DataFrame:
         """Live points (run, tag, step, wall, value) of the scope, of one tag if that is given: the scalars export."""
-        points = self.points if tag is None else self.points.where(F.col("tag") == tag)
+        points = self.points if tag is None else trainlog.points(self.only(kind="scalar", tag=tag))
         points = points if runs is None else points.join(runs.select("run"), "run", "left_semi")
         return restarts.with_live(points).where("is_live").select("run", "tag", "step", "wall", "value")
 
+    def held_points(self, run: str, tag: str) -> DataFrame:
+        """All points of a scalar series with ``is_live``, kept for the next call; the 64 last asked for stay."""
+        return self.held.get("scalar", (run, tag), lambda: restarts.with_live(trainlog.points(self.only(kind="scalar", run=run, tag=tag))))
+
+    def held_snapshots(self, run: str, tag: str) -> DataFrame:
+        """The live histograms of a series, kept for the next call; those of the 8 last asked for stay."""
+        return self.held.get("histogram", (run, tag), lambda: self.snapshots_of(self.only(kind="histogram", run=run, tag=tag)))
+
     def snapshots(self, runs: DataFrame | None = None) -> DataFrame:
         """Live histograms (run, tag, seq, step, wall, buckets) of the scope."""
-        rows = self.rows.where(F.col("kind") == "histogram").select("run", "tag", "seq", "step", "wall", "buckets")
-        rows = rows if runs is None else rows.join(runs.select("run"), "run", "left_semi")
+        rows = self.only(kind="histogram")
+        return self.snapshots_of(rows if runs is None else rows.join(runs.select("run"), "run", "left_semi"))
+
+    def snapshots_of(self, rows: DataFrame) -> DataFrame:
+        rows = rows.select("run", "tag", "seq", "step", "wall", "buckets")
         return restarts.with_live(rows).where("is_live").select("run", "tag", "seq", "step", "wall", "buckets")
 
     def histograms(self, runs: DataFrame | None = None) -> DataFrame:
