@@ -2,7 +2,8 @@
 
 ``events`` is read as a training log: a run per user, a tag per event type, steps that rewind every fifth point, a NaN
 where the id is divisible by 97. ``customer`` gives the runs' hyperparameters, ``lineitem`` histograms of quantities. The queries named log_... write both
-as event files to the shared folder, once a session, and read them back through the data source.
+as event files to the shared folder, once a session, and read them back through the data source; those named formats_...
+write ``events`` in the other three formats, with damage.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from runlens.functions.fmt import duration, float_text_udf, significant_udf
 from runlens.operators import axes, catalog, hist, restarts
 from runlens.plans import predicate, scopes, tables
 from runlens.session import Logs
-from runlens.sources import eventlog
+from runlens.sources import eventlog, otherlogs, trainlog
 from runlens.streaming import state, tail
 
 NOW = 1704500000.0
@@ -524,3 +525,42 @@ def log_state_points(spark, d):
     """Live points and ghosts, kept by a stream that took back what later restarts outdid, while the files changed."""
     points = followed(spark, d).points().where("class = 'scalar'")
     return points.select("run", "tag", "step", F.round("wall", 3).alias("wall"), catalog.finite(F.col("value")).alias("value"), F.col("segment").cast("long").alias("segment"), "is_live", F.col("ghost_of").cast("long").alias("ghost_of"))
+
+
+def other_logs(spark: SparkSession, sf_dir: str) -> Logs:
+    """All points as logs of the three other formats, by user, each file with a record that cannot be read and a torn end."""
+    key = (spark.sparkContext.applicationId, sf_dir, "others")
+    if key not in WRITTEN:
+        root = eventlog.shared_folder(spark, "others")
+        user = F.substring("run", 2, 20).cast("long")
+        backend = F.get(F.array(*(F.lit(b) for b in OTHERS)), (user % 3).cast("int"))
+        otherlogs.write_logs(points(spark, sf_dir).withColumn("backend", backend), root, damaged=True)
+        WRITTEN[key] = root
+    return Logs(spark, WRITTEN[key], now=NOW)
+
+
+OTHERS = ("dvclive", "mlflow", "wandb")
+BACKEND_SQL = "CASE CAST(substr(run, 2) AS BIGINT) % 3 WHEN 0 THEN 'dvclive' WHEN 1 THEN 'mlflow' ELSE 'wandb' END"
+
+
+@query(P + f"SELECT run, {BACKEND_SQL} AS backend, tag, n AS count, n - nf AS non_finite, mn AS min, mx AS max, round(mean, 7) AS mean, last_step AS step, segments, CASE WHEN CAST(substr(run, 2) AS BIGINT) % 3 = 2 THEN last_wall ELSE floor(last_wall * 1000) / 1000 END AS last_wall FROM ser")
+def formats_series(spark, d):
+    """Two of the formats hold whole milliseconds."""
+    logs = other_logs(spark, d)
+    rows = logs.series().join(logs.losses().select("run", "backend"), "run")
+    return rows.select("run", "backend", "tag", "count", "non_finite", "min", "max", F.round("mean", 7).alias("mean"), F.col("last.step").alias("step"), "segments", "last_wall")
+
+
+@query(P + f"SELECT run, {BACKEND_SQL} AS backend, CASE WHEN CAST(substr(run, 2) AS BIGINT) % 3 = 2 THEN 1 ELSE count(*) END AS dropped_records, 0 AS dead_files FROM ser GROUP BY run")
+def formats_losses(spark, d):
+    """Every file lost the one record that cannot be read; torn ends wait for their rest and are no loss."""
+    return other_logs(spark, d).losses().select("run", "backend", "dropped_records", "dead_files")
+
+
+@query(P + "SELECT run, tag, seq_of AS place, step, round(value, 7) AS value, is_live FROM (SELECT *, row_number() OVER (PARTITION BY run, tag ORDER BY seq) AS seq_of FROM live) WHERE tag = 'purchase'")
+def formats_one_tag(spark, d):
+    """One tag of all runs: of two formats only the files of that tag are opened."""
+    logs = other_logs(spark, d)
+    rows = restarts.with_live(trainlog.points(logs.only(kind="scalar", tag="purchase")))
+    place = F.row_number().over(Window.partitionBy("run", "tag").orderBy("seq"))
+    return rows.select("run", "tag", place.alias("place"), "step", F.round("value", 7).alias("value"), "is_live")
