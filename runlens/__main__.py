@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     logs = Logs(spark, given.root, store=given.store, verify=given.verify)
     try:
         runs = logs.scope(given.filter) if given.filter else None
-        view = {"ls": lambda: logs.ls(given.name), "summary": lambda: logs.summary(given.name), "export": logs.export, "show": lambda: logs.show(given.name, given.x, given.smooth, given.tokens, runs, given.ghosts), "scalars": lambda: logs.scalars(runs, given.name or None), "histograms": lambda: logs.histograms(runs), "distribution": lambda: logs.distribution(runs=runs), "tags": lambda: logs.tags(given.name, runs)}[given.view]()
+        view = {"ls": lambda: logs.ls(given.name), "summary": lambda: logs.summary(given.name), "export": lambda: logs.export(runs), "show": lambda: logs.show(given.name, given.x, given.smooth, given.tokens, runs, given.ghosts), "scalars": lambda: logs.scalars(runs, given.name or None), "histograms": lambda: logs.histograms(runs), "distribution": lambda: logs.distribution(runs=runs), "tags": lambda: logs.tags(given.name, runs)}[given.view]()
         if given.format == "text" and given.view == "summary":
             held = logs.hparams.where(F.col("run") == given.name).select("key", hparam_text().alias("text")).orderBy("key").collect()
             if held:

@@ -97,8 +97,12 @@ class Logs:
         own = series_of(rows)
         return tables.run_summary(own, run).drop("class").join(own.select("tag", "class"), "tag").select("tag", "class", "count", "min", "max", "mean", "last", "step", "segments").orderBy("tag")
 
-    def export(self) -> DataFrame:
-        return tables.export(self.series().where(F.col("class") == "scalar"), self.hparams).orderBy("run")
+    def export(self, runs: DataFrame | None = None) -> DataFrame:
+        """One row per run of the scope, with the hyperparameters and scalar tags that occur in it."""
+        series, hparams = series_of(self.only(kind="scalar")), self.hparams
+        if runs is not None:
+            series, hparams = (rows.join(runs.select("run"), "run", "left_semi") for rows in (series, hparams))
+        return tables.export(series, hparams).orderBy("run")
 
     def filtered(self, text: str = "") -> DataFrame:
         """Rows (run): the runs that the predicate lets through."""

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_sources import put, root  # noqa: F401  (a fixture)
 
+from runlens.__main__ import main
 from runlens.plans.held import Held
 from runlens.session import Logs
 from runlens.sources import trainlog
@@ -78,6 +79,15 @@ def test_a_torn_record_at_the_frontier_is_not_there_yet(spark, tmp_path):
         assert logs.points.count() == max(0, sum(e <= cut for e in ends) - 1)  # the first record is no event
 
 
+def test_export_keeps_to_the_filter(spark, root, capsys):  # noqa: F811
+    logs = Logs(spark, str(root))
+    assert [r.run for r in logs.export().collect()] == ["a", "b", "offline", "warm"]
+    chosen = logs.export(logs.scope("lr > 0.01"))
+    assert [r.run for r in chosen.collect()] == ["a", "warm"] and chosen.columns == ["run", "lr", "loss", "val/acc"]
+    assert main(["export", str(root), "--format", "csv", "--filter", "lr > 0.05"], spark) == 0
+    assert capsys.readouterr().out == "run,lr,loss\na,0.1,105\n"
+
+
 def test_held_series_are_read_once(spark, root):  # noqa: F811
     logs = Logs(spark, str(root))
     first = logs.held_points("a", "loss")
