@@ -417,8 +417,18 @@ def logged(spark: SparkSession, sf_dir: str) -> str:
     return WRITTEN[key]
 
 
+GATHERED: dict[str, Logs] = {}
+
+
+def gathered(spark: SparkSession, root: str) -> Logs:
+    """The logs below a folder that is written, decoded once a session."""
+    if root not in GATHERED:
+        GATHERED[root] = Logs(spark, root, now=NOW, gather=True)
+    return GATHERED[root]
+
+
 def logs_of(spark: SparkSession, sf_dir: str) -> Logs:
-    return Logs(spark, logged(spark, sf_dir), now=NOW)
+    return gathered(spark, logged(spark, sf_dir))
 
 
 #: The points as event files hold them: values are floats of 32 bits.
@@ -527,8 +537,8 @@ def log_state_points(spark, d):
     return points.select("run", "tag", "step", F.round("wall", 3).alias("wall"), catalog.finite(F.col("value")).alias("value"), F.col("segment").cast("long").alias("segment"), "is_live", F.col("ghost_of").cast("long").alias("ghost_of"))
 
 
-def other_logs(spark: SparkSession, sf_dir: str) -> Logs:
-    """All points as logs of the three other formats, by user, each file with a record that cannot be read and a torn end."""
+def other_logs(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of all points as logs of the three other formats, by user, each file with a record that cannot be read and a torn end."""
     key = (spark.sparkContext.applicationId, sf_dir, "others")
     if key not in WRITTEN:
         root = eventlog.shared_folder(spark, "others")
@@ -536,7 +546,7 @@ def other_logs(spark: SparkSession, sf_dir: str) -> Logs:
         backend = F.get(F.array(*(F.lit(b) for b in OTHERS)), (user % 3).cast("int"))
         otherlogs.write_logs(points(spark, sf_dir).withColumn("backend", backend), root, damaged=True)
         WRITTEN[key] = root
-    return Logs(spark, WRITTEN[key], now=NOW)
+    return WRITTEN[key]
 
 
 OTHERS = ("dvclive", "mlflow", "wandb")
@@ -546,7 +556,7 @@ BACKEND_SQL = "CASE CAST(substr(run, 2) AS BIGINT) % 3 WHEN 0 THEN 'dvclive' WHE
 @query(P + f"SELECT run, {BACKEND_SQL} AS backend, tag, n AS count, n - nf AS non_finite, mn AS min, mx AS max, round(mean, 7) AS mean, last_step AS step, segments, CASE WHEN CAST(substr(run, 2) AS BIGINT) % 3 = 2 THEN last_wall ELSE floor(last_wall * 1000) / 1000 END AS last_wall FROM ser")
 def formats_series(spark, d):
     """Two of the formats hold whole milliseconds."""
-    logs = other_logs(spark, d)
+    logs = gathered(spark, other_logs(spark, d))
     rows = logs.series().join(logs.losses().select("run", "backend"), "run")
     return rows.select("run", "backend", "tag", "count", "non_finite", "min", "max", F.round("mean", 7).alias("mean"), F.col("last.step").alias("step"), "segments", "last_wall")
 
@@ -554,13 +564,13 @@ def formats_series(spark, d):
 @query(P + f"SELECT run, {BACKEND_SQL} AS backend, CASE WHEN CAST(substr(run, 2) AS BIGINT) % 3 = 2 THEN 1 ELSE count(*) END AS dropped_records, 0 AS dead_files FROM ser GROUP BY run")
 def formats_losses(spark, d):
     """Every file lost the one record that cannot be read; torn ends wait for their rest and are no loss."""
-    return other_logs(spark, d).losses().select("run", "backend", "dropped_records", "dead_files")
+    return gathered(spark, other_logs(spark, d)).losses().select("run", "backend", "dropped_records", "dead_files")
 
 
 @query(P + "SELECT run, tag, seq_of AS place, step, round(value, 7) AS value, is_live FROM (SELECT *, row_number() OVER (PARTITION BY run, tag ORDER BY seq) AS seq_of FROM live) WHERE tag = 'purchase'")
 def formats_one_tag(spark, d):
     """One tag of all runs: of two formats only the files of that tag are opened."""
-    logs = other_logs(spark, d)
+    logs = Logs(spark, other_logs(spark, d), now=NOW)
     rows = restarts.with_live(trainlog.points(logs.only(kind="scalar", tag="purchase")))
     place = F.row_number().over(Window.partitionBy("run", "tag").orderBy("seq"))
     return rows.select("run", "tag", place.alias("place"), "step", F.round("value", 7).alias("value"), "is_live")

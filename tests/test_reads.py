@@ -123,3 +123,16 @@ def test_the_least_recently_touched_series_goes(spark):
     assert made[-1] == "b" and not a.storageLevel.useMemory
     held.clear()
     assert not any(x.storageLevel.useMemory for x in (b, c, h))
+
+
+def test_gathered_logs_decode_once(spark, root):  # noqa: F811
+    plain, logs = Logs(spark, str(root)), Logs(spark, str(root), gather=True)
+    names = ("series", "losses", "scalars", "snapshots", "tags")
+    want = {name: sorted(map(repr, getattr(plain, name)().collect())) for name in names}
+    assert {name: sorted(map(repr, getattr(logs, name)().collect())) for name in names} == want
+    assert sorted(map(repr, logs.hparams.collect())) == sorted(map(repr, plain.hparams.collect()))
+    for name in ("a/events.out.tfevents.1", "a/events.out.tfevents.2"):
+        os.remove(root / name)
+    assert sorted(map(repr, logs.series().collect())) == want["series"] and not logs.snapshots().count()
+    logs.close()
+    assert not os.path.exists(logs.gathered)
