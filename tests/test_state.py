@@ -90,3 +90,16 @@ def test_summaries_merge_as_if_read_at_once():
 
 def test_catalog_of_nothing(spark):
     assert catalog.series(spark.createDataFrame([], "run string, tag string, seq long, step long, wall double, value double")).count() == 0
+
+
+def test_lists_and_arrays_are_summed_up_alike(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    value = np.where(rng.random(40) < 0.2, np.nan, rng.random(40))
+    columns = np.arange(40), np.arange(40) * 2, np.where(rng.random(40) < 0.2, 0, rng.random(40)), value
+    few = state.part_of(*(c.tolist() for c in columns), "scalar")
+    monkeypatch.setattr(state, "FEW", 4)
+    many = state.part_of(*(c.tolist() for c in columns), "scalar")
+    assert all(few[c] == many[c] or abs(few[c] - many[c]) < 1e-12 for c in state.PART_NAMES if c not in ("class", "first_value", "last_value")) and few["class"] == "scalar"
+    assert state.part_of([1], [1], [0.0], [float("nan")], None)["mean"] is None
