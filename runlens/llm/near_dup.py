@@ -121,8 +121,11 @@ def settle_labels(labels: np.ndarray, groups: np.ndarray, members: np.ndarray) -
         labels = new
 
 
-def forest(fps: np.ndarray, radius: int = RADIUS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b), a < b, that join the same fingerprints as all pairs within the radius do. ``fps`` are distinct."""
+def forest(fps: np.ndarray, radius: int = RADIUS, seed: int = 7, both: float = 0.7) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b), a < b, that join the same fingerprints as all pairs within the radius do. ``fps`` are distinct.
+
+    Where a vantage point sends more than the share ``both`` to both sides, they are joined without further splits.
+    """
     rng, half, links = np.random.default_rng(seed), radius // 2 + radius % 2, []
 
     def exact(own: np.ndarray) -> None:
@@ -139,12 +142,15 @@ def forest(fps: np.ndarray, radius: int = RADIUS, seed: int = 7) -> tuple[np.nda
         links.append((own[label], own))
 
     def dense(own: np.ndarray) -> None:
-        for part in [own]:
-            variants = (part[:, None] ^ FLIPS[None, :]).ravel()
-            order = np.argsort(variants, kind="stable")
-            ranked = variants[order]
-            label = settle_labels(np.arange(len(part)), np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])), order // 65)
-            links.append((part[label], part))
+        variants = (own[:, None] ^ FLIPS[None, :]).ravel()
+        order = np.argsort(variants, kind="stable")
+        ranked = variants[order]
+        same = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])
+        shared = np.flatnonzero(same[1:] | same[:-1])  # variants of two or more
+        if len(shared):
+            label = settle_labels(np.arange(len(own)), np.cumsum(~same[shared]), order[shared] // 65)
+            moved = np.flatnonzero(label != np.arange(len(own)))
+            links.append((own[label[moved]], own[moved]))
 
     def search(own: np.ndarray) -> None:
         if len(own) <= BLOCK:
@@ -152,7 +158,7 @@ def forest(fps: np.ndarray, radius: int = RADIUS, seed: int = 7) -> tuple[np.nda
         point, mu = vantage(own if len(own) <= SAMPLE else rng.choice(own, SAMPLE, replace=False), rng)
         d = distance(own, point)
         near, far = own[d <= mu + half], own[d > mu - half]
-        if max(len(near), len(far)) > 0.9 * len(own) or len(near) + len(far) > 1.7 * len(own):
+        if max(len(near), len(far)) > 0.9 * len(own) or len(near) + len(far) > (1 + both) * len(own):
             if radius == 2:
                 return dense(own)
             for k in range(0, len(own), BLOCK):  # exact, block against the rest

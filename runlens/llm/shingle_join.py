@@ -1,10 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingle sets: an exact similarity join.
-
-Two sets of similarity ``least`` or more share a member among the first n - ceil(least * n) + 1 of each (n its size), in
-any one order of all shingles (prefix filter), so rows that share one are the candidates. Of these, pairs go whose sets
-differ too much for sure (parity bitmaps differ in no more bits than the sets in members), and what is left is verified
-on the whole sets: no pair is lost, whatever the sample below says. Shingles found often in a sample of the
-rows come last in the order, rarest first, which only keeps groups small. Equal sets are reduced to one first. In a group
+"""Near-duplicates by the Jaccard similarity of five-word shingle sets: an exact similarity join on the vantage-point tree.
+
+Two sets of similarity ``least`` or more differ in at most D members, which their sizes tell. Dealt by hash to D // 3 + 1
+parts, they differ in at most two members in one part at least. A part's fingerprint has 64 bits, each the parity of
+its members that hash to it, so those of that part lie at most ``RADIUS`` bits apart, as near_dup's vantage-point tree finds
+them: no pair is lost. How many parts there are depends on the size of the larger set, by size classes (``schemes``); a
+smaller set is also dealt as the next class does it. Parts of the same number and class are one space. A space of up to
+near_dup.LARGE sets is a shard and searched in a task, by vantage points as long as they part it, then by one-bit neighbours;
+a larger one is first routed by a tree in Spark, and what stays large is joined by one-bit neighbours, too. What the links of a shard join is a group, and the pairs in it are the candidates. Of these,
+pairs go whose sets differ too much for sure (parity bitmaps differ in no more bits than the sets in members), and what is
+left is verified on the whole sets. Equal sets are reduced to one first. In a group
 of over ``BIG`` rows a few pivots are compared with all first; once the components are known, only rows of different
 components are still compared, by size and bitmap, and only pairs that these do not rule out are ever written.
 
@@ -23,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from runlens.llm.common import settle, text_blocks
-from runlens.llm.near_dup import contract
+from runlens.llm.common import discard, ranges, settle, text_blocks
+from runlens.llm.near_dup import LARGE, LEAF, MOST, RADIUS, SAMPLE, contract, forest, grow, neighbours, sampled, shards
 
 WORDS, LEAST = 5, 0.8
-#: One row in ``SHARE`` is sampled for common shingles: those in at least ``OFTEN`` of the sample, ``MOST`` of them.
-SHARE, OFTEN, MOST = 16, 4, 1 << 20
+#: Ratio of the sizes that bound a class of sets. Share of a space on both sides of a vantage point above which a task splits it no further.
+RATIO, BOTH = 1.5, 0.25
 #: Rows of a group that are compared all with all at once; pivots of larger groups; rows of a larger group that a task holds, and that pass by.
 BIG, PIVOTS, PART, SLICE = 64, 8, 4096, 1 << 16
 #: Bits of a parity bitmap, a power of two.
@@ -68,44 +72,115 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     return shared >= least * (len(both) - shared) - 1e-9
 
 
-def common(rows: DataFrame, words: int) -> np.ndarray:
-    """Shingles found often in a sample of the rows, rarest first."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(27))
 
-    def run(batches):
-        for block in text_blocks(batches, "text"):
-            sets = shingle_sets(block.column("text"), words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
 
-    sampled = rows.where(F.pmod(F.xxhash64("row"), F.lit(SHARE)) == 0).select("text").mapInArrow(run, "shingle long")
-    often = sampled.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(MOST)
-    return often.toArrow().column("shingle").to_numpy().astype(np.int64).view(np.uint64)[::-1]  # at most MOST, 8 bytes each
+def schemes(least: float) -> np.ndarray:
+    """Rows (low, high, parts, bits): pairs whose larger set is of a size from one class's bounds, members in [low, high), are dealt to so many parts, a member to so many bits."""
+    out, edge = [], 2
+    while edge < 1 << 31:
+        high = max(edge + 1, int(edge * RATIO))
+        differ = int(2 * (high - 1) * (1 - least) / (1 + least) + 1e-6)
+        parts = differ // (RADIUS + 1) + 1
+        if differ:  # else only equal sets are as similar
+            out.append((max(1, int(needed(edge, least))), high, parts, max(1, RADIUS // (differ // parts))))
+        edge = high
+    return np.array(out, np.int64)
+
+
+def layout(sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets of these sizes, one after another: (set, scheme) of each time that a set is dealt, and the space of each part."""
+    low, high, parts, _ = schemes(least).T
+    own, scheme = np.nonzero((sizes[:, None] >= low) & (sizes[:, None] < high))
+    count = parts[scheme]
+    return own, scheme, np.repeat(scheme << 48, count) | ranges(np.zeros(len(count), np.int64), count).astype(np.int64) << 24
+
 
+def part_fingerprints(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, offsets by set) of the parts of all sets; those of different spaces are as far apart as random ones."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    own, scheme, space = layout(sizes, least)
+    _, _, parts, bits = schemes(least).T
+    count, held = parts[scheme], sizes[own]
+    members = mixed(np.concatenate(sets))[ranges((np.cumsum(sizes) - sizes)[own], held)]
+    at = np.repeat(np.cumsum(count) - count, held) + ((members >> np.uint64(32)) * np.repeat(count.astype(np.uint64), held) >> np.uint64(32)).astype(np.int64)
+    out = mixed(mixed(space.astype(np.uint64) + MULTIPLIER))
+    for k in range(RADIUS):
+        asked = np.repeat(bits[scheme] > k, held)
+        np.bitwise_xor.at(out, at[asked], np.uint64(1) << (members[asked] >> np.uint64(6 * k) & np.uint64(63)))
+    return out, np.concatenate([[0], np.cumsum(np.bincount(own, count, len(sets)))]).astype(np.int32)
 
-def prefixes(rows: DataFrame, words: int, least: float) -> DataFrame:
-    """Rows (row, doc_id, fp, n, prefix, sketch): the set's hash, its size, the members by which it is found, its parity bitmap."""
-    often = common(rows, words)
-    order = np.argsort(often)
-    sent = rows.sparkSession.sparkContext.broadcast((often[order], order))
+
+def described(rows: DataFrame, words: int, least: float) -> DataFrame:
+    """Rows (row, doc_id, fp, n, parts, sketch): the set's hash, its size, its parts' fingerprints, its parity bitmap."""
 
     def run(batches):
-        known, rank = sent.value
         for block in text_blocks(batches, "text"):
-            fps, sizes, found, sketches = [], [], [], []
-            for own in shingle_sets(block.column("text"), words):
-                fps.append(xxh64_intdigest(own.tobytes(), 42))
-                sizes.append(len(own))
+            sets, sketches = shingle_sets(block.column("text"), words), []
+            for own in sets:
                 places = (own >> np.uint64(65 - BITS.bit_length())).astype(np.int64)
                 sketches.append(np.packbits((np.bincount(places, minlength=BITS) & 1).astype(bool)).tobytes())
-                if len(known) and len(own):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    own = own[np.argsort(np.where(known[at] == own, rank[at], -1), kind="stable")]
-                found.append(own[: len(own) - int(needed(len(own), least)) + 1].view(np.int64))
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            members = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-            yield pa.RecordBatch.from_arrays([block.column("row"), block.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), members, pa.array(sketches, pa.binary())], names=["row", "doc_id", "fp", "n", "prefix", "sketch"])
+            fps = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64)
+            parts, ends = part_fingerprints(sets, least)
+            parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(parts.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([block.column("row"), block.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), parts, pa.array(sketches, pa.binary())], names=["row", "doc_id", "fp", "n", "parts", "sketch"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, fp long, n long, prefix array<long>, sketch binary")
+    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, fp long, n long, parts array<long>, sketch binary")
+
+
+def groups(own: DataFrame, least: float) -> DataFrame:
+    """Rows (shingle, fp, n): the sets of rows (fp, n, parts) that the vantage-point tree's links join in a shard, under one fingerprint of the group."""
+    large, half = LARGE, RADIUS // 2 + RADIUS % 2
+    plan = schemes(least)
+    held = own.agg(*(F.count_if((F.col("n") >= int(low)) & (F.col("n") < int(high))) for low, high, _, _ in plan)).first()
+    wide, tree = np.array([k > large for k in held]), None
+    if wide.any():
+        split = 2 * max(held) / large
+        some = own.where(F.size("parts") > 0).select(F.element_at("parts", (F.pmod(F.xxhash64("fp"), F.size("parts")) + 1).cast("int")).alias("fp"))
+        tree = grow(sampled(some, int(min(MOST, max(SAMPLE, 2 * LEAF * split)))), math.ceil(1.4 * math.log2(split)), np.random.default_rng(11))  # both sides hold what lies near a threshold
+
+    def place(batches):
+        for batch in batches:
+            sizes, parts = batch.column("n").to_numpy(), batch.column("parts").flatten().to_numpy().view(np.uint64)
+            own, scheme, space = layout(sizes, least)
+            count = plan[scheme, 2]
+            owner, routed = np.repeat(own, count), np.repeat(wide[scheme], count)
+            found = [(1, np.flatnonzero(~routed))]
+            if tree is not None:
+                found += shards(tree, parts, np.flatnonzero(routed), half)
+            for path, at in found:
+                if len(at):
+                    who = pa.array(owner[at])
+                    yield pa.RecordBatch.from_arrays([pa.array(space[at] | path), pa.array(parts[at].view(np.int64)), batch.column("fp").take(who), batch.column("n").take(who)], names=["shard", "part", "fp", "n"])
+
+    def join(group: pa.Table) -> pa.Table:
+        points, at = np.unique(group.column("part").to_numpy().view(np.uint64), return_inverse=True)
+        a, b = (np.searchsorted(points, x) for x in forest(points, RADIUS, both=BOTH))
+        label = np.arange(len(points))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, b, label[a])
+            np.minimum.at(new, a, label[b])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        own = label[at]
+        more = np.flatnonzero(np.bincount(own)[own] > 1)
+        return pa.table({"shingle": pa.array(points[own[more]].view(np.int64)), "fp": group.column("fp").take(pa.array(more)), "n": group.column("n").take(pa.array(more))})
+
+    placed, kind = own.select("fp", "n", "parts").mapInArrow(place, "shard long, part long, fp long, n long"), "shingle long, fp long, n long"
+    if tree is None:
+        return placed.groupBy("shard").applyInArrow(join, kind)
+    big = settle(placed.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > large).select("shard"), "large")
+    found = placed.join(F.broadcast(big), "shard", "left_anti").groupBy("shard").applyInArrow(join, kind)
+    if not big.isEmpty():
+        rest = settle(placed.join(F.broadcast(big), "shard", "left_semi").select("part", "fp", "n").distinct(), "dense")
+        roots = contract(neighbours(rest.select(F.col("part").alias("fp")))).select(F.col("fp").alias("part"), "root")
+        found = found.unionByName(rest.join(roots, "part", "left").select(F.coalesce("root", "part").alias("shingle"), "fp", "n"))
+    return found.distinct()
 
 
 def candidates(rows: DataFrame, least: float) -> DataFrame:
@@ -252,13 +327,13 @@ def representatives(rows: DataFrame, words: int = WORDS, least: float = LEAST) -
 
     ``rows`` is read several times and must be settled; ``row`` is a distinct long.
     """
-    own = settle(prefixes(rows, words, least), "prefixes")
+    own = settle(described(rows, words, least), "parts")
     ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     distinct = settle(own.groupBy("fp").agg(F.min(ranked).alias("first"), F.min("row").alias("row")), "distinct")
     single = own.join(distinct.select("row"), "row", "left_semi")
     sketches = settle(single.select("fp", "row", "n", "sketch"), "sketches")
-    listed = single.select(F.explode("prefix").alias("shingle"), "fp", "n")
-    found = settle(candidates(listed, least), "groups")
+    found = settle(candidates(groups(single, least), least), "groups")
+    discard(own)
     edges = verified(found.where("not large").select("a", "b").distinct(), rows, sketches, words, least)
     roots = settle(contract(edges), "components")
     large = found.where("large").select("shingle", F.col("a").alias("fp")).distinct()

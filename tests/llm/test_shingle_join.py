@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,30 @@ def test_null_and_repeated_ids_keep_one_row_of_each_group(spark):
     kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
     assert len(kept) == 5 and {(5, b), (5, c), (4, d)} <= set(kept)
     assert sum(i is None and bool(t) and t.startswith(a) for i, t in kept) == 1 and sum(not t for _, t in kept) == 1
+
+
+def test_parts_of_similar_sets_meet_within_the_radius():
+    """Of two similar sets, at any size, one part has fingerprints in the same space at most two bits apart."""
+    gen = np.random.default_rng(5)
+    for n in [*range(1, 60), 200, 777, 4000]:
+        for lost in {0, n // 10, n // 5}:
+            new = max(0, int((n - lost) / 0.8) - n)
+            a = np.unique(gen.integers(0, 1 << 63, n, np.int64)).astype(np.uint64)
+            b = np.unique(np.concatenate([a[lost:], gen.integers(0, 1 << 63, new, np.int64).astype(np.uint64)]))
+            if np.array_equal(a, b) or not shingle_join.similar(a, b):
+                continue
+            fps, ends = shingle_join.part_fingerprints([a, b], 0.8)
+            own, scheme, space = shingle_join.layout(np.array([len(a), len(b)]), 0.8)
+            seen = dict(zip(space[: ends[1]].tolist(), fps[: ends[1]].tolist(), strict=True))
+            assert any(s in seen and (seen[s] ^ f).bit_count() <= 2 for s, f in zip(space[ends[1] :].tolist(), fps[ends[1] :].tolist(), strict=True)), (n, lost)
+
+
+@pytest.mark.parametrize("large", [20])
+def test_large_spaces_are_routed_by_a_tree(spark, monkeypatch, large):
+    """Spaces beyond ``LARGE`` go through the vantage-point tree in Spark, what stays large by one-bit neighbours."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingle_join, "LARGE", large)
+    texts = cases()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(least_of_groups(texts))
