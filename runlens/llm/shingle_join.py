@@ -35,8 +35,8 @@ WORDS, LEAST = 5, 0.8
 RATIO, BOTH = 1.5, 0.25
 #: Rows of a group that are compared all with all at once; pivots of larger groups; rows of a larger group that a task holds, and that pass by.
 BIG, PIVOTS, PART, SLICE = 64, 8, 4096, 1 << 16
-#: Bits of a parity bitmap, a power of two.
-BITS = 1024
+#: Bits of a parity bitmap, a power of two. Bytes of the sets that are verified together.
+BITS, BUNDLE = 1024, 32 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -299,27 +299,44 @@ def possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return pairs.join(own.toDF("a", "na", "xa"), "a").join(own.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def bundled(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows (a, b, bundle): each pair in one bundle, so that the sets of a bundle take about ``BUNDLE`` bytes and a set stands in few.
+
+    Pairs that hang together share a bundle, small clusters by hash; a cluster of over ``BUNDLE`` bytes is dealt to slices, and
+    a bundle has the pairs of two slices.
+    """
+    roots = settle(contract(pairs), "clusters")
+    members = roots.select("fp", "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
+    sizes = settle(members.join(sketches.select("fp", "n"), "fp").groupBy("root").agg((8 * F.sum("n")).alias("size")), "sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    heavy = sizes.where(F.col("size") > BUNDLE).select("root", F.ceil(F.col("size") / BUNDLE).cast("int").alias("slices"))  # at most total / BUNDLE rows
+    owned = pairs.join(roots.withColumnRenamed("fp", "b"), "b").join(F.broadcast(heavy), "root", "left")  # a < b, so b is no root
+    one, other = (F.pmod(F.xxhash64(c), F.col("slices")) for c in ("a", "b"))
+    light = F.pmod(F.xxhash64("root"), F.lit(4 * total // BUNDLE + 1))
+    return owned.select("a", "b", F.when(F.col("slices").isNull(), light).otherwise(F.xxhash64("root", F.least(one, other), F.greatest(one, other))).alias("bundle"))
+
+
 def verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, words: int, least: float) -> DataFrame:
-    """Of distinct pairs (a, b) of set hashes those whose sets are as similar as ``least``."""
+    """Of distinct pairs (a, b), a < b, of set hashes those whose sets are as similar as ``least``. A set goes to each of its bundles once, not to each of its pairs."""
     pairs = settle(possible(pairs, sketches, least), "candidates")
-    own = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    pairs = settle(bundled(pairs, sketches), "bundles")
+    own = pairs.select(F.col("a").alias("fp"), "bundle").union(pairs.select(F.col("b").alias("fp"), "bundle")).groupBy("fp").agg(F.collect_set("bundle").alias("bundles"))
     wanted = settle(sketches.select("fp", "row").join(own, "fp"), "wanted")  # few, so that texts need no shuffle
-    texts = rows.select("row", "text").join(wanted, "row").select("fp", "text")
+    texts = rows.select("row", "text").join(wanted, "row").select("fp", "bundles", "text")
 
     def sets(batches):
         for block in text_blocks(batches, "text"):
-            made = [s.tobytes() for s in shingle_sets(block.column("text"), words)]
-            yield pa.RecordBatch.from_arrays([block.column("fp"), pa.array(made, pa.binary())], names=["fp", "members"])
+            made, bundles = [s.tobytes() for s in shingle_sets(block.column("text"), words)], block.column("bundles")
+            at = pc.list_parent_indices(bundles)
+            yield pa.RecordBatch.from_arrays([bundles.flatten(), block.column("fp").take(at), pa.array(made, pa.binary()).take(at)], names=["bundle", "fp", "members"])
 
-    def check(batches):
-        for batch in batches:
-            a, b = batch.column("sa"), batch.column("sb")
-            ok = [similar(*(np.frombuffer(x[k].as_py(), np.uint64) for x in (a, b)), least) for k in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def check(asked: pa.Table, held: pa.Table) -> pa.Table:
+        members = dict(zip(held.column("fp").to_pylist(), (np.frombuffer(x.as_py(), np.uint64) for x in held.column("members")), strict=True))
+        ok = [similar(members[a], members[b], least) for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True)]
+        return asked.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    made = settle(texts.mapInArrow(sets, "fp long, members binary"), "sets")
-    both = pairs.join(made.toDF("a", "sa"), "a").join(made.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return settle(both.mapInArrow(check, "a long, b long"), "similar")
+    made = texts.mapInArrow(sets, "bundle long, fp long, members binary")
+    return settle(pairs.groupBy("bundle").cogroup(made.groupBy("bundle")).applyInArrow(check, "a long, b long"), "similar")
 
 
 def representatives(rows: DataFrame, words: int = WORDS, least: float = LEAST) -> DataFrame:

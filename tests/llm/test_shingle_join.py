@@ -99,3 +99,14 @@ def test_large_spaces_are_routed_by_a_tree(spark, monkeypatch, large):
     texts = cases()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(least_of_groups(texts))
+
+
+@pytest.mark.parametrize("limit", [1 << 25, 4000])
+def test_a_bundle_holds_all_its_pairs(spark, monkeypatch, limit):
+    """Each pair is in one bundle, a cluster beyond ``BUNDLE`` bytes in several."""
+    monkeypatch.setattr(shingle_join, "BUNDLE", limit)
+    pairs = list(itertools.combinations(range(40), 2)) + [(50, 51), (51, 52)]
+    sketches = spark.createDataFrame([(k, 100) for k in range(60)], "fp long, n long")
+    got = shingle_join.bundled(spark.createDataFrame(pairs, "a long, b long"), sketches).collect()
+    assert sorted((r.a, r.b) for r in got) == pairs
+    assert (len({r.bundle for r in got if r.b < 40}) > 1) == (limit == 4000) and len({r.bundle for r in got if r.a >= 50}) == 1
