@@ -6,11 +6,13 @@ its members that hash to it, so those of that part lie at most ``RADIUS`` bits a
 them: no pair is lost. How many parts there are depends on the size of the larger set, by size classes (``schemes``); a
 smaller set is also dealt as the next class does it. Parts of the same number and class are one space. A space of up to
 near_dup.LARGE sets is a shard and searched in a task, by vantage points as long as they part it, then by one-bit neighbours;
-a larger one is first routed by a tree in Spark, and what stays large is joined by one-bit neighbours, too. What the links of a shard join is a group, and the pairs in it are the candidates. Of these,
-pairs go whose sets differ too much for sure (parity bitmaps differ in no more bits than the sets in members), and what is
+a larger one is first routed by a tree in Spark, and what stays large is joined by one-bit neighbours, too. What the links of a shard join is a group, and the pairs in it
+within the radius are the candidates: chains of links join parts of few members at any size, but similar sets lie within it in
+one space at least. Of these, pairs go whose sets differ too much for sure (parity bitmaps differ in no more bits than the sets
+in members; a bitmap has a bit a member or more, so that it tells long sets apart, too), and what is
 left is verified on the whole sets. Equal sets are reduced to one first. In a group
 of over ``BIG`` rows a few pivots are compared with all first; once the components are known, only rows of different
-components are still compared, by size and bitmap, and only pairs that these do not rule out are ever written.
+components are still compared, by fingerprint, size and bitmap, and only pairs that these do not rule out are ever written.
 
 Words and their lower case are those of near_dup.simhash; a text of fewer than five words is one shingle, null and empty
 texts are equal. Shingles and sets stand for themselves by 64-bit hashes.
@@ -35,8 +37,8 @@ WORDS, LEAST = 5, 0.8
 RATIO, BOTH = 1.5, 0.25
 #: Rows of a group that are compared all with all at once; pivots of larger groups; rows of a larger group that a task holds, and that pass by.
 BIG, PIVOTS, PART, SLICE = 64, 8, 4096, 1 << 16
-#: Bits of a parity bitmap, a power of two. Bytes of the sets that are verified together.
-BITS, BUNDLE = 1024, 32 << 20
+#: Bits of the smallest parity bitmap, a power of two. Bytes of the sets that are verified together.
+BITS, BUNDLE = 128, 32 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,15 +114,45 @@ def part_fingerprints(sets: list[np.ndarray], least: float) -> tuple[np.ndarray,
     return out, np.concatenate([[0], np.cumsum(np.bincount(own, count, len(sets)))]).astype(np.int32)
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """The parity bitmap of a set, the next power of two above its size in bits, ``BITS`` at least."""
+    bits = max(BITS, 1 << max(0, len(own) - 1).bit_length())
+    places = (own & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=bits) & 1).astype(bool)).tobytes()
+
+
+class Bitmaps:
+    """Parity bitmaps of different sizes, as 64-bit words one after another."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray):
+        column = pa.chunked_array([column]) if isinstance(column, pa.Array) else column
+        self.words = np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+        self.size = pc.binary_length(column).to_numpy().astype(np.int64) // 8
+        self.start = np.cumsum(self.size) - self.size
+
+    def differ(self, at: np.ndarray, other: Bitmaps, there: np.ndarray) -> np.ndarray:
+        """Bits in which rows ``at`` differ from the other's rows ``there``; the larger bitmap is folded to the smaller, which loses no member that both hold."""
+        out = np.zeros(len(at), np.int64)
+        kinds = self.size[at] << 32 | other.size[there]
+        for kind in np.unique(kinds).tolist():
+            one, two = kind >> 32, kind & 0xFFFFFFFF
+            same, least = np.flatnonzero(kinds == kind), min(one, two)
+            step = max(1, (1 << 21) // max(one, two))  # words held at once
+            for k in range(0, len(same), step):
+                now = same[k : k + step]
+                a, b = (x.words[x.start[i[now], None] + np.arange(n)] for x, i, n in ((self, at, one), (other, there, two)))
+                a, b = (np.bitwise_xor.reduce(x.reshape(len(now), -1, least), axis=1) for x in (a, b))
+                out[now] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def described(rows: DataFrame, words: int, least: float) -> DataFrame:
     """Rows (row, doc_id, fp, n, parts, sketch): the set's hash, its size, its parts' fingerprints, its parity bitmap."""
 
     def run(batches):
         for block in text_blocks(batches, "text"):
-            sets, sketches = shingle_sets(block.column("text"), words), []
-            for own in sets:
-                places = (own >> np.uint64(65 - BITS.bit_length())).astype(np.int64)
-                sketches.append(np.packbits((np.bincount(places, minlength=BITS) & 1).astype(bool)).tobytes())
+            sets = shingle_sets(block.column("text"), words)
+            sketches = [bitmap(own) for own in sets]
             fps = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64)
             parts, ends = part_fingerprints(sets, least)
             parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(parts.view(np.int64)))
@@ -131,7 +163,7 @@ def described(rows: DataFrame, words: int, least: float) -> DataFrame:
 
 
 def groups(own: DataFrame, least: float) -> DataFrame:
-    """Rows (shingle, fp, n): the sets of rows (fp, n, parts) that the vantage-point tree's links join in a shard, under one fingerprint of the group."""
+    """Rows (shingle, point, fp, n): the sets of rows (fp, n, parts) that the vantage-point tree's links join in a shard, with their own fingerprint there and one of the group."""
     large, half = LARGE, RADIUS // 2 + RADIUS % 2
     plan = schemes(least)
     held = own.agg(*(F.count_if((F.col("n") >= int(low)) & (F.col("n") < int(high))) for low, high, _, _ in plan)).first()
@@ -169,9 +201,9 @@ def groups(own: DataFrame, least: float) -> DataFrame:
             label = new
         own = label[at]
         more = np.flatnonzero(np.bincount(own)[own] > 1)
-        return pa.table({"shingle": pa.array(points[own[more]].view(np.int64)), "fp": group.column("fp").take(pa.array(more)), "n": group.column("n").take(pa.array(more))})
+        return pa.table({"shingle": pa.array(points[own[more]].view(np.int64)), "point": group.column("part").take(pa.array(more)), "fp": group.column("fp").take(pa.array(more)), "n": group.column("n").take(pa.array(more))})
 
-    placed, kind = own.select("fp", "n", "parts").mapInArrow(place, "shard long, part long, fp long, n long"), "shingle long, fp long, n long"
+    placed, kind = own.select("fp", "n", "parts").mapInArrow(place, "shard long, part long, fp long, n long"), "shingle long, point long, fp long, n long"
     if tree is None:
         return placed.groupBy("shard").applyInArrow(join, kind)
     big = settle(placed.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > large).select("shard"), "large")
@@ -179,17 +211,17 @@ def groups(own: DataFrame, least: float) -> DataFrame:
     if not big.isEmpty():
         rest = settle(placed.join(F.broadcast(big), "shard", "left_semi").select("part", "fp", "n").distinct(), "dense")
         roots = contract(neighbours(rest.select(F.col("part").alias("fp")))).select(F.col("fp").alias("part"), "root")
-        found = found.unionByName(rest.join(roots, "part", "left").select(F.coalesce("root", "part").alias("shingle"), "fp", "n"))
+        found = found.unionByName(rest.join(roots, "part", "left").select(F.coalesce("root", "part").alias("shingle"), F.col("part").alias("point"), "fp", "n"))
     return found.distinct()
 
 
 def candidates(rows: DataFrame, least: float) -> DataFrame:
-    """Rows (a, b, shingle, large) from rows (shingle, fp, n): the pairs of a group that are near enough in size, and the members (fp, n, shingle) of large groups, of which only the pivots are paired."""
+    """Rows (a, b, shingle, point, large) from rows (shingle, point, fp, n): the pairs of a group that are near enough in fingerprint and size, and the members (fp, n, shingle, point) of large groups, of which only the pivots are paired."""
 
     def run(batches):
         held, carried = None, []
         for batch in batches:
-            now = np.stack([batch.column(c).to_numpy() for c in ("shingle", "fp", "n")])
+            now = np.stack([batch.column(c).to_numpy() for c in ("shingle", "fp", "n", "point")])
             if not now.shape[1]:
                 continue
             held = now if held is None else np.concatenate([held, now], axis=1)
@@ -209,15 +241,17 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
         many = np.flatnonzero(np.diff(cuts) > 1)
         out, size = [], 0
         for start, end in zip(cuts[many].tolist(), cuts[many + 1].tolist(), strict=True):
-            shingle, fp, n = part[:, start:end]
+            shingle, fp, n, point = part[:, start:end]
+            own = point.view(np.uint64)
             large = end - start > BIG or shingle[0] in carried
             for i in np.argsort(fp)[: PIVOTS if large else None].tolist():
-                ok = (fp != fp[i]) & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i]) - 1e-9)
+                ok = (fp != fp[i]) & (np.bitwise_count(own ^ own[i]) <= RADIUS) & (np.minimum(n, n[i]) >= least * np.maximum(n, n[i]) - 1e-9)
                 if ok.any():
-                    out.append((np.minimum(fp[ok], fp[i]), np.maximum(fp[ok], fp[i]), np.zeros(int(ok.sum()), bool), np.zeros(int(ok.sum()), np.int64)))
+                    none = np.zeros(int(ok.sum()), np.int64)
+                    out.append((np.minimum(fp[ok], fp[i]), np.maximum(fp[ok], fp[i]), none, none, none))
                     size += int(ok.sum())
             if large:
-                out.append((fp, n, np.ones(len(fp), bool), shingle))
+                out.append((fp, n, np.ones(len(fp), np.int64), shingle, point))
             if size > 1 << 16:
                 yield batch_of(out)
                 out, size = [], 0
@@ -225,65 +259,70 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
             yield batch_of(out)
 
     def batch_of(out):
-        a, b, large, shingle = np.unique(np.stack([np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(large.astype(bool)), pa.array(shingle)], names=["a", "b", "large", "shingle"])
+        a, b, large, shingle, point = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(large.astype(bool)), pa.array(shingle), pa.array(point)], names=["a", "b", "large", "shingle", "point"])
 
-    return rows.select("shingle", "fp", "n").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long, large boolean, shingle long")
+    return rows.select("shingle", "fp", "n", "point").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long, large boolean, shingle long, point long")
 
 
 def strangers(members: DataFrame, least: float) -> DataFrame:
-    """Rows (a, b): the pairs of large groups, rows (shingle, fp, n, label, sketch), that differ in label and that sizes and bitmaps do not rule out.
+    """Rows (a, b): the pairs of large groups, rows (shingle, point, fp, n, label, sketch), that differ in label and that fingerprints, sizes and bitmaps do not rule out.
 
     Rows of the commonest label of a group need no comparison with one another. The others are dealt to parts of about
-    ``PART`` rows and the whole group to slices of about ``SLICE``; every part meets every slice, batch by batch, so no
-    task holds a group.
+    ``PART`` rows and compared within a part; what is in no part or an earlier one passes by, in slices of about ``SLICE``,
+    batch by batch, so no task holds a group and a group of one part goes through the shuffle once.
     """
     counts = members.groupBy("shingle", "label").agg(F.count("*").alias("n"))
     groups = counts.groupBy("shingle").agg(F.max_by("label", F.struct("n", "label")).alias("commonest"), (F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("size")).where("others > 0")
     groups = groups.select("shingle", "commonest", F.ceil(F.col("others") / PART).cast("int").alias("parts"), F.ceil(F.col("size") / SLICE).cast("int").alias("slices"))
-    placed = members.join(groups, "shingle").withColumn("h", F.xxhash64("fp"))
-    rows = ["fp", "n", "label", "sketch"]
-    asking = placed.where("label <> commonest").select("shingle", F.pmod("h", F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("role"), *rows)
-    passing = placed.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod("h", F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"), *rows)
+    placed = members.join(groups, "shingle").withColumn("h", F.xxhash64("fp")).withColumn("own", F.when(F.col("label") != F.col("commonest"), F.pmod("h", F.col("parts")).cast("int")).otherwise(-1))
+    held = F.when(F.col("own") >= 0, F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.struct(F.col("own").alias("part"), k.alias("slice"), F.lit(0).alias("role"))))
+    later = F.when(F.col("own") < F.col("parts") - 1, F.transform(F.sequence(F.col("own") + 1, F.col("parts") - 1), lambda k: F.struct(k.alias("part"), F.pmod("h", F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"))))
+    sent = placed.select("shingle", F.explode(F.concat(F.coalesce(held, F.array()), F.coalesce(later, F.array()))).alias("to"), "point", "fp", "n", "label", "sketch").select("shingle", "to.*", "point", "fp", "n", "label", "sketch")
 
     def run(batches):
         key, held, seen = None, [], set()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shingle, part, place, role, fp, n, label = (batch.column(c).to_numpy() for c in ("shingle", "part", "slice", "role", "fp", "n", "label"))
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            shingle, part, place, role = (batch.column(c).to_numpy() for c in ("shingle", "part", "slice", "role"))
             cuts = np.flatnonzero(np.concatenate([[True], (np.diff(shingle) != 0) | (np.diff(part) != 0) | (np.diff(place) != 0) | (np.diff(role) != 0), [True]]))
             for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                now, rows = (shingle[start], part[start], place[start]), (fp[start:end], n[start:end], label[start:end], sketch[start:end])
-                if now != key:
+                if (now := (shingle[start], part[start], place[start])) != key:
                     key, held = now, []
-                if role[start] == 0:
+                block = batch.slice(start, end - start)
+                rows = (*(block.column(c).to_numpy() for c in ("point", "fp", "n", "label")), Bitmaps(block.column("sketch")))
+                asks = role[start] == 0
+                found = [near(x, rows) for x in held if not asks or place[start] == 0]
+                if asks:
                     held.append(rows)
-                    continue
-                if not held:  # nobody asks in this part
-                    continue
-                if len(held) > 1:
-                    held = [tuple(map(np.concatenate, zip(*held, strict=True)))]
-                a, b = near(held[0], rows)
-                fresh = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in seen]
+                    if place[start] == 0:
+                        found.append(near(rows, rows))
+                fresh = {p for a, b in found for p in zip(a.tolist(), b.tolist(), strict=True)} - seen
                 if fresh:
-                    seen.update(fresh)  # the same pair stands in many groups
+                    seen |= fresh  # the same pair stands in many groups
                     if len(seen) > 1 << 18:
                         seen.clear()
-                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in fresh], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*fresh, strict=True)], names=["a", "b"])
 
     def near(asked, rows):
-        found = []
-        (fa, na, la, sa), (fb, nb, lb, sb) = asked, rows
-        for k in range(len(fa)):
-            at = np.flatnonzero((lb != la[k]) & (np.minimum(nb, na[k]) >= least * np.maximum(nb, na[k]) - 1e-9))
-            at = at[np.bitwise_count(sb[at] ^ sa[k]).sum(axis=1, dtype=np.int64) <= (nb[at] + na[k]) * (1 - least) / (1 + least) + 1e-6]
-            if len(at):
-                found.append((np.minimum(fb[at], fa[k]), np.maximum(fb[at], fa[k])))
-        return map(np.concatenate, zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-
-    return asking.unionByName(passing).repartition("shingle", "part", "slice").sortWithinPartitions("shingle", "part", "slice", "role").mapInArrow(run, "a long, b long")
+        found = [(np.zeros(0, np.int64),) * 2]
+        (xa, fa, na, la, sa), (xb, fb, nb, lb, sb) = asked, rows
+        xa, xb = xa.view(np.uint64), xb.view(np.uint64)
+        step = max(1, (1 << 20) // len(xb))
+        for k in range(0, len(xa), step):
+            i, j = np.nonzero(np.bitwise_count(xa[k : k + step, None] ^ xb[None, :]) <= RADIUS)
+            i += k
+            ok = (la[i] != lb[j]) & (np.minimum(na[i], nb[j]) >= least * np.maximum(na[i], nb[j]) - 1e-9)
+            if asked is rows:
+                ok &= i < j
+            i, j = i[ok], j[ok]
+            ok = sa.differ(i, sb, j) <= (na[i] + nb[j]) * (1 - least) / (1 + least) + 1e-6
+            i, j = i[ok], j[ok]
+            found.append((np.minimum(fa[i], fb[j]), np.maximum(fa[i], fb[j])))
+        return map(np.concatenate, zip(*found, strict=True))
+
+    return sent.repartition("shingle", "part", "slice").sortWithinPartitions("shingle", "part", "slice", "role").mapInArrow(run, "a long, b long")
 
 
 def possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
@@ -291,9 +330,9 @@ def possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("xa", "xb"))
+            at = np.arange(batch.num_rows)
             most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * (1 - least) / (1 + least)
-            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= most + 1e-6))
+            yield batch.select(["a", "b"]).filter(pa.array(Bitmaps(batch.column("xa")).differ(at, Bitmaps(batch.column("xb")), at) <= most + 1e-6))
 
     own = sketches.select("fp", "n", "sketch")
     return pairs.join(own.toDF("a", "na", "xa"), "a").join(own.toDF("b", "nb", "xb"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
@@ -353,7 +392,7 @@ def representatives(rows: DataFrame, words: int = WORDS, least: float = LEAST) -
     discard(own)
     edges = verified(found.where("not large").select("a", "b").distinct(), rows, sketches, words, least)
     roots = settle(contract(edges), "components")
-    large = found.where("large").select("shingle", F.col("a").alias("fp")).distinct()
+    large = found.where("large").select("shingle", "point", F.col("a").alias("fp")).distinct()
     if large.limit(1).count():
         labelled = large.join(roots, "fp", "left").withColumn("label", F.coalesce("root", "fp")).join(sketches.select("fp", "n", "sketch"), "fp")
         rest = strangers(settle(labelled, "large"), least).distinct()

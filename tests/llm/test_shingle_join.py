@@ -110,3 +110,26 @@ def test_a_bundle_holds_all_its_pairs(spark, monkeypatch, limit):
     got = shingle_join.bundled(spark.createDataFrame(pairs, "a long, b long"), sketches).collect()
     assert sorted((r.a, r.b) for r in got) == pairs
     assert (len({r.bundle for r in got if r.b < 40}) > 1) == (limit == 4000) and len({r.bundle for r in got if r.a >= 50}) == 1
+
+
+def test_bitmaps_tell_long_sets_apart(spark):
+    """Unrelated long sets are no candidates, whatever space their parts meet in; folded bitmaps never differ in more bits than the sets in members."""
+    base = [rng.choice(WORDS) + str(rng.random()) for _ in range(3000)]
+    texts = [" ".join(base), " ".join([*base[:2600], "other"]), *(" ".join(rng.choice(WORDS) + str(rng.random()) for _ in range(n)) for n in (2700, 2900, 3100, 3300))]
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    own = shingle_join.described(rows, 5, 0.8).cache()
+    fps = {r.row: r.fp for r in own.collect()}
+    pairs = spark.createDataFrame([(fps[a], fps[b]) for a, b in itertools.combinations(range(len(texts)), 2)], "a long, b long")
+    assert [(r.a, r.b) for r in shingle_join.possible(pairs, own.select("fp", "n", "sketch"), 0.8).collect()] == [(fps[0], fps[1])]
+    gen = np.random.default_rng(3)
+    sets = [np.unique(gen.integers(0, 1 << 63, n, np.int64)).astype(np.uint64) for n in (0, 1, 100, 128, 129, 1025, 4000)]
+    sets += [s[: len(s) * 9 // 10] for s in sets]
+    maps = shingle_join.Bitmaps(shingle_join.pa.array([shingle_join.bitmap(s) for s in sets]))
+    at, there = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    assert all(d <= len(np.setxor1d(sets[i], sets[j])) for d, i, j in zip(maps.differ(at, maps, there), at, there, strict=True))
+
+
+def test_links_by_a_chain_are_no_candidates(spark):
+    """Of a group only sets within the radius in its space are paired."""
+    rows = spark.createDataFrame([(7, point, k, 20) for k, point in enumerate((0, 3, 15, 63, -1))], "shingle long, point long, fp long, n long")
+    assert sorted((r.a, r.b) for r in shingle_join.candidates(rows, 0.8).collect()) == [(0, 1), (1, 2), (2, 3)]
