@@ -6,9 +6,11 @@ its members that hash to it, so those of that part lie at most ``RADIUS`` bits a
 them: no pair is lost. How many parts there are depends on the size of the larger set, by size classes (``schemes``); a
 smaller set is also dealt as the next class does it. Parts of the same number and class are one space. A space of up to
 near_dup.LARGE sets is a shard and searched in a task, by vantage points as long as they part it, then by one-bit neighbours;
-a larger one is first routed by a tree in Spark, and what stays large is joined by one-bit neighbours, too. What the links of a shard join is a group, and the pairs in it
-within the radius are the candidates: chains of links join parts of few members at any size, but similar sets lie within it in
-one space at least. Of these, pairs go whose sets differ too much for sure (parity bitmaps differ in no more bits than the sets
+a larger one is first routed by a tree in Spark, and what stays large is joined by one-bit neighbours, too. Such links alone chain
+parts of few members, the more the more sets there are, so a shard is parted again by what follows a part: of the parts in a ring, one
+differs in at most its share of D together with the next, with the next two and so on (else the shares would sum up to over D), so a second fingerprint, of a part
+and the ``CHAIN`` - 1 after it, differs there in no more bits than their share. What still hangs together is a group, and the pairs in it
+within the radius are the candidates: similar sets lie within it in one space at least. Of these, pairs go whose sets differ too much for sure (parity bitmaps differ in no more bits than the sets
 in members; a bitmap has a bit a member or more, so that it tells long sets apart, too), and what is
 left is verified on the whole sets. Equal sets are reduced to one first. In a group
 of over ``BIG`` rows a few pivots are compared with all first; once the components are known, only rows of different
@@ -35,6 +37,8 @@ from runlens.llm.near_dup import LARGE, LEAF, MOST, RADIUS, SAMPLE, contract, fo
 WORDS, LEAST = 5, 0.8
 #: Ratio of the sizes that bound a class of sets. Share of a space on both sides of a vantage point above which a task splits it no further.
 RATIO, BOTH = 1.5, 0.25
+#: Parts in a row, at most, that the second fingerprint of a part covers; fingerprints of a shard compared with the rest at once.
+CHAIN, FRONT = 3, 64
 #: Rows of a group that are compared all with all at once; pivots of larger groups; rows of a larger group that a task holds, and that pass by.
 BIG, PIVOTS, PART, SLICE = 64, 8, 4096, 1 << 16
 #: Bits of the smallest parity bitmap, a power of two. Bytes of the sets that are verified together.
@@ -79,21 +83,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def schemes(least: float) -> np.ndarray:
-    """Rows (low, high, parts, bits): pairs whose larger set is of a size from one class's bounds, members in [low, high), are dealt to so many parts, a member to so many bits."""
+    """Rows (low, high, parts, bits, chain, within): pairs whose larger set is of a size from one class's bounds, members in [low, high), are dealt to so many parts, a member to so many bits; so many parts in a row differ in at most ``within`` members, from one part on at least."""
     out, edge = [], 2
     while edge < 1 << 31:
         high = max(edge + 1, int(edge * RATIO))
         differ = int(2 * (high - 1) * (1 - least) / (1 + least) + 1e-6)
         parts = differ // (RADIUS + 1) + 1
         if differ:  # else only equal sets are as similar
-            out.append((max(1, int(needed(edge, least))), high, parts, max(1, RADIUS // (differ // parts))))
+            chain = min(CHAIN, parts)
+            out.append((max(1, int(needed(edge, least))), high, parts, max(1, RADIUS // (differ // parts)), chain, chain * differ // parts))
         edge = high
     return np.array(out, np.int64)
 
 
 def layout(sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of sets of these sizes, one after another: (set, scheme) of each time that a set is dealt, and the space of each part."""
-    low, high, parts, _ = schemes(least).T
+    low, high, parts = schemes(least).T[:3]
     own, scheme = np.nonzero((sizes[:, None] >= low) & (sizes[:, None] < high))
     count = parts[scheme]
     return own, scheme, np.repeat(scheme << 48, count) | ranges(np.zeros(len(count), np.int64), count).astype(np.int64) << 24
@@ -101,9 +106,15 @@ def layout(sizes: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.
 
 def part_fingerprints(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints, offsets by set) of the parts of all sets; those of different spaces are as far apart as random ones."""
+    out, _, ends = chained_fingerprints(sets, least)
+    return out, ends
+
+
+def chained_fingerprints(sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, second fingerprints, offsets by set) of the parts of all sets; the second ones have a bit for each member of a part and of those after it in its chain."""
     sizes = np.array([len(s) for s in sets], np.int64)
     own, scheme, space = layout(sizes, least)
-    _, _, parts, bits = schemes(least).T
+    _, _, parts, bits, chain, _ = schemes(least).T
     count, held = parts[scheme], sizes[own]
     members = mixed(np.concatenate(sets))[ranges((np.cumsum(sizes) - sizes)[own], held)]
     at = np.repeat(np.cumsum(count) - count, held) + ((members >> np.uint64(32)) * np.repeat(count.astype(np.uint64), held) >> np.uint64(32)).astype(np.int64)
@@ -111,7 +122,13 @@ def part_fingerprints(sets: list[np.ndarray], least: float) -> tuple[np.ndarray,
     for k in range(RADIUS):
         asked = np.repeat(bits[scheme] > k, held)
         np.bitwise_xor.at(out, at[asked], np.uint64(1) << (members[asked] >> np.uint64(6 * k) & np.uint64(63)))
-    return out, np.concatenate([[0], np.cumsum(np.bincount(own, count, len(sets)))]).astype(np.int32)
+    alone = np.zeros(len(out), np.uint64)
+    np.bitwise_xor.at(alone, at, np.uint64(1) << (members >> np.uint64(6 * RADIUS) & np.uint64(63)))
+    chained, place = alone.copy(), ranges(np.zeros(len(count), np.int64), count).astype(np.int64)
+    first, ring, length = np.arange(len(out)) - place, np.repeat(count, count), np.repeat(chain[scheme], count)
+    for k in range(1, CHAIN):
+        chained ^= np.where(length > k, alone[first + (place + k) % ring], np.uint64(0))
+    return out, chained, np.concatenate([[0], np.cumsum(np.bincount(own, count, len(sets)))]).astype(np.int32)
 
 
 def bitmap(own: np.ndarray) -> bytes:
@@ -147,26 +164,44 @@ class Bitmaps:
 
 
 def described(rows: DataFrame, words: int, least: float) -> DataFrame:
-    """Rows (row, doc_id, fp, n, parts, sketch): the set's hash, its size, its parts' fingerprints, its parity bitmap."""
+    """Rows (row, doc_id, fp, n, parts, chains, sketch): the set's hash, its size, both fingerprints of its parts, its parity bitmap."""
 
     def run(batches):
         for block in text_blocks(batches, "text"):
             sets = shingle_sets(block.column("text"), words)
             sketches = [bitmap(own) for own in sets]
             fps = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64)
-            parts, ends = part_fingerprints(sets, least)
-            parts = pa.ListArray.from_arrays(pa.array(ends), pa.array(parts.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.column("row"), block.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), parts, pa.array(sketches, pa.binary())], names=["row", "doc_id", "fp", "n", "parts", "sketch"])
+            *both, ends = chained_fingerprints(sets, least)
+            parts, chains = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x.view(np.int64))) for x in both)
+            yield pa.RecordBatch.from_arrays([block.column("row"), block.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([len(s) for s in sets], pa.int64()), parts, chains, pa.array(sketches, pa.binary())], names=["row", "doc_id", "fp", "n", "parts", "chains", "sketch"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, fp long, n long, parts array<long>, sketch binary")
+    return rows.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, fp long, n long, parts array<long>, chains array<long>, sketch binary")
+
+
+def hang_together(points: np.ndarray, chains: np.ndarray, linked: np.ndarray, within: int) -> np.ndarray:
+    """The smallest row that each row (distinct by both fingerprints) hangs together with: of the same number in ``linked`` and, from row to row, within the radius and ``within``."""
+    label, order = np.arange(len(points)), np.argsort(linked, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], np.diff(linked[order]) != 0, [True]])) if len(order) else np.zeros(1, np.int64)
+    for start in np.flatnonzero(np.diff(cuts) > 1).tolist():
+        rest = order[cuts[start] : cuts[start + 1]]
+        while len(rest) > 1:
+            root, front, rest = rest[0], rest[:1], rest[1:]
+            while len(front) and len(rest):
+                now, front = front[:FRONT], front[FRONT:]
+                one, other = np.nonzero(np.bitwise_count(points[now, None] ^ points[rest]) <= RADIUS)
+                hit = np.zeros(len(rest), bool)
+                hit[other[np.bitwise_count(chains[now[one]] ^ chains[rest[other]]) <= within]] = True
+                label[rest[hit]] = root
+                front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
+    return label
 
 
 def groups(own: DataFrame, least: float) -> DataFrame:
-    """Rows (shingle, point, fp, n): the sets of rows (fp, n, parts) that the vantage-point tree's links join in a shard, with their own fingerprint there and one of the group."""
+    """Rows (shingle, point, fp, n): the sets of rows (fp, n, parts, chains) that hang together in a shard, with their own fingerprint there and a number of the group."""
     large, half = LARGE, RADIUS // 2 + RADIUS % 2
     plan = schemes(least)
-    held = own.agg(*(F.count_if((F.col("n") >= int(low)) & (F.col("n") < int(high))) for low, high, _, _ in plan)).first()
+    held = own.agg(*(F.count_if((F.col("n") >= int(low)) & (F.col("n") < int(high))) for low, high, *_ in plan)).first()
     wide, tree = np.array([k > large for k in held]), None
     if wide.any():
         split = 2 * max(held) / large
@@ -176,6 +211,7 @@ def groups(own: DataFrame, least: float) -> DataFrame:
     def place(batches):
         for batch in batches:
             sizes, parts = batch.column("n").to_numpy(), batch.column("parts").flatten().to_numpy().view(np.uint64)
+            chains = batch.column("chains").flatten()
             own, scheme, space = layout(sizes, least)
             count = plan[scheme, 2]
             owner, routed = np.repeat(own, count), np.repeat(wide[scheme], count)
@@ -185,7 +221,7 @@ def groups(own: DataFrame, least: float) -> DataFrame:
             for path, at in found:
                 if len(at):
                     who = pa.array(owner[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(space[at] | path), pa.array(parts[at].view(np.int64)), batch.column("fp").take(who), batch.column("n").take(who)], names=["shard", "part", "fp", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(space[at] | path), pa.array(parts[at].view(np.int64)), chains.take(pa.array(at)), batch.column("fp").take(who), batch.column("n").take(who)], names=["shard", "part", "chain", "fp", "n"])
 
     def join(group: pa.Table) -> pa.Table:
         points, at = np.unique(group.column("part").to_numpy().view(np.uint64), return_inverse=True)
@@ -199,11 +235,14 @@ def groups(own: DataFrame, least: float) -> DataFrame:
             if (new == label).all():
                 break
             label = new
-        own = label[at]
-        more = np.flatnonzero(np.bincount(own)[own] > 1)
-        return pa.table({"shingle": pa.array(points[own[more]].view(np.int64)), "point": group.column("part").take(pa.array(more)), "fp": group.column("fp").take(pa.array(more)), "n": group.column("n").take(pa.array(more))})
-
-    placed, kind = own.select("fp", "n", "parts").mapInArrow(place, "shard long, part long, fp long, n long"), "shingle long, point long, fp long, n long"
+        rows, at = np.unique(np.stack([at, group.column("chain").to_numpy()]), axis=1, return_inverse=True)
+        own, chains = rows[0].astype(np.int64), rows[1].view(np.uint64)
+        together = hang_together(points[own], chains, label[own], int(plan[group.column("shard")[0].as_py() >> 48, 5]))[at.ravel()]
+        more = np.flatnonzero(np.bincount(together)[together] > 1)
+        root = together[more]
+        return pa.table({"shingle": pa.array(mixed(points[own[root]] ^ mixed(chains[root] + MULTIPLIER)).view(np.int64)), "point": group.column("part").take(pa.array(more)), "fp": group.column("fp").take(pa.array(more)), "n": group.column("n").take(pa.array(more))})
+
+    placed, kind = own.select("fp", "n", "parts", "chains").mapInArrow(place, "shard long, part long, chain long, fp long, n long"), "shingle long, point long, fp long, n long"
     if tree is None:
         return placed.groupBy("shard").applyInArrow(join, kind)
     big = settle(placed.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > large).select("shard"), "large")
@@ -341,15 +380,16 @@ def possible(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 def bundled(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Rows (a, b, bundle): each pair in one bundle, so that the sets of a bundle take about ``BUNDLE`` bytes and a set stands in few.
 
-    Pairs that hang together share a bundle, small clusters by hash; a cluster of over ``BUNDLE`` bytes is dealt to slices, and
-    a bundle has the pairs of two slices.
+    A pair (a, b), a < b, goes where the least neighbour of ``a`` goes, so what is paired with the same sets shares a bundle, small clusters by
+    hash; a cluster of over ``BUNDLE`` bytes is dealt to slices, and a bundle has the pairs of two slices.
     """
-    roots = settle(contract(pairs), "clusters")
-    members = roots.select("fp", "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
+    least = pairs.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "a")
+    owned = settle(pairs.join(least, "a", "left").select("a", "b", F.coalesce("root", "a").alias("root")), "clusters")
+    members = owned.select("root", F.col("a").alias("fp")).union(owned.select("root", F.col("b").alias("fp"))).distinct()
     sizes = settle(members.join(sketches.select("fp", "n"), "fp").groupBy("root").agg((8 * F.sum("n")).alias("size")), "sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     heavy = sizes.where(F.col("size") > BUNDLE).select("root", F.ceil(F.col("size") / BUNDLE).cast("int").alias("slices"))  # at most total / BUNDLE rows
-    owned = pairs.join(roots.withColumnRenamed("fp", "b"), "b").join(F.broadcast(heavy), "root", "left")  # a < b, so b is no root
+    owned = owned.join(F.broadcast(heavy), "root", "left")
     one, other = (F.pmod(F.xxhash64(c), F.col("slices")) for c in ("a", "b"))
     light = F.pmod(F.xxhash64("root"), F.lit(4 * total // BUNDLE + 1))
     return owned.select("a", "b", F.when(F.col("slices").isNull(), light).otherwise(F.xxhash64("root", F.least(one, other), F.greatest(one, other))).alias("bundle"))
@@ -395,8 +435,9 @@ def representatives(rows: DataFrame, words: int = WORDS, least: float = LEAST) -
     large = found.where("large").select("shingle", "point", F.col("a").alias("fp")).distinct()
     if large.limit(1).count():
         labelled = large.join(roots, "fp", "left").withColumn("label", F.coalesce("root", "fp")).join(sketches.select("fp", "n", "sketch"), "fp")
-        rest = strangers(settle(labelled, "large"), least).distinct()
-        more = verified(rest, rows, sketches, words, least)
-        roots = settle(contract(edges.union(more)), "components")
+        rest = settle(strangers(settle(labelled, "large"), least).distinct(), "strangers")
+        more = None if rest.isEmpty() else verified(rest, rows, sketches, words, least)
+        if more is not None and not more.isEmpty():
+            roots = settle(contract(roots.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(more)), "components")
     named = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     return named.select("first.row", "first.doc_id")

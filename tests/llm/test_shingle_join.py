@@ -133,3 +133,49 @@ def test_links_by_a_chain_are_no_candidates(spark):
     """Of a group only sets within the radius in its space are paired."""
     rows = spark.createDataFrame([(7, point, k, 20) for k, point in enumerate((0, 3, 15, 63, -1))], "shingle long, point long, fp long, n long")
     assert sorted((r.a, r.b) for r in shingle_join.candidates(rows, 0.8).collect()) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_similar_sets_meet_within_both_fingerprints():
+    """Of two similar sets, at any size, a part lies within the radius and the chain that it begins within its share of the differences."""
+    gen = np.random.default_rng(6)
+    plan = shingle_join.schemes(0.8)
+    for n in [*range(4, 70), 130, 300, 777, 4000]:
+        for lost in {0, n // 10, n // 5}:
+            new = max(0, int((n - lost) / 0.8 + 1e-9) - n)
+            a = np.unique(gen.integers(0, 1 << 63, n, np.int64)).astype(np.uint64)
+            b = np.unique(np.concatenate([a[lost:], gen.integers(0, 1 << 63, new, np.int64).astype(np.uint64)]))
+            if np.array_equal(a, b) or not shingle_join.similar(a, b):
+                continue
+            fps, chains, ends = shingle_join.chained_fingerprints([a, b], 0.8)
+            space = shingle_join.layout(np.array([len(a), len(b)]), 0.8)[2]
+            both = list(zip(space.tolist(), fps.tolist(), chains.tolist(), strict=True))
+            seen = {s: (f, c) for s, f, c in both[: ends[1]]}
+            assert any(s in seen and (seen[s][0] ^ f).bit_count() <= 2 and (seen[s][1] ^ c).bit_count() <= plan[s >> 48, 5] for s, f, c in both[ends[1] :]), (n, lost)
+
+
+def test_unrelated_short_sets_form_no_groups(spark):
+    """Parts of few members chain any number of unrelated sets; their second fingerprints part them."""
+    texts = [" ".join(rng.choice(WORDS) + str(rng.random()) for _ in range(rng.randint(14, 34))) for _ in range(6000)]
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string").repartition(4)
+    assert shingle_join.groups(shingle_join.described(rows, 5, 0.8).cache(), 0.8).count() < 60
+
+
+def test_rows_hang_together_by_steps_within_both_bounds():
+    gen = np.random.default_rng(9)
+    base = gen.integers(0, 1 << 63, 12, np.int64).astype(np.uint64)
+    points = base[gen.integers(0, 3, 400)] ^ np.left_shift(np.uint64(1), gen.integers(0, 6, 400).astype(np.uint64))
+    chains = base[gen.integers(3, 12, 400)] ^ np.left_shift(np.uint64(1), gen.integers(0, 9, 400).astype(np.uint64))
+    points, chains = np.unique(np.stack([points, chains]), axis=1)
+    near = (np.bitwise_count(points[:, None] ^ points) <= 2) & (np.bitwise_count(chains[:, None] ^ chains) <= 3)
+    want = np.arange(len(points))
+    while (new := np.where(near, want, len(want)).min(axis=1)).tolist() != want.tolist():
+        want = new
+    assert shingle_join.hang_together(points, chains, np.zeros(len(points), np.int64), 3).tolist() == want.tolist() and 1 < len(set(want.tolist())) < len(want) / 4
+
+
+def test_bundles_need_no_components(spark, monkeypatch):
+    """Contraction takes many small jobs, whose plans fill the driver's memory."""
+    monkeypatch.setattr(shingle_join, "contract", None)
+    pairs = spark.createDataFrame([(a, b) for k in range(0, 60, 6) for a, b in itertools.combinations(range(k, k + 6), 2)], "a long, b long")
+    got = shingle_join.bundled(pairs, spark.createDataFrame([(k, 1 << 20) for k in range(60)], "fp long, n long")).collect()
+    assert len(got) == 150 and all(len({r.bundle for r in got if r.a // 6 == k and r.b // 6 == k}) <= 3 for k in range(10))
