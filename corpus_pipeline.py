@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import decontaminate, line_dedup, packing, quality_knn, shingle_join
-from runlens.llm.common import settle, table
+from runlens.llm.common import among, settle, table
 from runlens.llm.queries import vocabulary
 
 
@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8) the row with the smallest doc_id stays; null ids come last."""
     rows = settle(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    return rows.join(shingle_join.representatives(rows).select("row"), "row", "left_semi").select(docs.columns)
+    return among(rows, shingle_join.representatives(rows)).select(docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Keys that hold over 1 / HOT of all rows, fewer than HOT by counting, are joined by broadcast.
 HOT = 1000
+#: Bits of Spark's own bitmaps.
+BITMAP = 1 << 15
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -75,6 +77,18 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str | list[str], copies
     return rows.join(few, key).unionByName(cold.join(rest, key))
 
 
+def among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``row``, a long from 0, is one of those of ``wanted``, as a semi-join gives them.
+
+    ``rows`` are not shuffled, however wide they are: bitmaps of BITMAP bits, one bit for a row, are broadcast.
+    """
+    place, names = F.col("row").bitwiseAND(F.lit(BITMAP - 1)), rows.columns
+    marks = wanted.select(F.shiftright("row", BITMAP.bit_length() - 1).alias("bucket"), place.alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("marks"))
+    byte = F.conv(F.hex(F.substring("marks", F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = rows.withColumn("bucket", F.shiftright("row", BITMAP.bit_length() - 1)).join(F.broadcast(marks), "bucket")
+    return told.where(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1).select(*names)
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of text each (one longer text stands alone), so memory is bounded."""
     for batch in batches:

@@ -6,7 +6,9 @@ its members that hash to it, so those of that part lie at most ``RADIUS`` bits a
 them: no pair is lost. How many parts there are depends on the size of the larger set, by size classes (``schemes``); a
 smaller set is also dealt as the next class does it. Parts of the same number and class are one space. A space of up to
 near_dup.LARGE sets is a shard and searched in a task, by vantage points as long as they part it, then by one-bit neighbours;
-a larger one is first routed by a tree in Spark, and what stays large is joined by one-bit neighbours, too. Such links alone chain
+a larger one is dealt to shards by the value of each of three blocks of the fingerprint's bits, of which two fingerprints within
+the radius share one at least: every row goes three times, however large the space is. What is twice that large nevertheless, because so many
+rows hold the same value, is joined by one-bit neighbours in Spark. Such links alone chain
 parts of few members, the more the more sets there are, so a shard is parted again by what follows a part: of the parts in a ring, one
 differs in at most its share of D together with the next, with the next two and so on (else the shares would sum up to over D), so a second fingerprint, of a part
 and the ``CHAIN`` - 1 after it, differs there in no more bits than their share. What still hangs together is a group, and the pairs in it
@@ -31,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from runlens.llm.common import discard, ranges, settle, text_blocks
-from runlens.llm.near_dup import LARGE, LEAF, MOST, RADIUS, SAMPLE, contract, forest, grow, neighbours, sampled, shards
+from runlens.llm.common import among, discard, ranges, settle, text_blocks
+from runlens.llm.near_dup import LARGE, RADIUS, contract, forest, neighbours
 
 WORDS, LEAST = 5, 0.8
 #: Ratio of the sizes that bound a class of sets. Share of a space on both sides of a vantage point above which a task splits it no further.
 RATIO, BOTH = 1.5, 0.25
 #: Parts in a row, at most, that the second fingerprint of a part covers; fingerprints of a shard compared with the rest at once.
 CHAIN, FRONT = 3, 64
+#: Bits (from, to) of a fingerprint: two within the radius are equal in one of these blocks at least. Sets whose parts are placed at once.
+BLOCKS, AT_ONCE = ((0, 21), (21, 42), (42, 64)), 8192
 #: Rows of a group that are compared all with all at once; pivots of larger groups; rows of a larger group that a task holds, and that pass by.
 BIG, PIVOTS, PART, SLICE = 64, 8, 4096, 1 << 16
 #: Bits of the smallest parity bitmap, a power of two. Bytes of the sets that are verified together.
@@ -118,7 +122,7 @@ def chained_fingerprints(sets: list[np.ndarray], least: float) -> tuple[np.ndarr
     count, held = parts[scheme], sizes[own]
     members = mixed(np.concatenate(sets))[ranges((np.cumsum(sizes) - sizes)[own], held)]
     at = np.repeat(np.cumsum(count) - count, held) + ((members >> np.uint64(32)) * np.repeat(count.astype(np.uint64), held) >> np.uint64(32)).astype(np.int64)
-    out = mixed(mixed(space.astype(np.uint64) + MULTIPLIER))
+    out = constant(space)
     for k in range(RADIUS):
         asked = np.repeat(bits[scheme] > k, held)
         np.bitwise_xor.at(out, at[asked], np.uint64(1) << (members[asked] >> np.uint64(6 * k) & np.uint64(63)))
@@ -197,34 +201,67 @@ def hang_together(points: np.ndarray, chains: np.ndarray, linked: np.ndarray, wi
     return label
 
 
+def constant(space: np.ndarray) -> np.ndarray:
+    """What tells the fingerprints of a space from those of others."""
+    return mixed(mixed(space.astype(np.uint64) + MULTIPLIER))
+
+
+def packed(space: int, part: np.ndarray, chain: np.ndarray, row: np.ndarray) -> bytes:
+    """Rows of one space, compressed: of few members a part has few bits, and rows that follow one another differ little."""
+    after = np.diff(row, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return pa.Codec("zstd").compress((part ^ constant(np.array([space]))).tobytes() + chain.tobytes() + after.tobytes(), asbytes=True)
+
+
+def unpacked(shard: int, many: int, held: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(part, chain, row) as they were packed."""
+    raw = pa.Codec("zstd").decompress(held, 24 * many, asbytes=True)
+    part, chain = np.frombuffer(raw, np.uint64, 2 * many).reshape(2, many)
+    after = np.frombuffer(raw, np.uint8, 8 * many, 16 * many).reshape(8, many).T
+    return part ^ constant(np.array([shard >> 24 << 24])), chain, np.cumsum(np.ascontiguousarray(after).view("<i8").ravel())
+
+
+def dealt(sizes: np.ndarray, parts: np.ndarray, least: float, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, place, set), in order of shards, of the parts of sets one after another: that of its space, or, where that goes in ``pieces``, one by each block of its bits."""
+    own, scheme, space = layout(sizes, least)
+    count = schemes(least)[scheme, 2]
+    split = np.repeat(pieces[scheme], count)
+    whole, apart = np.flatnonzero(split == 0), np.flatnonzero(split)
+    shard, at = [space[whole]], [whole]
+    for k, (low, high) in enumerate(BLOCKS if len(apart) else ()):
+        value = parts[apart] >> np.uint64(low) & np.uint64((1 << high - low) - 1)
+        shard.append(space[apart] | (k + 1) << 22 | (mixed(mixed(value + MULTIPLIER)) >> np.uint64(16)).astype(np.int64) % split[apart])
+        at.append(apart)
+    shard, at = np.concatenate(shard), np.concatenate(at)
+    order = np.argsort(shard, kind="stable")
+    return shard[order], at[order], np.repeat(own, count)[at[order]]
+
+
 def groups(own: DataFrame, least: float) -> DataFrame:
-    """Rows (shingle, point, fp, n): the sets of rows (fp, n, parts, chains) that hang together in a shard, with their own fingerprint there and a number of the group."""
-    large, half = LARGE, RADIUS // 2 + RADIUS % 2
+    """Rows (shingle, point, fp, n): the sets of rows (row, fp, n, parts, chains) that hang together in a shard, with their own fingerprint there and a number of the group; a group may come once a block."""
+    large = LARGE
     plan = schemes(least)
     held = own.agg(*(F.count_if((F.col("n") >= int(low)) & (F.col("n") < int(high))) for low, high, *_ in plan)).first()
-    wide, tree = np.array([k > large for k in held]), None
-    if wide.any():
-        split = 2 * max(held) / large
-        some = own.where(F.size("parts") > 0).select(F.element_at("parts", (F.pmod(F.xxhash64("fp"), F.size("parts")) + 1).cast("int")).alias("fp"))
-        tree = grow(sampled(some, int(min(MOST, max(SAMPLE, 2 * LEAF * split)))), math.ceil(1.4 * math.log2(split)), np.random.default_rng(11))  # both sides hold what lies near a threshold
+    pieces = np.array([min(math.ceil(4 * k / large), (1 << 22) - 1) if k > large else 0 for k in held], np.int64)
+
+    def place(batches, count: bool):
+        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
+            parts, chains = (batch.column(c).flatten().to_numpy().view(np.uint64) for c in ("parts", "chains"))
+            shard, at, who = dealt(batch.column("n").to_numpy(), parts, least, pieces)
+            cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else np.zeros(1, np.int64)
+            shard, many = shard[cuts[:-1]], np.diff(cuts)
+            if count:
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(many)], names=["shard", "many"])
+                continue
+            part, chain, row = parts[at], chains[at], batch.column("row").to_numpy()[who]
+            blocks = [packed(s >> 24 << 24, part[a:b], chain[a:b], row[a:b]) for s, a, b in zip(shard.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(many), pa.array(blocks, pa.binary())], names=["shard", "many", "held"])
 
-    def place(batches):
-        for batch in batches:
-            sizes, parts = batch.column("n").to_numpy(), batch.column("parts").flatten().to_numpy().view(np.uint64)
-            chains = batch.column("chains").flatten()
-            own, scheme, space = layout(sizes, least)
-            count = plan[scheme, 2]
-            owner, routed = np.repeat(own, count), np.repeat(wide[scheme], count)
-            found = [(1, np.flatnonzero(~routed))]
-            if tree is not None:
-                found += shards(tree, parts, np.flatnonzero(routed), half)
-            for path, at in found:
-                if len(at):
-                    who = pa.array(owner[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(space[at] | path), pa.array(parts[at].view(np.int64)), chains.take(pa.array(at)), batch.column("fp").take(who), batch.column("n").take(who)], names=["shard", "part", "chain", "fp", "n"])
+    def opened(group: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(x) for x in zip(*map(unpacked, *(group.column(c).to_pylist() for c in ("shard", "many", "held"))), strict=True))
 
     def join(group: pa.Table) -> pa.Table:
-        points, at = np.unique(group.column("part").to_numpy().view(np.uint64), return_inverse=True)
+        part, chain, row = opened(group)
+        points, at = np.unique(part, return_inverse=True)
         a, b = (np.searchsorted(points, x) for x in forest(points, RADIUS, both=BOTH))
         label = np.arange(len(points))
         while True:
@@ -235,23 +272,32 @@ def groups(own: DataFrame, least: float) -> DataFrame:
             if (new == label).all():
                 break
             label = new
-        rows, at = np.unique(np.stack([at, group.column("chain").to_numpy()]), axis=1, return_inverse=True)
+        rows, at = np.unique(np.stack([at, chain.view(np.int64)]), axis=1, return_inverse=True)
         own, chains = rows[0].astype(np.int64), rows[1].view(np.uint64)
         together = hang_together(points[own], chains, label[own], int(plan[group.column("shard")[0].as_py() >> 48, 5]))[at.ravel()]
         more = np.flatnonzero(np.bincount(together)[together] > 1)
         root = together[more]
-        return pa.table({"shingle": pa.array(mixed(points[own[root]] ^ mixed(chains[root] + MULTIPLIER)).view(np.int64)), "point": group.column("part").take(pa.array(more)), "fp": group.column("fp").take(pa.array(more)), "n": group.column("n").take(pa.array(more))})
+        return pa.table({"shingle": pa.array(mixed(points[own[root]] ^ mixed(chains[root] + MULTIPLIER)).view(np.int64)), "point": pa.array(part[more].view(np.int64)), "row": pa.array(row[more])})
 
-    placed, kind = own.select("fp", "n", "parts", "chains").mapInArrow(place, "shard long, part long, chain long, fp long, n long"), "shingle long, point long, fp long, n long"
-    if tree is None:
-        return placed.groupBy("shard").applyInArrow(join, kind)
-    big = settle(placed.groupBy("shard").agg(F.count("*").alias("rows")).where(F.col("rows") > large).select("shard"), "large")
-    found = placed.join(F.broadcast(big), "shard", "left_anti").groupBy("shard").applyInArrow(join, kind)
-    if not big.isEmpty():
-        rest = settle(placed.join(F.broadcast(big), "shard", "left_semi").select("part", "fp", "n").distinct(), "dense")
-        roots = contract(neighbours(rest.select(F.col("part").alias("fp")))).select(F.col("fp").alias("part"), "root")
-        found = found.unionByName(rest.join(roots, "part", "left").select(F.coalesce("root", "part").alias("shingle"), F.col("part").alias("point"), "fp", "n"))
-    return found.distinct()
+    def alone(batches):
+        for batch in batches:
+            if batch.num_rows:
+                part, _, row = opened(batch)
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(row)], names=["point", "row"])
+
+    given = own.select("row", "n", "parts", "chains")
+    placed, kind = given.mapInArrow(lambda x: place(x, False), "shard long, many long, held binary"), "shingle long, point long, row long"
+    if not pieces.any():
+        found = placed.groupBy("shard").applyInArrow(join, kind)
+    else:
+        counted = given.mapInArrow(lambda x: place(x, True), "shard long, many long")
+        big = settle(counted.groupBy("shard").agg(F.sum("many").alias("rows")).where(F.col("rows") > 2 * large).select("shard"), "large")
+        found = placed.join(F.broadcast(big), "shard", "left_anti").groupBy("shard").applyInArrow(join, kind)
+        if not big.isEmpty():
+            rest = settle(placed.join(F.broadcast(big), "shard", "left_semi").mapInArrow(alone, "point long, row long").distinct(), "dense")
+            roots = contract(neighbours(rest.select(F.col("point").alias("fp")))).select(F.col("fp").alias("point"), "root")
+            found = found.unionByName(rest.join(roots, "point", "left").select(F.coalesce("root", "point").alias("shingle"), "point", "row"))
+    return found.join(own.select("row", "fp", "n"), "row").select("shingle", "point", "fp", "n")
 
 
 def candidates(rows: DataFrame, least: float) -> DataFrame:
@@ -263,6 +309,7 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
             now = np.stack([batch.column(c).to_numpy() for c in ("shingle", "fp", "n", "point")])
             if not now.shape[1]:
                 continue
+            now = now[:, np.concatenate([[True], (now[:, 1:] != now[:, :-1]).any(axis=0)])]  # a group that came by several blocks
             held = now if held is None else np.concatenate([held, now], axis=1)
             last = int(np.searchsorted(held[0], held[0, -1]))  # the last group may go on in the next batch
             if not last and held.shape[1] > 1 << 16:  # a huge group: its pivots stay, the rest goes on
@@ -301,7 +348,7 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
         a, b, large, shingle, point = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(large.astype(bool)), pa.array(shingle), pa.array(point)], names=["a", "b", "large", "shingle", "point"])
 
-    return rows.select("shingle", "fp", "n", "point").repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long, large boolean, shingle long, point long")
+    return rows.select("shingle", "fp", "n", "point").repartition("shingle").sortWithinPartitions("shingle", "fp", "point").mapInArrow(run, "a long, b long, large boolean, shingle long, point long")
 
 
 def strangers(members: DataFrame, least: float) -> DataFrame:
@@ -401,7 +448,7 @@ def verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, words: int,
     pairs = settle(bundled(pairs, sketches), "bundles")
     own = pairs.select(F.col("a").alias("fp"), "bundle").union(pairs.select(F.col("b").alias("fp"), "bundle")).groupBy("fp").agg(F.collect_set("bundle").alias("bundles"))
     wanted = settle(sketches.select("fp", "row").join(own, "fp"), "wanted")  # few, so that texts need no shuffle
-    texts = rows.select("row", "text").join(wanted, "row").select("fp", "bundles", "text")
+    texts = among(rows.select("row", "text"), wanted).join(wanted, "row").select("fp", "bundles", "text")
 
     def sets(batches):
         for block in text_blocks(batches, "text"):
@@ -426,7 +473,7 @@ def representatives(rows: DataFrame, words: int = WORDS, least: float = LEAST) -
     own = settle(described(rows, words, least), "parts")
     ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     distinct = settle(own.groupBy("fp").agg(F.min(ranked).alias("first"), F.min("row").alias("row")), "distinct")
-    single = own.join(distinct.select("row"), "row", "left_semi")
+    single = among(own, distinct)
     sketches = settle(single.select("fp", "row", "n", "sketch"), "sketches")
     found = settle(candidates(groups(single, least), least), "groups")
     discard(own)

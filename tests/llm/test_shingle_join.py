@@ -179,3 +179,47 @@ def test_bundles_need_no_components(spark, monkeypatch):
     pairs = spark.createDataFrame([(a, b) for k in range(0, 60, 6) for a, b in itertools.combinations(range(k, k + 6), 2)], "a long, b long")
     got = shingle_join.bundled(pairs, spark.createDataFrame([(k, 1 << 20) for k in range(60)], "fp long, n long")).collect()
     assert len(got) == 150 and all(len({r.bundle for r in got if r.a // 6 == k and r.b // 6 == k}) <= 3 for k in range(10))
+
+
+def test_texts_and_fingerprints_are_told_by_bitmaps_and_not_shuffled(spark):
+    """A semi-join by row shuffled all texts, and the fingerprints of all parts, where the rows were too many for a broadcast."""
+    import corpus_pipeline
+    from runlens.llm.common import among
+
+    rows = spark.range(100_000).select(((F.col("id") % 3) * (1 << 33) + F.floor(F.col("id") / 3)).alias("row"), F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    wanted = rows.where("doc_id % 7 = 2")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = among(rows, wanted)
+        assert got.columns == rows.columns and sorted(r.doc_id for r in got.collect()) == list(range(2, 100_000, 7))
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(cases())], "doc_id long, text string")
+        plan = corpus_pipeline.near_duplicates(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(row#" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_spaces_go_by_blocks_three_times_at_most(spark, monkeypatch):
+    """Parts of unrelated sets: what lies near a threshold of a tree went both ways, and what stayed large became 65 rows a part."""
+    monkeypatch.setattr(shingle_join, "LARGE", 500)
+    monkeypatch.setattr(shingle_join, "neighbours", None)
+    gen = np.random.default_rng(4)
+    sets = [np.unique(gen.integers(0, 1 << 63, 150, np.int64)).astype(np.uint64) for _ in range(4000)]
+    parts, ends = shingle_join.part_fingerprints(sets, 0.8)
+    plan = shingle_join.schemes(0.8)
+    pieces = np.where((plan[:, 0] <= 150) & (plan[:, 1] > 150), 32, 0)
+    shard, at, who = shingle_join.dealt(np.full(4000, 150), parts, 0.8, pieces)
+    assert len(shard) == 3 * len(parts) and np.unique(shard, return_counts=True)[1].max() <= 500
+    assert (np.searchsorted(ends, at, side="right") - 1 == who).all()
+    texts = [" ".join(rng.choice(WORDS) + str(rng.random()) for _ in range(100)) for _ in range(2000)]
+    texts += [f"{t} more" for t in texts[:40]]
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string").repartition(4)
+    own = shingle_join.described(rows, 5, 0.8).cache()
+    fps = {r.row: r.fp for r in own.collect()}
+    pairs = {(r.a, r.b) for r in shingle_join.candidates(shingle_join.groups(own, 0.8), 0.8).collect()}
+    assert {tuple(sorted((fps[k], fps[2000 + k]))) for k in range(40)} <= pairs
+    part, chain, row = (gen.integers(0, 1 << 62, 50, np.int64) for _ in range(3))
+    space = int(shard[0]) >> 24 << 24
+    again = shingle_join.unpacked(space | 5, 50, shingle_join.packed(space, part.view(np.uint64), chain.view(np.uint64), row))
+    assert [x.view(np.int64).tolist() for x in again] == [part.tolist(), chain.tolist(), row.tolist()]
